@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -60,3 +61,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if gone:
             break
     return e.select(F.col("b").alias("node"), F.col("a").alias("component")).union(e.select(F.col("a"), F.col("a")).distinct())
+
+
+def extended(df: DataFrame, ddl: str) -> T.StructType:
+    """The schema of ``df`` and then the fields of ``ddl``."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])
