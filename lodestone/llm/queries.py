@@ -1,12 +1,14 @@
 """Queries of this subpackage by name, and SQL twins for those that SQL can express."""
 
-from . import bpe, chat, decontaminate, quality, sharding, warc
+from . import bpe, chat, decontaminate, html_text, quality, secrets, sharding, warc
 
 QUERIES = {
     "op1_decontaminate_fm_index": decontaminate.op1_decontaminate_fm_index,
     "op2_shard_histogram_sort": sharding.op2_shard_histogram_sort,
     "op5_chat_round_trip": chat.op5_chat_round_trip,
     "op7_bpe_tree": bpe.op7_bpe_tree,
+    "op3_secret_forest": secrets.op3_secret_forest,
+    "op8_html_layout": html_text.op8_html_layout,
     "op9_fertility_rules": quality.op9_fertility_rules,
     "op10_warc_content_addressed": warc.op10_warc_content_addressed,
 }
