@@ -16,6 +16,7 @@ from .common import table
 N_SHARDS = 16
 FIRST_PROBES = 4096
 PROBES = 256
+RANGE_BYTES = 64 << 20
 
 
 def _histogram(rows: DataFrame, cuts: list[tuple[int, int]], probes: int) -> dict[int, tuple[int, int]]:
@@ -83,7 +84,7 @@ def shard_by_bytes(df: DataFrame, key: str, size: Column, n_shards: int = N_SHAR
         return df.withColumn("shard", F.lit(0)).withColumn("slot", F.lit(0).cast("long"))
     keys, total = sorted(below), max(v[0] for v in below.values())
     # Ranges finer than shards keep tasks small however large a shard is; they reuse boundaries already counted.
-    n_ranges = n_ranges or max(8 * n_shards, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n_ranges = n_ranges or min(FIRST_PROBES, max(8 * n_shards, total // RANGE_BYTES))
     fine, passed = set(starts), 0
     for k in keys[:-1]:
         if below[k][0] * n_ranges // max(total, 1) > passed:
