@@ -23,18 +23,19 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTE
     """
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     base = pages.select("page_id", "url", payload.alias("payload")).select(
-        "page_id", "url", "payload", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").cast("long").alias("size"), F.md5("payload").alias("second")
+        "page_id", F.coalesce("page_id", F.lit(2**63 - 1)).alias("rank"), "url", "payload", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").cast("long").alias("size"), F.md5("payload").alias("second")
     )
     same = (F.min("size") == F.max("size")) & (F.min("second") == F.max("second"))
     # The digest is trusted only when a second digest and the length agree within each group.
     firsts = base.groupBy("digest").agg(
-        F.when(same, F.min("page_id")).otherwise(F.raise_error(F.lit("two payloads share a SHA-256 digest"))).alias("first_id")
+        F.when(same, F.min("rank")).otherwise(F.raise_error(F.lit("two payloads share a SHA-256 digest"))).alias("first_id")
     )
-    once = base.alias("p").join(firsts.alias("f"), (F.col("p.digest") == F.col("f.digest")) & F.col("p.page_id").eqNullSafe(F.col("f.first_id")))
-    once.groupBy("p.digest").agg(F.first("payload").alias("payload")).write.parquet(f"{path}/payloads")
+    # Grouping by the join's own keys needs no further exchange, and no task gets all copies of a payload.
+    once = base.select("digest", "rank", "payload").join(firsts.withColumnRenamed("first_id", "rank"), ["digest", "rank"])
+    once.groupBy("digest", "rank").agg(F.first("payload").alias("payload")).select("digest", "payload").write.parquet(f"{path}/payloads")
 
     kept = base.drop("payload", "second").join(firsts, "digest")
-    response = (F.col("size") < min_bytes) | F.col("page_id").eqNullSafe(F.col("first_id"))
+    response = (F.col("size") < min_bytes) | (F.col("rank") == F.col("first_id"))
     uri = F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), "\r", "%0D"), "\n", "%0A")
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")), F.lit(">"))
     header = F.concat(
