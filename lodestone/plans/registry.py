@@ -1,4 +1,339 @@
 """Every query of the catalogue engine by name, with its SQL twin."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text
+from ..operators import devices, filesystems, paths, search
+from ..sources.catalogs import first_lines, parts, tree
+from ..streaming import watch
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+UID = 1000
+
+LC = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+PARTS = f"""SELECT p_brand AS device_id, p_partkey AS record_idx, NULL::BIGINT AS parent_idx, p_name AS name, {LC.format("p_name")} AS name_lc,
+ CAST(floor(p_retailprice * 100) AS BIGINT) AS size, CAST(1700000000 + p_size * 86400 AS BIGINT) AS mtime, p_partkey % 7 = 0 AS is_dir FROM part"""
+TREE = f"""SELECT 'tree' AS device_id, *, {LC.format("name")} AS name_lc, true AS is_dir FROM (
+ SELECT r_regionkey::BIGINT AS record_idx, NULL::BIGINT AS parent_idx, r_name AS name, 0::BIGINT AS size, 0::BIGINT AS mtime FROM region
+ UNION ALL SELECT n_nationkey + 100, n_regionkey, n_name, 0, 0 FROM nation
+ UNION ALL SELECT c_custkey + 1000, c_nationkey + 100, c_name, CAST(floor(abs(c_acctbal) * 100) AS BIGINT), 0 FROM customer
+ UNION ALL SELECT o_orderkey + 10000000000, o_custkey + 1000, 'Order-' || o_orderkey, CAST(floor(o_totalprice * 100) AS BIGINT), CAST(epoch(o_orderdate) AS BIGINT) FROM orders)"""
+LINES = f"""SELECT lang AS device_id, doc_id AS record_idx, NULL::BIGINT AS parent_idx, substr(text, 1, 80) AS name, {LC.format("substr(text, 1, 80)")} AS name_lc, n_chars AS size, doc_id AS mtime, false AS is_dir FROM documents"""
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return keep
+
+
+def rows_sql(base: str, where: str, order: str, offset: int, limit: int, extra: str = "") -> str:
+    return f"""WITH RECURSIVE b AS ({base}), f AS (SELECT DISTINCT device_id, hex(encode(device_id)) AS h, 0 AS i, 2166136261::BIGINT AS v FROM b
+ UNION ALL SELECT device_id, h, i + 1, (((xor(v, ('0x' || substr(h, i * 2 + 1, 2))::BIGINT) * 16777619) & 4294967295) * 16777619) & 4294967295 FROM f WHERE i < length(h) // 2),
+ g AS (SELECT device_id AS d, v AS device_hash FROM f WHERE i = length(h) // 2), h AS (SELECT b.*{extra} FROM b WHERE {where})
+ SELECT CAST(row_number() OVER (ORDER BY {order}) - 1 AS INT) AS pos, device_hash, record_idx, device_id, name, parent_idx AS dir_id, size, mtime, CAST(is_dir AS INT) AS flags
+ FROM h JOIN g ON d = device_id QUALIFY pos >= {offset} AND pos < {offset + limit}"""
+
+
+def like(*found: str) -> str:
+    return " AND ".join(f"contains(name_lc, '{t}')" for t in found) or "true"
+
+
+ORDER = {"name": "name_lc", "path": "parent_idx ASC NULLS LAST, name_lc", "size": "size, name_lc", "mtime": "mtime, name_lc"}
+DESC = {"name": "name_lc DESC", "path": "parent_idx DESC NULLS FIRST, name_lc DESC", "size": "size DESC, name_lc DESC", "mtime": "mtime DESC, name_lc DESC"}
+
+
+def add_search(name, source, base, text_query, sort="name", direction="asc", offset=0, limit=256, only=None):
+    where = like(*[text.ascii_folded(t) for t in text.tokens(text_query)]) + (f" AND device_id IN ({', '.join(repr(d) for d in only)})" if only else "")
+    order = f"{DESC[sort]}, device_id DESC, record_idx DESC" if direction == "desc" else f"{ORDER[sort]}, device_id, record_idx"
+    sql = rows_sql(base, where, order, offset, limit)
+    QUERIES[name] = lambda s, d: search.page(search.matching(source(s, d), text_query, UID, only), sort, direction, offset, limit)
+    ORACLES[name] = sql
+
+
+add_search("search_single", parts, PARTS, "BLUE", limit=100)
+add_search("search_multi_and", tree, TREE, "  er \t 99 ", limit=200)
+add_search("search_short_token", tree, TREE, "9", "size", "desc", limit=50)
+add_search("search_unicode", first_lines, LINES, "É", limit=300)
+add_search("search_device_scope", parts, PARTS, "", "size", limit=120, only=["Brand#11", "Brand#22"])
+add_search("page_near", parts, PARTS, "", "mtime", offset=64, limit=64)
+for _sort in ORDER:
+    for _way in ("asc", "desc"):
+        add_search(f"sort_{_sort}_{_way}", tree if _sort == "path" else parts, TREE if _sort == "path" else PARTS, "", _sort, _way, limit=150)
+
+
+@query("search_flagship", f"""WITH b AS ({TREE}), h AS (SELECT * FROM b WHERE {like("customer", "12")})
+ SELECT CAST(row_number() OVER (ORDER BY size DESC, name_lc DESC, device_id DESC, record_idx DESC) - 1 AS INT) AS pos, name, size, (SELECT count(*) FROM h) AS total FROM h QUALIFY pos < 256""")
+def flagship(spark, d):
+    hits = search.matching(tree(spark, d), "customer 12", UID)
+    return search.page(hits, "size", "desc").crossJoin(F.broadcast(search.total(hits))).select("pos", "name", "size", "total")  # a total is one row
+
+
+@query("search_count", f"SELECT count(*) AS total FROM ({TREE}) WHERE {like('order', '7')}")
+def search_count(spark, d):
+    return search.total(search.matching(tree(spark, d), "order 7", UID))
+
+
+@query("page_far", f"SELECT * FROM (SELECT CAST(row_number() OVER (ORDER BY name_lc, record_idx) - 1 AS BIGINT) AS rank_name, record_idx, name FROM ({TREE})) WHERE rank_name BETWEEN 1000 AND 1255")
+def page_far(spark, d):
+    return search.ranked(tree(spark, d)).where("rank_name BETWEEN 1000 AND 1255").select("rank_name", "record_idx", "name")
+
+
+@query("ranks_all", f"""SELECT device_id, record_idx, CAST(row_number() OVER (PARTITION BY device_id ORDER BY name_lc, record_idx) - 1 AS BIGINT) AS rank_name,
+ CAST(row_number() OVER (PARTITION BY device_id ORDER BY parent_idx NULLS LAST, name_lc, record_idx) - 1 AS BIGINT) AS rank_path, CAST(row_number() OVER (PARTITION BY device_id ORDER BY size, name_lc, record_idx) - 1 AS BIGINT) AS rank_size,
+ CAST(row_number() OVER (PARTITION BY device_id ORDER BY mtime, name_lc, record_idx) - 1 AS BIGINT) AS rank_mtime FROM ({PARTS})""")
+def ranks_all(spark, d):
+    return search.ranked(parts(spark, d)).select("device_id", "record_idx", "rank_name", "rank_path", "rank_size", "rank_mtime")
+
+
+@query("merge_rank", f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY size, name_lc, record_idx) - 1 AS rank FROM ({PARTS})), h AS (SELECT * FROM r WHERE {like("e")})
+ SELECT CAST(row_number() OVER (ORDER BY rank, device_id, record_idx) - 1 AS INT) AS pos, CAST(rank AS BIGINT) AS rank, device_id, record_idx, size FROM h QUALIFY pos < 100""")
+def merge_rank(spark, d):
+    r = parts(spark, d)
+    return search.page_by_rank(search.ranked(r), search.matching(r, "e", UID), "size", 0, 100).select("pos", "rank", "device_id", "record_idx", "size")
+
+
+@query("merge_desc_compat", f"""WITH b AS ({PARTS}), h AS (SELECT *, max({{'s': size, 'n': name_lc}}) OVER (PARTITION BY device_id) AS top FROM b)
+ SELECT CAST(row_number() OVER (ORDER BY top, device_id, size DESC, name_lc DESC, record_idx DESC) - 1 AS INT) AS pos, device_id, record_idx, size FROM h QUALIFY pos < 200""")
+def merge_desc_compat(spark, d):
+    return search.page(parts(spark, d), "size", "desc", 0, 200, compat=True).select("pos", "device_id", "record_idx", "size")
+
+
+@query("trigram_postings", f"""SELECT trigram, count(*) AS n, min(record_idx) AS low FROM (SELECT DISTINCT record_idx, substr(hex(encode(name_lc)), 2 * i + 1, 6) AS trigram FROM
+ (SELECT record_idx, name_lc, unnest(range(0, octet_length(encode(name_lc)) - 2)) AS i FROM ({PARTS}) WHERE octet_length(encode(name_lc)) >= 3)) GROUP BY trigram""")
+def trigram_postings(spark, d):
+    return search.postings(parts(spark, d)).groupBy("trigram").agg(F.count(F.lit(1)).alias("n"), F.min("record_idx").alias("low"))
+
+
+@query("trigram_candidates", f"SELECT device_id, record_idx, name FROM ({TREE}) WHERE {like('123', 'ord')}")
+def trigram_candidates(spark, d):
+    r = tree(spark, d)
+    return search.indexed_search(search.postings(r), r, "123 Ord", UID).select("device_id", "record_idx", "name")
+
+
+TREE_PATHS = f"""WITH RECURSIVE b AS ({TREE}), p AS (SELECT record_idx, '/' || name AS path FROM b WHERE parent_idx IS NULL UNION ALL SELECT b.record_idx, p.path || '/' || b.name FROM b JOIN p ON b.parent_idx = p.record_idx)"""
+
+
+@query("resolve_dirs", f"{TREE_PATHS} SELECT record_idx AS dir_id, path, '/mnt/tree' || path AS shown FROM p")
+def resolve_dirs(spark, d):
+    prefix = paths.display_prefix(F.lit("/mnt/tree"), F.lit("Data"), F.col("device_id"))
+    return paths.directory_paths(tree(spark, d)).select("dir_id", "path", paths.under_prefix(prefix, F.col("path")).alias("shown"))
+
+
+@query("resolve_entries", f"""{TREE_PATHS}, i AS (SELECT o_orderkey AS pos, o_orderkey + 10000000000 + CASE WHEN o_orderkey % 5 = 0 THEN 5000000000 ELSE 0 END AS record_idx FROM orders)
+ SELECT i.pos, i.record_idx, coalesce(b.name, '') AS name, CASE WHEN b.name IS NULL THEN '' ELSE coalesce(q.path, '/') END AS dir, coalesce(q.path || '/' || b.name, '') AS full_path, coalesce(b.size, 0) AS size, b.name IS NOT NULL AS found
+ FROM i LEFT JOIN b USING (record_idx) LEFT JOIN p q ON q.record_idx = b.parent_idx""")
+def resolve_entries(spark, d):
+    r = tree(spark, d)
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    ids = o.select(F.col("o_orderkey").alias("pos"), F.lit("tree").alias("device_id"), (F.col("o_orderkey") + 10_000_000_000 + F.when(F.col("o_orderkey") % 5 == 0, 5_000_000_000).otherwise(0)).alias("record_idx"))
+    return paths.resolve_entries(ids, r, paths.directory_paths(r)).drop("device_id")
+
+
+@query("sort_fullpath", f"""{TREE_PATHS} SELECT CAST(row_number() OVER (ORDER BY {LC.format("coalesce(q.path, '/')")}, name_lc, device_id, b.record_idx) - 1 AS INT) AS pos, b.record_idx, coalesce(q.path, '/') AS dir, b.name
+ FROM b LEFT JOIN p q ON q.record_idx = b.parent_idx QUALIFY pos < 200""")
+def sort_fullpath(spark, d):
+    r = tree(spark, d)
+    p = paths.directory_paths(r).select(F.col("dir_id").alias("parent_idx"), "path")
+    hits = r.join(p, "parent_idx", "left").withColumn("path", F.coalesce("path", F.lit("/"))).withColumn("fullpath_lc", text.ascii_lower("path"))
+    out = search.page(hits, "fullpath", limit=200)
+    return out.join(hits.select("record_idx", F.col("path").alias("dir")), "record_idx").select("pos", "record_idx", "dir", "name")
+
+
+@query("tree_files", f"""SELECT parent_idx, count(*) AS files, sum(size) AS bytes, max(mtime) AS newest FROM (SELECT l_orderkey + 10000000000 AS parent_idx, CAST(floor(l_extendedprice * 100) AS BIGINT) AS size, CAST(epoch(l_shipdate) AS BIGINT) AS mtime FROM lineitem) GROUP BY 1""")
+def tree_files(spark, d):
+    return tree(spark, d, files=True).where("NOT is_dir").groupBy("parent_idx").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"), F.max("mtime").alias("newest"))
+
+
+@query("entry_hash", """WITH RECURSIVE f AS (SELECT DISTINCT p_brand AS device_id, hex(encode(p_brand)) AS h, 0 AS i, 2166136261::BIGINT AS v FROM part
+ UNION ALL SELECT device_id, h, i + 1, (((xor(v, ('0x' || substr(h, i * 2 + 1, 2))::BIGINT) * 16777619) & 4294967295) * 16777619) & 4294967295 FROM f WHERE i < length(h) // 2)
+ SELECT p_partkey AS record_idx, v AS device_hash, CAST(v AS DECIMAL(20, 0)) * 4294967296 + p_partkey AS entry_id FROM part JOIN f ON device_id = p_brand WHERE i = length(h) // 2""")
+def entry_hash(spark, d):
+    h = text.fnv32("device_id")
+    return parts(spark, d).select("record_idx", h.alias("device_hash"), (h.cast("decimal(20,0)") * 4294967296 + F.col("record_idx")).cast("decimal(38,0)").alias("entry_id"))
+
+
+@query("snapshot_key", "SELECT DISTINCT p_brand AS device_id, '1000/' || sha1(p_brand) AS path FROM part")
+def snapshot_key(spark, d):
+    return parts(spark, d).select("uid", "device_id").distinct().select("device_id", F.concat_ws("/", F.col("uid").cast("string"), F.sha1("device_id")).alias("path"))
+
+
+@query("device_totals", f"SELECT device_id, count(*) AS entries, count(*) FILTER (is_dir) AS dirs, CAST(sum(size) AS BIGINT) AS bytes FROM ({PARTS}) GROUP BY ROLLUP (device_id)")
+def device_totals(spark, d):
+    return devices.totals(parts(spark, d))
+
+
+@query("display_columns", f"""SELECT record_idx, CASE WHEN is_dir THEN '<DIR>' ELSE format('{{:,}}', size) END AS shown_size, strftime(to_timestamp(mtime) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS shown_time FROM ({PARTS})""")
+def display_columns(spark, d):
+    return parts(spark, d).select("record_idx", F.when(F.col("is_dir"), "<DIR>").otherwise(F.format_number("size", 0)).alias("shown_size"), text.display_time(F.col("mtime")).alias("shown_time"))
+
+
+def values(spark, rows, schema):
+    return spark.createDataFrame(rows, schema)
+
+
+MOUNTS = [("a", ["/a", "/mnt/long", "/media/x"]), ("b", ["/data", "/srv"]), ("c", []), ("d", ["/mnt", "/x"])]
+
+
+@query("primary_mount", "SELECT * FROM (VALUES ('a', '/media/x'), ('b', '/srv'), ('c', ''), ('d', '/mnt')) t(device_id, primary_mount)")
+def primary_mount(spark, d):
+    return values(spark, MOUNTS, "device_id string, points array<string>").select("device_id", devices.primary_mount(F.col("points")).alias("primary_mount"))
+
+
+@query("mountinfo_parse", "SELECT * FROM (VALUES ('/', '/dev/sda1'), ('/mnt/x y', '/dev/sdb1')) t(mount_point, mount_source)")
+def mountinfo_parse(spark, d):
+    lines = ["36 35 98:0 / / rw,noatime master:1 - ext3 /dev/sda1 rw", "37 35 98:0 / /mnt/x y rw - ntfs3 /dev/sdb1 rw", "broken", "1 2 3 - x"]
+    out = devices.parse_mountinfo(values(spark, [(x,) for x in lines], "line string"))
+    return out.withColumn("mount_point", F.translate("mount_point", " ", " "))
+
+
+INDEXED = [("Brand#11", "ntfs", "Data", 5, True), ("Brand#22", "ext4", "", 7, False), ("gone", "", "", 9, True)]
+KNOWN = [("Brand#11", True, "/mnt/d"), ("Brand#22", False, ""), ("new", True, "/x")]
+
+
+def indexed(spark):
+    return values(spark, INDEXED, "device_id string, fs_type string, label string, entry_count long, watch_enabled boolean")
+
+
+def known(spark):
+    return values(spark, KNOWN, "device_id string, mounted boolean, primary_mount_point string")
+
+
+@query("scope_list", "SELECT * FROM (VALUES ('Brand#11', true, true, 'data'), ('Brand#22', true, false, 'ext4'), ('gone', false, false, 'gone')) t(device_id, present, mounted, title)")
+def scope_list(spark, d):
+    return devices.scope_list(indexed(spark), known(spark)).select("device_id", "present", "mounted", "title")
+
+
+@query("settings_list", "SELECT device_id, state, CAST(entry_count AS BIGINT) AS entry_count, mounted FROM (VALUES ('Brand#11', 'indexed', 5, true), ('Brand#22', 'indexed', 7, false), ('new', 'not indexed', 0, true), ('gone', 'absent', 9, false)) t(device_id, state, entry_count, mounted)")
+def settings_list(spark, d):
+    return devices.settings_list(indexed(spark), known(spark))
+
+
+@query("watch_plan", "SELECT * FROM (VALUES ('Brand#11', '/mnt/d', 'pending'), ('gone', NULL, 'notMounted')) t(device_id, mount_point, state)")
+def watch_plan(spark, d):
+    return devices.watch_plan(indexed(spark), known(spark))
+
+
+@query("inventory_dedupe", "SELECT * FROM (VALUES ('partuuid:ab', '/dev/sda1', 'ab', 'u1'), ('partuuid:cd', '/dev/sda2', 'cd', ''), ('uuid:u3', '/dev/sdb1', '', 'u3')) t(device_id, dev_node, partuuid, uuid)")
+def inventory_dedupe(spark, d):
+    schema = "dev_node string, id string"
+    return devices.inventory(values(spark, [("/dev/sda1", "AB"), ("/dev/sda2", "cd")], schema), values(spark, [("/dev/sda1", "U1"), ("/dev/sdb1", "u3")], schema))
+
+
+# NTFS names from line items: file = order, parent = supplier, name space = line number mod 4.
+NAMES = """SELECT l_orderkey AS base_idx, l_suppkey AS parent_mft, (CASE WHEN l_partkey % 11 = 0 THEN '$' ELSE '' END) || 'f' || l_partkey AS name, l_linenumber % 4 AS namespace_type FROM lineitem"""
+
+
+def ntfs_names(spark, d):
+    c = F.col
+    li = spark.read.parquet(f"{d}/lineitem.parquet")
+    name = F.concat(F.when(c("l_partkey") % 11 == 0, "$").otherwise(""), F.lit("f"), c("l_partkey").cast("string"))
+    return li.select(c("l_orderkey").alias("base_idx"), c("l_suppkey").alias("parent_mft"), name.alias("name"), (c("l_linenumber") % 4).alias("namespace_type"))
+
+
+@query("dos_dedupe", f"WITH n AS ({NAMES}) SELECT * FROM n WHERE (namespace_type <> 2 OR NOT EXISTS (SELECT 1 FROM n o WHERE o.base_idx = n.base_idx AND o.parent_mft = n.parent_mft AND o.namespace_type <> 2)) AND NOT (name LIKE '$%' AND base_idx <= 38)")
+def dos_dedupe(spark, d):
+    return filesystems.kept_names(ntfs_names(spark, d))
+
+
+@query("ext_merge", "SELECT l_orderkey AS base_idx, bool_or(l_returnflag = 'R') AS is_dir, max(l_partkey) AS data_size, bool_or(l_linestatus = 'F') AS data_found FROM lineitem GROUP BY 1")
+def ext_merge(spark, d):
+    li = spark.read.parquet(f"{d}/lineitem.parquet")
+    return filesystems.merge_extensions(li.select(F.col("l_orderkey").alias("base_idx"), (F.col("l_returnflag") == "R").alias("is_dir"), F.col("l_partkey").alias("data_size"), (F.col("l_linestatus") == "F").alias("data_found")))
+
+
+@query("ntfs_records", """SELECT * FROM (VALUES (5120::BIGINT, NULL::BIGINT, '.', 0::BIGINT, 0::BIGINT, true), (40960, 5120, 'Dir', 0, 1, true), (51201, 40960, 'file.txt', 77, 2, false), (51202, 5120, 'link.txt', 77, 2, false), (39936, 5120, '$Secret', 9, 0, false)) t(record_idx, parent_idx, name, size, mtime, is_dir) WHERE record_idx <> 5120
+ UNION ALL SELECT 5120, 5120, '.', 0, 0, true""")
+def ntfs_records(spark, d):
+    epoch = 116444736000000000
+    mft = values(spark, [(5, True, 0, False), (40, True, 0, False), (50, False, 77, True), (50, False, 12, False), (38, False, 1, True), (39, False, 0, False)], "base_idx long, is_dir boolean, data_size long, data_found boolean")
+    names = values(spark, [(5, 5, ".", 3, 0, 0, 0), (40, 5, "Dir", 1, 0, epoch + 10_000_000, 0), (50, 40, "FILE~1.TXT", 2, 0, epoch, 0), (50, 40, "file.txt", 1, 1, epoch + 5, 0), (50, 5, "link.txt", 1, 2, epoch + 20_000_000, 0), (38, 5, "$Secret", 3, 0, 0, 1), (39, 5, "$Secret", 3, 0, epoch - 7, 9)], "base_idx long, parent_mft long, name string, namespace_type int, seq long, mod_filetime long, name_size long")
+    return filesystems.ntfs_records(mft, names)
+
+
+@query("ext4_records", """WITH e AS (SELECT l_partkey + 2 AS ino, l_suppkey + 1 AS dir_ino, 'n' || l_orderkey AS name, l_orderkey * 10 + l_linenumber AS q FROM lineitem),
+ l AS (SELECT ino, arg_max({'n': name, 'd': dir_ino}, {'q': q, 'd': dir_ino, 'n': name}) AS e FROM e GROUP BY ino)
+ SELECT l.ino AS record_idx, CASE WHEN l.e.d <> 2 AND l.e.d IN (SELECT ino FROM e) THEN l.e.d END AS parent_idx, l.e.n AS name, coalesce(CAST(floor(p_retailprice) AS BIGINT), 0) AS size, coalesce(p_size::BIGINT, 0) AS mtime, coalesce(p_size % 2 = 0, false) AS is_dir, false AS is_symlink
+ FROM l LEFT JOIN part ON p_partkey + 2 = l.ino AND p_size <> 7""")
+def ext4_records(spark, d):
+    c = F.col
+    li, p = (spark.read.parquet(f"{d}/{n}.parquet") for n in ("lineitem", "part"))
+    seq = F.struct((c("l_orderkey") * 10 + c("l_linenumber")).alias("q"), (c("l_suppkey") + 1).alias("d"), F.concat(F.lit("n"), c("l_orderkey").cast("string")).alias("n"))
+    dirents = li.select((c("l_partkey") + 2).alias("ino"), (c("l_suppkey") + 1).alias("dir_ino"), F.concat(F.lit("n"), c("l_orderkey").cast("string")).alias("name"), seq.alias("scan_seq"))
+    inodes = p.select((c("p_partkey") + 2).alias("ino"), F.when(c("p_size") == 7, 0).otherwise(1).alias("links_count"), F.floor("p_retailprice").alias("size"), c("p_size").cast("long").alias("mtime"), F.when(c("p_size") % 2 == 0, 0x4000).otherwise(0x8000).alias("mode"))
+    return filesystems.ext4_records(inodes, dirents)
+
+
+def touches(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return e.select("ts", F.lit(UID).alias("uid"), F.lit("tree").alias("device_id"), F.lit("f0").alias("fsid_hex"), F.hex("user_id").alias("handle_hex"), F.col("event_type").alias("name"), (F.length(e["event_type"]) % 4 + 1).cast("long").alias("mask"))
+
+
+SESSION = """SELECT *, sum(fresh) OVER (PARTITION BY {k} ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY {k} ORDER BY ts) > ts - INTERVAL {g} THEN 0 ELSE 1 END AS fresh FROM events)"""
+
+
+@query("mask_coalesce", f"SELECT user_id, event_type AS name, bit_or(CAST(length(event_type) % 4 + 1 AS BIGINT)) AS mask, count(*) AS touches, min(ts) AS began FROM ({SESSION.format(k='user_id, event_type', g='2 HOURS')}) GROUP BY user_id, event_type, s")
+def mask_coalesce(spark, d):
+    return watch.coalesced(touches(spark, d), "2 hours").select(F.conv("handle_hex", 16, 10).cast("long").alias("user_id"), "name", "mask", "touches", F.col("began").cast("timestamp_ntz").alias("began"))
+
+
+@query("quiet_sessions", f"SELECT event_type, min(ts) AS began, max(ts) + INTERVAL 20 MINUTES AS due, count(*) AS touches FROM ({SESSION.format(k='event_type', g='20 MINUTES')}) GROUP BY event_type, s")
+def quiet_sessions(spark, d):
+    out = watch.sessions(spark.read.parquet(f"{d}/events.parquet"), "20 minutes", "event_type")
+    return out.select("event_type", F.col("began").cast("timestamp_ntz").alias("began"), F.col("due").cast("timestamp_ntz").alias("due"), "touches")
+
+
+@query("touch_kinds", "SELECT kind, count(*) AS n FROM (SELECT CASE event_type WHEN 'click' THEN 'generic' WHEN 'view' THEN 'malformed' ELSE 'structured' END AS kind FROM events) GROUP BY kind")
+def touch_kinds(spark, d):
+    t = touches(spark, d).withColumn("name", F.when(F.col("name") == "click", "*").when(F.col("name") == "view", "").otherwise(F.col("name")))
+    return watch.classified(t).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("upsert_safe", f"""SELECT b.record_idx, CASE WHEN o_orderkey IS NULL THEN b.size ELSE b.size + 1 END AS size, CASE WHEN o_orderkey IS NULL THEN b.mtime ELSE b.mtime + 60 END AS mtime
+ FROM ({TREE}) b LEFT JOIN orders ON b.record_idx = o_orderkey + 10000000000 AND o_orderkey % 3 = 0""")
+def upsert_safe(spark, d):
+    r = tree(spark, d)
+    batch = r.where("name_lc LIKE 'order-%' AND record_idx % 3 = 1").select("device_id", "parent_idx", "name", (F.col("size") + 1).alias("new_size"), (F.col("mtime") + 60).alias("new_mtime"), F.col("record_idx").alias("seq"))
+    return watch.upsert(r, batch)[0].select("record_idx", "size", "mtime")
+
+
+@query("upsert_unsafe", f"SELECT record_idx, size, mtime FROM ({TREE})")
+def upsert_unsafe(spark, d):
+    r = tree(spark, d)
+    batch = r.where("name_lc LIKE 'order-%' AND record_idx % 3 = 1").select("device_id", "parent_idx", "name", (F.col("size") + 1).alias("new_size"), (F.col("mtime") + 60).alias("new_mtime"), F.col("record_idx").alias("seq"))
+    lost = batch.limit(1).withColumn("name", F.lit("no such name"))
+    return watch.upsert(r, batch.union(lost))[0].select("record_idx", "size", "mtime")
+
+
+@query("backoff_tables", "SELECT CAST(i AS BIGINT) AS n, CASE WHEN i <= 0 THEN 0 ELSE least(600, CAST(30 * pow(2, i - 1) AS BIGINT)) END AS watch_s, least(600, CAST(10 * pow(2, greatest(i, 0)) AS BIGINT)) AS overflow_s FROM range(-2, 21) t(i)")
+def backoff_tables(spark, d):
+    return spark.range(-2, 21).select(F.col("id").alias("n"), text.watch_backoff(F.col("id")).alias("watch_s"), text.overflow_backoff(F.col("id")).alias("overflow_s"))
+
+
+@query("filetime", "SELECT o_orderkey, greatest(0, (x - 116444736000000000) // 10000000) AS unix FROM (SELECT o_orderkey, 116444736000000000 + (o_orderkey - 700) * 12345678 AS x FROM orders)")
+def filetime(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    return o.select("o_orderkey", text.unix_from_filetime((F.col("o_orderkey") - 700) * 12345678 + F.lit(116444736000000000)).alias("unix"))
+
+
+@query("time_format", "SELECT * FROM (VALUES (0::BIGINT, '1970-01-01 00:00:00'), (253402300799, '9999-12-31 23:59:59'), (253402300800, 'format-error'), (9223372036854775807, 'out-of-range')) t(s, shown)")
+def time_format(spark, d):
+    return values(spark, [(0,), (253402300799,), (253402300800,), (2**63 - 1,)], "s long").select("s", F.when(F.col("s") < 2**53, text.display_time(F.least(F.col("s"), F.lit(253402300800)))).otherwise("out-of-range").alias("shown"))
+
+
+@query("fs_normalise", "SELECT * FROM (VALUES ('ntfs3', 'ntfs'), ('fuseblk.NTFS', 'ntfs'), ('EXT4', 'ext4'), ('btrfs', '')) t(fs, kind)")
+def fs_normalise(spark, d):
+    return values(spark, [("ntfs3",), ("fuseblk.NTFS",), ("EXT4",), ("btrfs",)], "fs string").select("fs", text.fs_kind(F.col("fs")).alias("kind"))
+
+
+@query("progress_parse", "SELECT line, p FROM (VALUES ('SCAN_PROGRESS 42', 42), ('SCAN_PROGRESS 250', 100), ('SCAN_PROGRESS -3', 0)) t(line, p)")
+def progress_parse(spark, d):
+    lines = values(spark, [("SCAN_PROGRESS 42",), ("SCAN_PROGRESS 250",), ("SCAN_PROGRESS -3",), ("noise 7",)], "line string")
+    return lines.select("line", text.progress_percent(F.col("line")).alias("p")).where("p IS NOT NULL")
