@@ -126,13 +126,13 @@ class Encoder:
         return b"".join(map(self.bytes_of.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", "replace")
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each holds a bounded amount of text, or one row."""
     for batch in batches:
         sizes = np.asarray(pc.fill_null(pc.binary_length(batch[text]), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         start, held = 0, 0
         for i, n in enumerate(sizes):
-            if held and held + n > SLICE_CHARS:
+            if held and held + n > limit:
                 yield batch.slice(start, i - start)
                 start, held = i, 0
             held += int(n)

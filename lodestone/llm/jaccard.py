@@ -8,8 +8,9 @@ neighbourhoods, indexed in the bands of small sets). If the allocations sum to H
 segment finds differs in at least sum(a_i) > H elements. Allocations go where they cost least, by how often a subset
 occurs among the sets at hand, so subsets that boilerplate fills are left out.
 
-Sets with equal signatures form runs. Short runs give all their pairs; long ones a star, a chain, and, for what
-still lies in different components after those are verified, pairs of bounded blocks that are compared as matrices.
+Sets with equal signatures form runs. Short runs give all their pairs; long ones, in a share of the buckets, a star and
+a chain, and, for what still lies in different components after those are verified, pairs of bounded blocks. Before sets are compared
+exactly, their parity sketches are: bits that differ are a lower bound of the elements that differ.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from .words import WordHashes, hashed, inside, mix, windows
 N = 5
 P, Q = 75, 100
 SHORT_RUN = 16
+AHEAD = 8  # one bucket in so many gives stars and chains
+SLICE = 1_000_000
 BLOCK_DOCS = 400
 LARGE_CLASS = 100
 SALTS = 64
@@ -43,7 +46,7 @@ def scheme(band: int) -> int:
     """Segments of a band, for sets of 2**band to 2**(band+1)-1 elements and probes up to Q/P times as large."""
     top = 2 ** (band + 1) - 1
     most = most_apart(top, top * Q // P)
-    return (most + 2) // 2 + (band >= 3) if band <= DELETIONS_TO else max(most + 1, -(-38 * top // 100)) + 2
+    return (most + 2) // 2 + (band >= 3) if band <= DELETIONS_TO else max(most + 1, -(-top // 2)) + 2
 
 
 def sets_of(words: list[list[bytes]], cache: WordHashes) -> tuple[np.ndarray, np.ndarray]:
@@ -167,7 +170,7 @@ def bundled(docs: DataFrame, buckets: int) -> DataFrame:
             parts = [(int(bucket[a]), b - a, planes(sig[a:b], 5), planes(doc[a:b].view(np.uint64), 8), planes(info[a:b], 5)) for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*parts, strict=True), TYPES, strict=True)], names=NAMES)
 
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             ids = batch["doc_id"].to_numpy(zero_copy_only=False).astype(np.int64)
             values, offsets = sets_of(_words(batch), cache)
             sizes = np.diff(offsets)
@@ -185,16 +188,16 @@ def bundled(docs: DataFrame, buckets: int) -> DataFrame:
             # Empty subsets are common: index rows go to one of SALTS places, a probe that needs them to all.
             where = mix(doc.view(np.uint64)) % np.uint64(SALTS)
             probe = empty & (flag >= 2)
+            raw = sig[probe]
             sig = np.where(empty, mix(sig + where + np.uint64(1)), sig)
             flag_own = np.where(empty, flag & 1, flag)
             keep = flag_own > 0
             info = (size.astype(np.uint64) << np.uint64(2))
             held.append((sig[keep], doc[keep], info[keep] | flag_own[keep].astype(np.uint64)))
             if probe.any():
-                raw = signatures(values[pick], np.concatenate([[0], np.cumsum(sizes[new])]))[0][probe]
                 for salt in range(SALTS):
                     held.append((mix(raw + np.uint64(salt + 1)), doc[probe], info[probe] | np.uint64(2)))
-            if sum(len(x[0]) for x in held) > 3_000_000:
+            if sum(len(x[0]) for x in held) > 1_500_000:
                 yield packed()
         if held and sum(len(x[0]) for x in held):
             yield packed()
@@ -216,7 +219,7 @@ def candidates(bundles: DataFrame, short_run: int = SHORT_RUN) -> DataFrame:
     def emit(kind, a, b, c):
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], names=["kind", "a", "b", "c"])
 
-    def match(parts):
+    def match(parts, ahead):
         sig = np.concatenate([unplanes(p[1], p[0], 5) for p in parts])
         doc = np.concatenate([unplanes(p[2], p[0], 8) for p in parts]).view(np.int64)
         info = np.concatenate([unplanes(p[3], p[0], 5) for p in parts])
@@ -236,16 +239,18 @@ def candidates(bundles: DataFrame, short_run: int = SHORT_RUN) -> DataFrame:
             ok = (doc[i] != doc[j]) & (((flags[i] & 2) > 0) & (flags[j] & 1 > 0) | ((flags[j] & 2) > 0) & (flags[i] & 1 > 0)) & linked_sizes(size[i], size[j])
             found.append(np.unique(np.stack([np.minimum(doc[i[ok]], doc[j[ok]]), np.maximum(doc[i[ok]], doc[j[ok]])], 1), axis=0))
 
+        first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+        start = np.repeat(first, np.diff(np.append(first, len(run))))
         for d in range(1, max(2, short_run)):
-            i = np.flatnonzero(run[d:] == run[:-d])
-            i = i[(length[i] <= short_run) | (d == 1)]
+            i = np.flatnonzero((run[d:] == run[:-d]) & (length[d:] <= short_run))
             if len(i):
                 pairs(i, i + d)
-        first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
         long = np.flatnonzero(length > short_run)
-        if len(long):
-            start = first[np.searchsorted(first, long, "right") - 1]
-            pairs(start, long)
+        if len(long) and ahead:
+            # Not needed for exactness: they only join most near copies before blocks are compared.
+            pairs(start[long], long)
+            chain = long[1:][run[long[1:]] == run[long[:-1]]]
+            pairs(chain - 1, chain)
         # Long runs that hold the same documents count once.
         both = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
         if len(both):
@@ -267,12 +272,12 @@ def candidates(bundles: DataFrame, short_run: int = SHORT_RUN) -> DataFrame:
                     yield emit(0, np.frombuffer(sigs, np.int64), np.frombuffer(docs, np.int64), np.frombuffer(info, np.int64))
                     continue
                 if bucket != at and held:
-                    yield from match(held)
+                    yield from match(held, at % AHEAD == 0)
                     held = []
                 at = bucket
                 held.append((rows, sigs, docs, info))
         if held:
-            yield from match(held)
+            yield from match(held, at % AHEAD == 0)
 
     return bundles.mapInArrow(run_all, "kind int, a long, b long, c long")
 
@@ -287,22 +292,65 @@ def wanted_bits(nodes: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def sets_for(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, elements) with the shingle sets of about the given nodes; a written table."""
+def of_nodes(docs: DataFrame, nodes: DataFrame, encode, ddl: str) -> DataFrame:
+    """``encode(ids, values, offsets)`` over the shingle sets of about the given nodes."""
     bits = docs.sparkSession.sparkContext.broadcast(wanted_bits(nodes))
-    hashed_id = docs.select("doc_id", "text", F.pmod(F.xxhash64(F.col("doc_id")), F.lit(FILTER_BITS)).alias("h"))
+    marked = docs.select("doc_id", "text", F.pmod(F.xxhash64(F.col("doc_id")), F.lit(FILTER_BITS)).alias("h"))
 
     def run(batches):
         cache, words = WordHashes(), np.frombuffer(bits.value, np.int64).view(np.uint64)
         for batch in batches:
             h = batch["h"].to_numpy().astype(np.int64)
             batch = batch.filter(pa.array((words[h // 64] >> (h % 64).astype(np.uint64)) & np.uint64(1) == 1))
-            for part in slices(iter([batch])):
-                values, offsets = sets_of(_words(part), cache)
-                raw = [values[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(raw, pa.binary())], names=["node", "elements"])
+            for part in slices(iter([batch]), limit=SLICE):
+                yield encode(part["doc_id"], *sets_of(_words(part), cache))
+
+    return marked.mapInArrow(run, ddl)
+
+
+def sketch(values: np.ndarray) -> bytes:
+    """Parity of the elements that fall on each of about two to four bits per element."""
+    n = max(64, 1 << (2 * len(values) - 1).bit_length()) if len(values) else 64
+    at = (mix(values ^ K2) & np.uint64(n - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=n).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def folded(x: np.ndarray, n: int) -> np.ndarray:
+    """Sketches (a row each) of n bytes; a power of two at most their length."""
+    return np.bitwise_xor.reduce(x.reshape(len(x), -1, n), axis=1)
+
+
+def sketches_for(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    def encode(ids, values, offsets):
+        parts = [sketch(values[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([ids, pa.array(np.diff(offsets)), pa.array(parts, pa.binary())], names=["node", "size", "sketch"])
+
+    return written(of_nodes(docs, nodes, encode, "node long, size long, sketch binary"), "sketches")
+
+
+def sets_for(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    def encode(ids, values, offsets):
+        raw = [values[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([ids, pa.array(raw, pa.binary())], names=["node", "elements"])
+
+    return of_nodes(docs, nodes, encode, "node long, elements binary")
+
+
+def near_pairs(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs whose sketches don't rule a link out; a written table."""
+    one = sketches.select(F.col("node").alias("a"), F.col("size").alias("m"), F.col("sketch").alias("s"))
+    two = sketches.select(F.col("node").alias("b"), F.col("size").alias("n"), F.col("sketch").alias("t"))
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for m, s, n, t in zip(*(batch[c].to_pylist() for c in ("m", "s", "n", "t")), strict=True):
+                size = min(len(s), len(t))
+                x, y = (folded(np.frombuffer(v, np.uint8)[None], size) for v in (s, t))
+                keep.append(int(np.bitwise_count(x ^ y).sum()) <= most_apart(m, n))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return written(hashed_id.mapInArrow(run, "node long, elements binary"), "sets")
+    return written(pairs.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long"), "pairs")
 
 
 CELL = "cell long, kind int, a long, b long, label long, elements binary"
@@ -352,55 +400,31 @@ def check_pairs(members: dict, pairs: list):
     yield _links(a, b)
 
 
-def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all pairwise intersections, as sums of products of bounded matrices."""
-    flat = np.concatenate(sets)
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    order = np.argsort(flat, kind="stable")
-    flat, row = flat[order], row[order]
-    col = np.cumsum(np.concatenate([[True], flat[1:] != flat[:-1]])) - 1
-    shared = (np.bincount(col) > 1)[col]  # an element of one set alone is in no intersection
-    row, col = row[shared], col[shared]
-    out = np.zeros((len(sets), len(sets)), np.float32)
-    if len(col):
-        col = np.cumsum(np.concatenate([[True], col[1:] != col[:-1]])) - 1
-        for c in range(0, int(col[-1]) + 1, 4096):
-            lo, hi = np.searchsorted(col, [c, c + 4096])
-            dense = np.zeros((len(sets), 4096), np.float32)
-            dense[row[lo:hi], col[lo:hi] - c] = 1
-            out += dense @ dense.T
-    return out.astype(np.int64)
-
-
 def check_blocks(members: dict, _pairs: list):
-    """Links that join different components, as a spanning forest of the cell."""
-    ids = list(members)
-    sets, labels = [members[i][0] for i in ids], [members[i][1] for i in ids]
-    sizes = np.array([len(s) for s in sets])
-    ok = linked(sizes[:, None], sizes[None, :], overlaps(sets))
-    place = {x: k for k, x in enumerate(dict.fromkeys(labels))}
-    label = np.array([place[x] for x in labels])
-    i, j = np.nonzero(np.triu(ok & (label[:, None] != label[None, :]), 1))
-    root = list(range(len(place)))
-
-    def find(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    a, b = [], []
-    for x, y in zip(i.tolist(), j.tolist(), strict=True):
-        u, v = find(label[x]), find(label[y])
-        if u != v:
-            root[u] = v
-            a.append(ids[x])
-            b.append(ids[y])
-    yield _links(a, b)
-
-
-def verified_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The linked ones of the pairs. Those of one neighbourhood meet in a cell; large ones are split by hash."""
+    """Pairs of different components whose sketches don't rule a link out."""
+    ids = np.array(list(members))
+    labels, sizes = np.array([m[1] for m in members.values()]), np.array([m[2] for m in members.values()])
+    raw = [m[0].view(np.uint8) for m in members.values()]
+    widths = np.array([len(x) for x in raw])
+    kinds = {n: np.flatnonzero(widths == n) for n in np.unique(widths).tolist()}
+    stacked = {n: np.stack([raw[k] for k in at]) for n, at in kinds.items()}
+    for n, at in kinds.items():
+        for m, others in kinds.items():
+            if m < n:
+                continue
+            right = folded(stacked[m], n).view(np.uint64)
+            for i, x in zip(at, stacked[n].view(np.uint64), strict=True):
+                ok = (labels[others] != labels[i]) & linked_sizes(sizes[others], sizes[i]) & ((others > i) | (m > n))
+                j = others[ok]
+                apart = np.bitwise_count(right[ok] ^ x).sum(1, dtype=np.int64)
+                j = j[apart <= (sizes[j] + sizes[i]) * (Q - P) // (Q + P)]
+                if len(j):
+                    yield _links(np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]))
+
+
+def verified_pairs(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The linked ones of a written table of pairs. Those of one neighbourhood meet in a cell; large ones are split by hash."""
+    sets = sets_for(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")))
     ends = pairs.select("a", "b").union(pairs.select("b", "a")).toDF("a", "b")
     home = ends.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("home"))
     at = pairs.join(home, "a")
@@ -413,16 +437,18 @@ def verified_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return in_cells(rows.union(at.select("cell", F.lit(1), "a", "b", F.lit(0).cast("long"), empty)), check_pairs)
 
 
-def verified_runs(runs: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between sets of one long run that ``found`` (node, component) leaves in different components."""
+def open_pairs(runs: DataFrame, found: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs of one long run that ``found`` (node, component) leaves in different components; a written table."""
     docs = runs.groupBy(F.col("doc").alias("node")).agg(F.first("size").alias("size"))
     docs = docs.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     large = docs.groupBy("component").count().where(F.col("count") >= LARGE_CLASS).select("component", F.col("component").alias("class"))
     docs = docs.join(large, "component", "left").withColumn("class", F.coalesce("class", F.lit(-1).cast("long")))
     docs = docs.withColumn("bin", F.floor(F.log("size") / np.log(1.15)).cast("int"))
-    # A run's smallest document names its neighbourhood, so that blocks hold documents that are likely to meet.
-    near = runs.groupBy("run").agg(F.min("doc").alias("low"))
-    group = runs.join(near, "run").groupBy(F.col("doc").alias("node")).agg(F.min("low").alias("group"))
+    # The smallest document within a few runs names the neighbourhood, so that few blocks meet in one run.
+    group = runs.select(F.col("doc").alias("node"), F.col("doc").alias("group")).distinct()
+    for _ in range(2):
+        near = runs.join(group, runs["doc"] == group["node"]).groupBy("run").agg(F.min("group").alias("low"))
+        group = runs.join(near, "run").groupBy(F.col("doc").alias("node")).agg(F.min("low").alias("group"))
     docs = docs.join(group, "node")
     crowd = docs.groupBy("group", "class", "bin").agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).alias("parts"))
     docs = docs.join(crowd, ["group", "class", "bin"]).withColumn("block", F.xxhash64("group", "class", "bin", F.pmod(F.xxhash64("node"), F.col("parts"))))
@@ -435,8 +461,8 @@ def verified_runs(runs: DataFrame, found: DataFrame, sets: DataFrame) -> DataFra
     ).select(F.col("p.block").alias("p"), F.col("q.block").alias("q")).distinct()
     cells = cells.withColumn("cell", F.xxhash64("p", "q"))
     sides = cells.select("cell", F.col("p").alias("block")).union(cells.select("cell", "q")).distinct()
-    rows = sides.join(docs, "block").join(sets, "node").select("cell", F.lit(0).alias("kind"), F.col("node").alias("a"), F.lit(0).cast("long").alias("b"), F.col("component").alias("label"), "elements")
-    return in_cells(rows, check_blocks)
+    rows = sides.join(docs, "block").join(sketches, "node").select("cell", F.lit(0).alias("kind"), F.col("node").alias("a"), F.col("size").alias("b"), F.col("component").alias("label"), F.col("sketch").alias("elements"))
+    return written(in_cells(rows, check_blocks).distinct(), "pairs")
 
 
 def similarity_classes(docs: DataFrame, short_run: int = SHORT_RUN) -> DataFrame:
@@ -449,16 +475,16 @@ def similarity_classes(docs: DataFrame, short_run: int = SHORT_RUN) -> DataFrame
     """
     known = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
     spread = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 16)
-    buckets = max(64, 2 * known.rdd.getNumPartitions())
+    buckets = max(64, 8 * known.rdd.getNumPartitions())
     bundles = bundled(known, buckets).withColumn("at", F.when(F.col("bucket") < 0, -1 - F.spark_partition_id()).otherwise(F.col("bucket")))
     stage = written(candidates(bundles.repartition(spread, "at").sortWithinPartitions("bucket").select(*NAMES), short_run), "candidates")
     members = stage.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("node"))
     pairs = stage.where("kind = 1").select("a", "b").distinct()
     runs = stage.where("kind = 2").select(F.col("a").alias("run"), F.col("b").alias("doc"), F.col("c").alias("size"))
     nodes = stage.where("kind = 1").select(F.explode(F.array("a", "b")).alias("node")).union(runs.select("doc"))
-    sets = sets_for(known, nodes)
-    links = written(verified_pairs(pairs, sets), "links")
-    more = written(verified_runs(runs, components(links), sets), "links")
+    sketches = sketches_for(known, nodes)
+    links = written(verified_pairs(near_pairs(pairs, sketches), known), "links")
+    more = written(verified_pairs(open_pairs(runs, components(links), sketches), known), "links")
     found = components(links.union(more))
     named = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     # Copies in one task share a node that need not be their class's smallest document.
