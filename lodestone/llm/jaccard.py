@@ -6,7 +6,7 @@ of each segment under its own band, and probes its own and the next smaller band
 allocation a_i: 0 skips it, 1 finds sets with an equal subset, 2 also those one element apart (one-deletion
 neighbourhoods, indexed in the bands of small sets). If the allocations sum to H+1, any partner is found: one that no
 segment finds differs in at least sum(a_i) > H elements. Allocations go where they cost least, by how often a subset
-occurs among the sets at hand, so subsets that boilerplate fills are left out.
+has occurred in the task, so subsets that boilerplate fills are left out.
 
 Sets with equal signatures form runs. Short runs give all their pairs; long ones, in a share of the buckets, a star and
 a chain, and, for what still lies in different components after those are verified, pairs of bounded blocks. Before sets are compared
@@ -79,7 +79,7 @@ def ranks_in(group: np.ndarray) -> np.ndarray:
     return np.arange(len(group)) - np.repeat(start, np.diff(np.append(start, len(group))))
 
 
-def signatures(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def signatures(values: np.ndarray, offsets: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(signature, set number, 1 for index + 2 for probe, True where it stands for an empty subset)."""
     sizes = np.diff(offsets)
     band = np.floor(np.log2(np.maximum(sizes, 1))).astype(np.int64)
@@ -106,9 +106,10 @@ def signatures(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     owner = np.repeat(np.arange(len(task)), m)
     where = (np.arange(base[-1]) - base[owner]).astype(np.uint64) * K1 + tband[owner].astype(np.uint64) * K2
     sub = mix(sums + where)
-    # Cost of a segment: how often its subset occurs among the sets at hand; deletions cost their own look-ups too.
-    _, inverse, often = np.unique(sub, return_inverse=True, return_counts=True)
-    cost = often[inverse]
+    # Cost of a segment: about how often its subset has occurred in this task; deletions cost their own look-ups too.
+    slot = (sub & np.uint64(len(seen) - 1)).astype(np.int64)
+    seen += np.bincount(slot, minlength=len(seen)).astype(seen.dtype)
+    cost = seen[slot].astype(np.int64)
     need = ((sizes[task] + np.minimum(sizes[task], 2 ** (tband + 1) - 1)) * (Q - P) // (Q + P) + 1)
     small = tband[owner] <= DELETIONS_TO
     last = np.int64(1) << 40
@@ -158,7 +159,7 @@ def bundled(docs: DataFrame, buckets: int) -> DataFrame:
     """Signatures of each task's distinct sets, packed by bucket; bucket -1 holds (doc_id, n_shingles, set's first)."""
 
     def run(batches):
-        cache, first, held = WordHashes(), {}, []
+        cache, first, held, seen = WordHashes(), {}, [], np.zeros(1 << 21, np.int32)
 
         def packed():
             sig, doc, info = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -183,7 +184,7 @@ def bundled(docs: DataFrame, buckets: int) -> DataFrame:
             new = np.flatnonzero((head == ids) & (sizes > 0))
             new = new[np.unique(ids[new], return_index=True)[1]]  # a repeated row is one set
             pick = np.concatenate([np.arange(offsets[d], offsets[d + 1]) for d in new]) if len(new) else np.empty(0, np.int64)
-            sig, s, flag, empty = signatures(values[pick], np.concatenate([[0], np.cumsum(sizes[new])]))
+            sig, s, flag, empty = signatures(values[pick], np.concatenate([[0], np.cumsum(sizes[new])]), seen)
             doc, size = ids[new][s], sizes[new][s]
             # Empty subsets are common: index rows go to one of SALTS places, a probe that needs them to all.
             where = mix(doc.view(np.uint64)) % np.uint64(SALTS)
@@ -214,7 +215,7 @@ def linked_sizes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def candidates(bundles: DataFrame, short_run: int = SHORT_RUN) -> DataFrame:
-    """(kind, a, b, c): kind 0 document, size, set's first; kind 1 a pair; kind 2 run, document, size of a long run."""
+    """(kind, a, b, c): kind 0 document, size, set's first; kind 1 a pair; kind 2 long run, document, twice its size plus 1 for a probe."""
 
     def emit(kind, a, b, c):
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], names=["kind", "a", "b", "c"])
@@ -262,7 +263,7 @@ def candidates(bundles: DataFrame, short_run: int = SHORT_RUN) -> DataFrame:
             ids = np.unique(run[long])
             once[ids[np.unique(key[ids], return_index=True)[1]]] = True
             long = long[once[run[long]]]
-            yield emit(2, mix(key ^ K1)[run[long]].view(np.int64), doc[long], size[long])
+            yield emit(2, mix(key ^ K1)[run[long]].view(np.int64), doc[long], size[long] * 2 + (flags[long] >> 1))
 
     def run_all(batches):
         held, at = [], None
@@ -367,10 +368,10 @@ def in_cells(cells: DataFrame, check) -> DataFrame:
                     if members:
                         yield from check(members, pairs)
                     at, members, pairs = cell, {}, []
-                if kind == 0:
-                    members[a] = (np.frombuffer(elements, np.uint64), label, b)
-                else:
+                if elements is None:
                     pairs.append((a, b))
+                else:
+                    members[kind, a] = (np.frombuffer(elements, np.uint64), label, b)
         if members:
             yield from check(members, pairs)
 
@@ -389,7 +390,7 @@ def _links(a: list[int], b: list[int]) -> pa.RecordBatch:
 def check_pairs(members: dict, pairs: list):
     a, b = [], []
     for x, y in pairs:
-        u, v = members[x][0], members[y][0]
+        u, v = members[0, x][0], members[0, y][0]
         if len(u) > len(v):
             u, v = v, u
         k = np.searchsorted(v, u)
@@ -401,25 +402,23 @@ def check_pairs(members: dict, pairs: list):
 
 
 def check_blocks(members: dict, _pairs: list):
-    """Pairs of different components whose sketches don't rule a link out."""
-    ids = np.array(list(members))
-    labels, sizes = np.array([m[1] for m in members.values()]), np.array([m[2] for m in members.values()])
-    raw = [m[0].view(np.uint8) for m in members.values()]
-    widths = np.array([len(x) for x in raw])
-    kinds = {n: np.flatnonzero(widths == n) for n in np.unique(widths).tolist()}
-    stacked = {n: np.stack([raw[k] for k in at]) for n, at in kinds.items()}
-    for n, at in kinds.items():
-        for m, others in kinds.items():
-            if m < n:
-                continue
-            right = folded(stacked[m], n).view(np.uint64)
-            for i, x in zip(at, stacked[n].view(np.uint64), strict=True):
-                ok = (labels[others] != labels[i]) & linked_sizes(sizes[others], sizes[i]) & ((others > i) | (m > n))
-                j = others[ok]
-                apart = np.bitwise_count(right[ok] ^ x).sum(1, dtype=np.int64)
-                j = j[apart <= (sizes[j] + sizes[i]) * (Q - P) // (Q + P)]
+    """Pairs of a probe (kind 0) and a document (kind 1) of different components whose sketches don't rule a link out."""
+    by_width: dict[int, list] = {}
+    for (kind, x), (raw, label, size) in members.items():
+        if kind:
+            by_width.setdefault(raw.nbytes, []).append((x, label, size, raw.view(np.uint8)))
+    right = {n: (np.stack([r[3] for r in rows]), *(np.array([r[k] for r in rows]) for k in range(3))) for n, rows in by_width.items()}
+    for (kind, x), (raw, label, size) in members.items():
+        if kind:
+            continue
+        for n, (stacked, ids, labels, sizes) in right.items():
+            ok = np.flatnonzero((labels != label) & (ids != x) & linked_sizes(sizes, np.int64(size)))
+            if len(ok):
+                width = min(n, raw.nbytes)
+                apart = np.bitwise_count(folded(stacked[ok], width) ^ folded(raw.view(np.uint8)[None], width)).sum(1, dtype=np.int64)
+                j = ids[ok[apart <= (sizes[ok] + size) * (Q - P) // (Q + P)]]
                 if len(j):
-                    yield _links(np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]))
+                    yield _links(np.minimum(x, j), np.maximum(x, j))
 
 
 def verified_pairs(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -439,7 +438,7 @@ def verified_pairs(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 def open_pairs(runs: DataFrame, found: DataFrame, sketches: DataFrame) -> DataFrame:
     """Pairs of one long run that ``found`` (node, component) leaves in different components; a written table."""
-    docs = runs.groupBy(F.col("doc").alias("node")).agg(F.first("size").alias("size"))
+    docs = runs.groupBy(F.col("doc").alias("node")).agg(F.first("size").alias("size"), F.max("probe").alias("probe"))
     docs = docs.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     large = docs.groupBy("component").count().where(F.col("count") >= LARGE_CLASS).select("component", F.col("component").alias("class"))
     docs = docs.join(large, "component", "left").withColumn("class", F.coalesce("class", F.lit(-1).cast("long")))
@@ -450,18 +449,21 @@ def open_pairs(runs: DataFrame, found: DataFrame, sketches: DataFrame) -> DataFr
         near = runs.join(group, runs["doc"] == group["node"]).groupBy("run").agg(F.min("group").alias("low"))
         group = runs.join(near, "run").groupBy(F.col("doc").alias("node")).agg(F.min("low").alias("group"))
     docs = docs.join(group, "node")
-    crowd = docs.groupBy("group", "class", "bin").agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).alias("parts"))
-    docs = docs.join(crowd, ["group", "class", "bin"]).withColumn("block", F.xxhash64("group", "class", "bin", F.pmod(F.xxhash64("node"), F.col("parts"))))
-    docs = written(docs.select("node", "component", "block", "class", "bin"), "blocks")
-    met = runs.select("run", F.col("doc").alias("node")).join(docs, "node")
-    mixed = met.groupBy("run").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.collect_set(F.struct("block", "class", "bin")).alias("blocks")).where("x <> y")
-    one, two = F.explode("blocks").alias("p"), F.explode("blocks").alias("q")
-    cells = mixed.select("blocks", one).select("p", two).where(
-        "p.block <= q.block AND NOT (p.class >= 0 AND p.class = q.class) AND abs(p.bin - q.bin) <= 3"
-    ).select(F.col("p.block").alias("p"), F.col("q.block").alias("q")).distinct()
-    cells = cells.withColumn("cell", F.xxhash64("p", "q"))
-    sides = cells.select("cell", F.col("p").alias("block")).union(cells.select("cell", "q")).distinct()
-    rows = sides.join(docs, "block").join(sketches, "node").select("cell", F.lit(0).alias("kind"), F.col("node").alias("a"), F.col("size").alias("b"), F.col("component").alias("label"), F.col("sketch").alias("elements"))
+    keys = ["group", "class", "bin"]
+    crowd = docs.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).alias("parts"), F.ceil(F.sum("probe") / BLOCK_DOCS).alias("few"))
+    place = lambda n: F.pmod(F.xxhash64("node"), F.greatest(F.col(n), F.lit(1)))
+    docs = docs.join(crowd, keys).withColumn("block", F.xxhash64(F.lit(0), *keys, place("parts"))).withColumn("probes", F.xxhash64(F.lit(1), *keys, place("few")))
+    docs = written(docs.select("node", "component", "probe", "block", "probes", "class", "bin"), "blocks")
+    met = runs.select("run", F.col("doc").alias("node"), F.col("probe").alias("asks")).join(docs, "node")
+    part = lambda c: F.struct(F.col(c).alias("block"), "class", "bin")
+    mixed = met.groupBy("run").agg(
+        F.min("component").alias("x"), F.max("component").alias("y"), F.collect_set(F.when(F.col("asks") == 1, part("probes"))).alias("left"), F.collect_set(part("block")).alias("right")
+    ).where("x <> y")
+    cells = mixed.select("right", F.explode("left").alias("p")).select("p", F.explode("right").alias("q")).where("NOT (p.class >= 0 AND p.class = q.class) AND abs(p.bin - q.bin) <= 3")
+    cells = cells.select(F.col("p.block").alias("p"), F.col("q.block").alias("q")).distinct().withColumn("cell", F.xxhash64("p", "q"))
+    sides = docs.where("probe = 1").select("node", "component", F.col("probes").alias("p")).join(cells, "p").select("cell", F.lit(0).alias("kind"), "node", "component")
+    sides = sides.union(docs.select("node", "component", F.col("block").alias("q")).join(cells, "q").select("cell", F.lit(1), "node", "component"))
+    rows = sides.join(sketches, "node").select("cell", "kind", F.col("node").alias("a"), F.col("size").alias("b"), F.col("component").alias("label"), F.col("sketch").alias("elements"))
     return written(in_cells(rows, check_blocks).distinct(), "pairs")
 
 
@@ -480,7 +482,7 @@ def similarity_classes(docs: DataFrame, short_run: int = SHORT_RUN) -> DataFrame
     stage = written(candidates(bundles.repartition(spread, "at").sortWithinPartitions("bucket").select(*NAMES), short_run), "candidates")
     members = stage.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("node"))
     pairs = stage.where("kind = 1").select("a", "b").distinct()
-    runs = stage.where("kind = 2").select(F.col("a").alias("run"), F.col("b").alias("doc"), F.col("c").alias("size"))
+    runs = stage.where("kind = 2").select(F.col("a").alias("run"), F.col("b").alias("doc"), F.expr("c div 2").alias("size"), (F.col("c") % 2).alias("probe"))
     nodes = stage.where("kind = 1").select(F.explode(F.array("a", "b")).alias("node")).union(runs.select("doc"))
     sketches = sketches_for(known, nodes)
     links = written(verified_pairs(near_pairs(pairs, sketches), known), "links")
