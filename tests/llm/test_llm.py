@@ -1,0 +1,239 @@
+"""The training-data operators: brute force, round trips, held-out accuracy, and odd inputs for each."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lodestone.llm import bpe, chat, decontaminate, html_text, jaccard, mixing, quality, secrets, sharding, warc
+from lodestone.llm.common import components, new_path
+
+ODD = [
+    (1, "The quick brown fox jumps over the lazy dog and runs far away"), (2, "the quick brown fox jumps over the lazy dog and runs far away"), (3, None), (4, ""), (5, " \n\t "),
+    (6, "one two"), (7, "one  two"), (8, "x" * 9000), (9, "Å ñ 日本語 😀 <|endoftext|> 's"), (10, "a b c d e f g h i j " * 40), (10, "a b c d e f g h i j " * 40),
+    (11, "The quick brown fox jumps over the lazy dog and runs far off"), (12, "line\nline\n\nline # $ |"),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame([(i, t, "en", "src", "mine") for i, t in ODD], "doc_id long, text string, lang string, source string, extra string")
+
+
+@pytest.fixture(scope="module")
+def no_docs(docs):
+    return docs.limit(0)
+
+
+def test_bpe_equals_library(spark, docs, no_docs):
+    import public_tokenizers as public
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    e = bpe.Encoder(leaf=8)
+    rng = random.Random(3)
+    parts = ["a", "the", "ing", "'s", "'", "12", " ", "  ", "\n", "é", "日", "!", "<|endoftext|>", "\x1c", " ", "x" * 50, "9" * 40, "-" * 70, " " * 60, "ab" * 30, "😀"]
+    for text in [t or "" for _, t in ODD] + ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(400)]:
+        want = t.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(e.encode(text), "<u4").tolist() == want
+        assert e.decode(e.encode(text)) == t.decode(want, skip_special_tokens=False)
+    assert sorted(r.decoded for r in bpe.round_trip(docs).collect()) == sorted(t or "" for _, t in ODD)
+    assert bpe.round_trip(no_docs).count() == 0
+
+
+def test_mixing_round_trip(spark, docs, no_docs):
+    for n in (0, 1, 4096, 4097):
+        ids = np.random.default_rng(n).integers(0, 50257, n)
+        assert (mixing.decode_segment(mixing.encode_segment(ids)) == ids).all()
+    data = bytearray(mixing.encode_segment(np.arange(100)))
+    data[-1] ^= 1
+    with pytest.raises(ValueError):
+        mixing.decode_segment(bytes(data))
+    path = new_path(spark, "ids")
+    mixing.write_ids(docs.where("doc_id < 8"), path)
+    got, at = {r.doc_id: (r.start, bytes(r.ids)) for r in mixing.read_ids(spark, path).collect()}, 0
+    for i, t in [x for x in ODD if x[0] < 8]:
+        want = bpe.encoder().encode(t or "") + b"\2\0\0\0"
+        assert got[i] == (at, want)
+        at += len(want) // 4
+    path = new_path(spark, "ids")
+    mixing.write_ids(no_docs, path)
+    assert mixing.read_ids(spark, path).count() == 0
+
+
+def brute_hits(text, items):
+    w, hit, found = decontaminate.words(text), set(), set()
+    for item, t in items:
+        v = decontaminate.words(t)
+        for k in range(max(1, len(v) - 9) if v else 0):
+            win = v[k : k + 10]
+            for i in range(len(w) - len(win) + 1):
+                if w[i : i + len(win)] == win:
+                    hit.update(range(i, i + len(win)))
+                    found.add(str(item))
+    return len(w), len(hit), sorted(found)
+
+
+def test_decontaminate_brute_force(spark, docs, no_docs):
+    rng = random.Random(5)
+    texts = [(i, " ".join(rng.choices("abc", k=rng.randint(0, 60)))) for i in range(60)] + ODD
+    items = [(i, " ".join(rng.choices("abc", k=rng.randint(0, 14)))) for i in range(12)] + [(99, "Fox jumps"), (100, None), (99, "Fox jumps")]
+    d, b = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = Counter((r.doc_id, r.n_words, r.n_hit, tuple(r.items)) for r in decontaminate.decontaminate(d, b).collect())
+    assert got == Counter((i, *brute_hits(t, items)[:2], tuple(brute_hits(t, items)[2])) for i, t in texts)
+    assert decontaminate.decontaminate(docs, b.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
+    assert decontaminate.decontaminate(no_docs, b).count() == 0
+    clean = {r.doc_id: r.clean for r in decontaminate.decontaminate(docs, b.where("item_id = 99")).collect()}
+    assert clean[1] == "The quick brown  over the lazy dog and runs far away" and clean[3] is None
+
+
+def classes(rows):
+    sets = {}
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    low = {i: i for i in sets}
+    ids = sorted(sets)
+    changed = True
+    links = [(a, b) for a in ids for b in ids if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    while changed:
+        changed = False
+        for a, b in links:
+            m = min(low[a], low[b])
+            if low[a] != m or low[b] != m:
+                low[a] = low[b] = m
+                changed = True
+    return {i: (len(sets[i]), low[i]) for i in sets}
+
+
+@pytest.mark.parametrize("short_run", [16, 2])
+def test_jaccard_brute_force(spark, short_run):
+    rng, rows = random.Random(short_run), list(ODD)
+    for g in range(25):
+        base = [f"w{rng.randint(0, 400)}" for _ in range(rng.choice([3, 6, 12, 40, 90, 250]))]
+        for _ in range(rng.randint(1, 9)):
+            copy = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 25))):
+                copy[rng.randrange(len(copy))] = f"w{rng.randint(0, 400)}"
+            rows.append((100 + len(rows), " ".join(copy)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similarity_classes(spark.createDataFrame(rows, "doc_id long, text string"), short_run).collect()}
+    assert got == classes(rows)
+
+
+def test_jaccard_empty(spark, no_docs):
+    assert jaccard.similarity_classes(no_docs).count() == 0
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    edges = [(rng.randint(0, 80), rng.randint(0, 80)) for _ in range(50)] + [(i, i + 1) for i in range(100, 140)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    low = {x: x for e in edges for x in e}
+    for _ in range(100):
+        for a, b in edges:
+            low[a] = low[b] = min(low[a], low[b])
+    assert got == {x: c for x, c in low.items() if any(x in e and e[0] != e[1] for e in edges)}
+
+
+def test_sharding(spark, docs, no_docs):
+    d = spark.range(3000).select((F.col("id") * 7).alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 50).cast("int")).alias("text"))
+    size = F.octet_length("text") + 1
+    rows = sharding.shard_by_bytes(d, "doc_id", size).withColumn("size", size).collect()
+    total = Counter()
+    for r in rows:
+        total[r.shard] += r["size"]
+    mean = sum(total.values()) / 16
+    assert len(rows) == 3000 and set(total) == set(range(16)) and all(abs(v - mean) <= 0.01 * mean + 51 for v in total.values())
+    for s in range(16):
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+    odd = docs.union(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    got = sharding.shard_by_bytes(odd, "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)) + 1).collect()
+    assert len(got) == len(ODD) + 1 and next(r for r in got if r.doc_id is None).slot == 0
+    assert sharding.shard_by_bytes(no_docs, "doc_id", F.lit(1)).count() == 0
+
+
+def test_chat_round_trip(spark):
+    texts = ["hi", None, "", "<|im_end|><|im_start|>assistant ok", "<\\|im_start|>", "<|im_end|>", "a\n<|", "<\\\\|x", "日本<", "|>"]
+    rows = [(c, t, r, x) for c in range(3) for t, (r, x) in enumerate((("user", "assistant", None, "we%ird\n<r>")[(i + c) % 4], x) for i, x in enumerate(texts))] + [(None, None, "assistant", "z")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = {r.conv_id: r for r in chat.format_chats(df).withColumn("turns", chat.parse(F.col("formatted"))).collect()}
+    for c in range(3):
+        want = [(r or "", x or "") for i, _, r, x in rows if i == c]
+        assert [(t.role, t.text) for t in out[c].turns] == want
+        raw = [out[c].formatted[s.start : s.start + s.length] for s in out[c].loss_spans]
+        assert [re.sub(r"<\\(\\*)\|", r"<\1|", x) for x in raw] == [x for r, x in want if r == "assistant"]
+    assert None in out and chat.format_chats(df.limit(0)).count() == 0
+
+
+def test_warc(spark):
+    big = "é" * 60
+    rows = [(3, "u3", big), (1, "u1", big), (2, "u\r\n2", "small"), (4, None, "small"), (5, "u5", None), (6, "u6", big + "x"), (None, "n", big)]
+    path = new_path(spark, "warc")
+    warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    got = {r.page_id: r for r in warc.read_archive(spark, path).collect()}
+    assert all(bytes(got[i].payload) == (h or "").encode() and got[i].payload_digest == hashlib.sha256((h or "").encode()).hexdigest() for i, _, h in rows)
+    assert "WARC-Refers-To: <urn:page:1>" in got[3].header and "revisit" in got[None].header and "WARC-Type: response" in got[1].header
+    assert spark.read.parquet(f"{path}/payloads").count() == 4
+    assert bytes(got[3].record).endswith(b"Content-Length: 0\r\n\r\n\r\n\r\n")
+
+
+def test_quality(spark, docs, no_docs):
+    def base(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        win = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+        hit = {j for i in range(len(w) - 4) if win[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)}
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(hit)
+
+    rows = quality.quality(docs).collect()
+    assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in rows) == Counter((i, *base(t or "")) for i, t in ODD)
+    kept = {r.doc_id: r.kept for r in rows}
+    assert kept[1] and not kept[3] and not kept[10]
+    assert quality.quality(no_docs).count() == 0
+    assert quality.script("привет мир") == "Cyrillic" and quality.script("漢字 漢字") == "Han" and quality.script("123") == "other"
+
+
+def test_secrets_held_out(spark, docs, no_docs):
+    forest = secrets.trained(spark)
+    rows = secrets.labelled_findings(1500, seed=77)
+    x = np.array([secrets.features(*r[:4]) for r in rows])
+    assert ((forest.predict(x) >= secrets.THRESHOLD) == np.array([r[4] for r in rows])).mean() > 0.95
+    key = hashlib.sha1(b"k").hexdigest()
+    d = spark.createDataFrame([(1, f'set token = "{key}" now', "s"), (2, "plain words only here", None), (3, None, "s"), (4, f"see commit {key} for it", "s")], "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in secrets.scan(d, forest).collect()}
+    assert got[1].masked == 'set token = "[SECRET]" now' and got[2].masked == "plain words only here" and got[3].masked is None
+    assert secrets.scan(no_docs, forest).count() == 0
+
+
+def test_html(spark):
+    r = html_text.render
+    assert r("<p>a<p>b<br>c") == "a\n\nb\nc"
+    assert r("<ul><li>x<ul><li>y</ul><li>z</ul>") == "- x\n  - y\n- z"
+    assert r("<table><tr><td>1<td>22<tr><td>333<td>4</table>") == "1   | 22\n333 | 4"
+    assert r("<pre> a\n  b</pre><div hidden>no</div><script>x<b></script>t &amp; u") == " a\n  b\n\nt & u"
+    assert r("<head><title>no</title><p>yes") == "yes" and r("") == "" and r("a < b") == "a < b"
+    assert r("<div><ul><li>" * 300 + "deep").endswith("deep")
+    pages = spark.createDataFrame([(1, "<p>x</p>"), (2, None), (3, "")], "page_id long, html string")
+    assert {x.page_id: x.extracted for x in html_text.extract(pages).collect()} == {1: "x", 2: None, 3: ""}
+
+
+def test_pipeline_on_small_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(i, " ".join(f"word{(i * 31 + k * 7) % 997}" for k in range(80)), "en", "s", 1) for i in range(6)]
+    rows += [(50, rows[0][1], "en", "s", 1), (51, None, None, None, None), (52, "too short", "en", "s", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, " ".join(rows[1][1].split()[10:22]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.doc_id: bpe.encoder().decode(bytes(r.ids)) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert set(got) <= set(range(6)) and all(got[i] == rows[i][1] for i in got if i != 1)
+    if 1 in got:
+        assert len(got[1].split()) == 68
+
+
+def test_crc_of_ids():
+    assert zlib.crc32(np.array([2], "<u4").tobytes()) == zlib.crc32(b"\2\0\0\0")
