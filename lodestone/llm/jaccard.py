@@ -9,12 +9,17 @@ segment finds differs in at least sum(a_i) > H elements. Allocations go where th
 has occurred in the task, so subsets that boilerplate fills are left out.
 
 Sets with equal signatures form runs. Short runs give all their pairs; long ones, in a share of the buckets, a star and
-a chain, and, for what still lies in different components after those are verified, pairs of bounded blocks. Before sets are compared
-exactly, their parity sketches are: bits that differ are a lower bound of the elements that differ.
+a chain. What still lies in different components after those are verified is refined: the sets of long runs meet again
+by their rarest elements, of which linked sets must share one (counts of hashed elements over all sets give the order),
+short groups as pairs and long ones as pairs of bounded blocks. So a passage that fills most of many texts costs no
+pairs. Before sets are compared exactly, their parity sketches are: bits that differ are a lower bound of the elements
+that differ.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,11 +33,13 @@ N = 5
 P, Q = 75, 100
 SHORT_RUN = 16
 AHEAD = 8  # one bucket in so many gives stars and chains
-SLICE = 1_000_000
+SLICE = 500_000
 BLOCK_DOCS = 400
 LARGE_CLASS = 100
 SALTS = 64
 FILTER_BITS = 1 << 24
+RARITY_SLOTS = 1 << 20  # hashed counts of elements; only an order, so collisions cost time and not exactness
+RARITY_PARTS = 64
 DELETIONS_TO = 5  # bands of sets below 2**(DELETIONS_TO + 1) elements index one-deletion neighbourhoods
 K1, K2, K3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -55,7 +62,6 @@ def sets_of(words: list[list[bytes]], cache: WordHashes) -> tuple[np.ndarray, np
     n = len(words)
     at = inside(offsets, N, len(h))
     doc = np.repeat(np.arange(n), np.diff(offsets))
-    values, owner = windows(h, N)[at], doc[at] if len(at) else at
     few = np.flatnonzero((np.diff(offsets) > 0) & (np.diff(offsets) < N))
     whole = []
     for d in few:
@@ -63,10 +69,15 @@ def sets_of(words: list[list[bytes]], cache: WordHashes) -> tuple[np.ndarray, np
         for w in h[offsets[d] : offsets[d + 1]].tolist():
             x = (x * int(K1) + w + 1) % 2**64
         whole.append(x)
-    whole = mix(np.array(whole, np.uint64))
-    values, owner = np.concatenate([values, whole]), np.concatenate([owner, few]).astype(np.int64)
-    order = np.lexsort((values, owner))
-    values, owner = values[order], owner[order]
+    sizes = np.bincount(doc[at], minlength=n) if len(at) else np.zeros(n, np.int64)
+    sizes[few] = 1
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    values, single = np.empty(ends[-1], np.uint64), np.zeros(ends[-1], bool)
+    single[ends[few]] = True
+    values[single], values[~single] = mix(np.array(whole, np.uint64)), windows(h, N)[at]
+    for d in np.flatnonzero(sizes > 1).tolist():
+        values[ends[d] : ends[d + 1]].sort()
+    owner = np.repeat(np.arange(n), sizes)
     new = np.ones(len(values), bool)
     new[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
     counts = np.bincount(owner[new], minlength=n)
@@ -97,7 +108,7 @@ def signatures(values: np.ndarray, offsets: np.ndarray, seen: np.ndarray) -> tup
     v = values[np.arange(len(t)) - np.repeat(np.cumsum(n) - n, n) + offsets[task][t]]
     spread = mix(v + tband[t].astype(np.uint64) * K2)
     seg = base[t] + ((spread >> np.uint64(32)) * m[t].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-    order = np.argsort(seg, kind="stable")
+    order = np.argsort(seg)
     seg, element = seg[order], mix(v[order] ^ K3)
     count = np.bincount(seg, minlength=base[-1])
     sums = np.zeros(base[-1], np.uint64)
@@ -117,7 +128,7 @@ def signatures(values: np.ndarray, offsets: np.ndarray, seen: np.ndarray) -> tup
     two = np.where(~small, last << 2, np.where(count >= 2, cost + count, (last << 1) + count))
     item_cost = np.concatenate([one, two])
     item_seg = np.concatenate([np.arange(base[-1])] * 2)
-    by = np.lexsort((item_cost, owner[item_seg]))
+    by = np.argsort((owner[item_seg] << 44) + item_cost)  # costs stay below 2**44
     chosen = by[ranks_in(owner[item_seg][by]) < need[owner[item_seg][by]]]
     allocation = np.bincount(item_seg[chosen], minlength=base[-1])
 
@@ -156,16 +167,16 @@ def _words(batch: pa.RecordBatch) -> list[list[bytes]]:
 
 
 def bundled(docs: DataFrame, buckets: int) -> DataFrame:
-    """Signatures of each task's distinct sets, packed by bucket; bucket -1 holds (doc_id, n_shingles, set's first)."""
+    """Signatures of each task's distinct sets, packed by bucket; bucket -1 holds (doc_id, n_shingles, set's first), -2 and below parts of the counts of elements."""
 
     def run(batches):
-        cache, first, held, seen = WordHashes(), {}, [], np.zeros(1 << 21, np.int32)
+        cache, first, held, seen, often = WordHashes(), {}, [], np.zeros(1 << 21, np.int32), np.zeros(RARITY_SLOTS, np.int32)
 
         def packed():
             sig, doc, info = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             bucket = (sig >> np.uint64(40)) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
+            order = np.argsort(bucket)
             sig, doc, info, bucket = sig[order], doc[order], info[order], bucket[order].astype(np.int64)
             edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
             parts = [(int(bucket[a]), b - a, planes(sig[a:b], 5), planes(doc[a:b].view(np.uint64), 8), planes(info[a:b], 5)) for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a]
@@ -184,6 +195,7 @@ def bundled(docs: DataFrame, buckets: int) -> DataFrame:
             new = np.flatnonzero((head == ids) & (sizes > 0))
             new = new[np.unique(ids[new], return_index=True)[1]]  # a repeated row is one set
             pick = np.concatenate([np.arange(offsets[d], offsets[d + 1]) for d in new]) if len(new) else np.empty(0, np.int64)
+            often += np.bincount((values[pick] & np.uint64(RARITY_SLOTS - 1)).astype(np.int64), minlength=RARITY_SLOTS).astype(np.int32)
             sig, s, flag, empty = signatures(values[pick], np.concatenate([[0], np.cumsum(sizes[new])]), seen)
             doc, size = ids[new][s], sizes[new][s]
             # Empty subsets are common: index rows go to one of SALTS places, a probe that needs them to all.
@@ -198,10 +210,13 @@ def bundled(docs: DataFrame, buckets: int) -> DataFrame:
             if probe.any():
                 for salt in range(SALTS):
                     held.append((mix(raw + np.uint64(salt + 1)), doc[probe], info[probe] | np.uint64(2)))
-            if sum(len(x[0]) for x in held) > 1_500_000:
+            if sum(len(x[0]) for x in held) > 750_000:
                 yield packed()
         if held and sum(len(x[0]) for x in held):
             yield packed()
+        for part, counts in enumerate(often.reshape(RARITY_PARTS, -1)):
+            if counts.any():
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((-2 - part, len(counts), zlib.compress(planes(counts, 4), 1), b"", b""), TYPES, strict=True)], names=NAMES)
 
     return docs.mapInArrow(run, BUNDLE)
 
@@ -214,17 +229,18 @@ def linked_sizes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.minimum(a, b) * Q >= np.maximum(a, b) * P
 
 
-def candidates(bundles: DataFrame, short_run: int = SHORT_RUN) -> DataFrame:
-    """(kind, a, b, c): kind 0 document, size, set's first; kind 1 a pair; kind 2 long run, document, twice its size plus 1 for a probe."""
+def _rows(kind, a, b, c) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], names=["kind", "a", "b", "c"])
 
-    def emit(kind, a, b, c):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], names=["kind", "a", "b", "c"])
 
-    def match(parts, ahead):
+def candidates(bundles: DataFrame, short_run: int = SHORT_RUN) -> DataFrame:
+    """(kind, a, b, c): kind 0 document, size, set's first; kind 1 a pair; kind 2 a document of a long run; kind 3 slot and its count of elements."""
+
+    def match(parts, ahead, crowd):
         sig = np.concatenate([unplanes(p[1], p[0], 5) for p in parts])
         doc = np.concatenate([unplanes(p[2], p[0], 8) for p in parts]).view(np.int64)
         info = np.concatenate([unplanes(p[3], p[0], 5) for p in parts])
-        order = np.lexsort((doc, sig))
+        order = np.argsort(sig)
         sig, doc, info = sig[order], doc[order], info[order]
         run = np.cumsum(np.concatenate([[True], sig[1:] != sig[:-1]])) - 1
         flags = (info & np.uint64(3)).astype(np.int64)
@@ -233,6 +249,8 @@ def candidates(bundles: DataFrame, short_run: int = SHORT_RUN) -> DataFrame:
         run, doc, flags, size = run[keep], doc[keep], flags[keep], (info[keep] >> np.uint64(2)).astype(np.int64)
         if not len(run):
             return
+        order = np.lexsort((doc, run))
+        run, doc, flags, size = run[order], doc[order], flags[order], size[order]
         length = np.bincount(run)[run]
         found = []
 
@@ -252,33 +270,37 @@ def candidates(bundles: DataFrame, short_run: int = SHORT_RUN) -> DataFrame:
             pairs(start[long], long)
             chain = long[1:][run[long[1:]] == run[long[:-1]]]
             pairs(chain - 1, chain)
-        # Long runs that hold the same documents count once.
         both = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
         if len(both):
-            yield emit(1, both[:, 0], both[:, 1], np.zeros(len(both), np.int64))
+            yield _rows(1, both[:, 0], both[:, 1], np.zeros(len(both), np.int64))
         if len(long):
-            key = np.zeros(int(run.max()) + 1, np.uint64)
-            np.add.at(key, run[long], mix(doc[long].view(np.uint64)))
-            once = np.zeros(len(key), bool)
-            ids = np.unique(run[long])
-            once[ids[np.unique(key[ids], return_index=True)[1]]] = True
-            long = long[once[run[long]]]
-            yield emit(2, mix(key ^ K1)[run[long]].view(np.int64), doc[long], size[long] * 2 + (flags[long] >> 1))
+            ids = np.unique(doc[long])
+            slot = (mix(ids.view(np.uint64)) % np.uint64(len(crowd))).astype(np.int64)
+            ids, slot = ids[crowd[slot] != ids], slot[crowd[slot] != ids]
+            crowd[slot] = ids
+            yield _rows(2, ids, ids, ids)
 
     def run_all(batches):
-        held, at = [], None
+        held, at, crowd, often = [], None, np.zeros(1 << 18, np.int64), {}
+        crowd[0] = 1  # which were given already, as far as it remembers; no entry stands for its own place at first
         for batch in batches:
             for bucket, rows, sigs, docs, info in zip(*(batch[c].to_pylist() for c in NAMES), strict=True):
+                if bucket < -1:
+                    often[bucket] = often.get(bucket, 0) + unplanes(zlib.decompress(sigs), rows, 4).astype(np.int64)
+                    continue
                 if bucket < 0:
-                    yield emit(0, np.frombuffer(sigs, np.int64), np.frombuffer(docs, np.int64), np.frombuffer(info, np.int64))
+                    yield _rows(0, np.frombuffer(sigs, np.int64), np.frombuffer(docs, np.int64), np.frombuffer(info, np.int64))
                     continue
                 if bucket != at and held:
-                    yield from match(held, at % AHEAD == 0)
+                    yield from match(held, at % AHEAD == 0, crowd)
                     held = []
                 at = bucket
                 held.append((rows, sigs, docs, info))
         if held:
-            yield from match(held, at % AHEAD == 0)
+            yield from match(held, at % AHEAD == 0, crowd)
+        for part, counts in often.items():
+            slots = (-2 - part) * len(counts) + np.arange(len(counts))
+            yield _rows(3, slots, counts, slots)
 
     return bundles.mapInArrow(run_all, "kind int, a long, b long, c long")
 
@@ -294,7 +316,7 @@ def wanted_bits(nodes: DataFrame) -> bytes:
 
 
 def of_nodes(docs: DataFrame, nodes: DataFrame, encode, ddl: str) -> DataFrame:
-    """``encode(ids, values, offsets)`` over the shingle sets of about the given nodes."""
+    """``encode(ids, values, offsets, bit numbers)`` over the shingle sets of about the given nodes."""
     bits = docs.sparkSession.sparkContext.broadcast(wanted_bits(nodes))
     marked = docs.select("doc_id", "text", F.pmod(F.xxhash64(F.col("doc_id")), F.lit(FILTER_BITS)).alias("h"))
 
@@ -304,7 +326,7 @@ def of_nodes(docs: DataFrame, nodes: DataFrame, encode, ddl: str) -> DataFrame:
             h = batch["h"].to_numpy().astype(np.int64)
             batch = batch.filter(pa.array((words[h // 64] >> (h % 64).astype(np.uint64)) & np.uint64(1) == 1))
             for part in slices(iter([batch]), limit=SLICE):
-                yield encode(part["doc_id"], *sets_of(_words(part), cache))
+                yield encode(part["doc_id"], *sets_of(_words(part), cache), part["h"].to_numpy().astype(np.int64))
 
     return marked.mapInArrow(run, ddl)
 
@@ -321,16 +343,119 @@ def folded(x: np.ndarray, n: int) -> np.ndarray:
     return np.bitwise_xor.reduce(x.reshape(len(x), -1, n), axis=1)
 
 
-def sketches_for(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    def encode(ids, values, offsets):
-        parts = [sketch(values[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        return pa.RecordBatch.from_arrays([ids, pa.array(np.diff(offsets)), pa.array(parts, pa.binary())], names=["node", "size", "sketch"])
+def rarity(counts: DataFrame) -> bytes:
+    """The counts of all slots; a table of fixed size."""
+    out = np.zeros(RARITY_SLOTS, np.int64)
+    got = counts.toArrow()  # at most RARITY_SLOTS rows
+    out[got["a"].to_numpy()] = got["b"].to_numpy()
+    return np.minimum(out, 2**31 - 1).astype(np.int32).tobytes()
+
+
+def asking(size):
+    """How many of a set's rarest elements hold one of any linked set that is at most as large."""
+    return size - -(-size * P // Q) + 1
+
+
+def asked(size):
+    """The same for linked sets that are at least as large."""
+    return size - -(-2 * size * P // (P + Q)) + 1
+
+
+def sketches_for(docs: DataFrame, nodes: DataFrame, crowd: DataFrame, counts: DataFrame) -> DataFrame:
+    """(node, size, sketch, rare): rare holds five bytes of each of the rarest elements of a set of a long run, else null."""
+    context = docs.sparkSession.sparkContext
+    often, bits = context.broadcast(rarity(counts)), context.broadcast(wanted_bits(crowd))
+
+    def encode(ids, values, offsets, h):
+        rank = np.frombuffer(often.value, np.int32)[(values & np.uint64(RARITY_SLOTS - 1)).astype(np.int64)]
+        words = np.frombuffer(bits.value, np.int64).view(np.uint64)
+        crowded = ((words[h // 64] >> (h % 64).astype(np.uint64)) & np.uint64(1) == 1).tolist()
+        sketches, rare = [], []
+        for a, b, c in zip(offsets[:-1].tolist(), offsets[1:].tolist(), crowded, strict=True):
+            v = values[a:b]
+            sketches.append(sketch(v))
+            first = np.argsort(rank[a:b], kind="stable")[: asking(b - a)] if c and b > a else None
+            rare.append(None if first is None else planes(mix(v[first] ^ K1), 5))
+        return pa.RecordBatch.from_arrays([ids, pa.array(np.diff(offsets)), pa.array(sketches, pa.binary()), pa.array(rare, pa.binary())], names=["node", "size", "sketch", "rare"])
+
+    return written(of_nodes(docs, nodes, encode, "node long, size long, sketch binary, rare binary"), "sketches")
+
+
+def rare_groups(sketches: DataFrame, found: DataFrame, buckets: int, short_run: int = SHORT_RUN) -> DataFrame:
+    """(kind, a, b, c): kind 1 a pair; kind 2 long group, document, twice its size plus 1 if it may be the smaller of a pair.
+
+    Only groups and pairs of different components of ``found`` (node, component).
+    """
+    sets = sketches.where("rare IS NOT NULL").select("node", "size", "rare").join(found, "node", "left").select("node", "size", "rare", F.coalesce("component", "node").alias("component"))
+
+    def pack(batches):
+        for batch in slices(batches, "rare", 4 * SLICE):
+            nodes, sizes, labels = (batch[c].to_numpy() for c in ("node", "size", "component"))
+            raw = batch["rare"].to_pylist()
+            counts = np.array([len(r) // 5 for r in raw], np.int64)
+            if not counts.sum():
+                continue
+            element = np.concatenate([unplanes(r, n, 5) for r, n in zip(raw, counts.tolist(), strict=True)])
+            owner = np.repeat(np.arange(len(raw)), counts)
+            place = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+            flag = (place < asked(sizes[owner])).astype(np.int64)
+            bucket = (element % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket)
+            element, owner, flag, bucket = element[order], owner[order], flag[order], bucket[order]
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+            u = lambda x: x.view(np.uint64)
+            parts = [(int(bucket[a]), b - a, planes(element[a:b], 5), planes(u(nodes[owner[a:b]]), 8) + planes(u(labels[owner[a:b]]), 8), planes(u(sizes[owner[a:b]] * 2 + flag[a:b]), 5)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*parts, strict=True), TYPES, strict=True)], names=NAMES)
+
+    def match(parts):
+        element = np.concatenate([unplanes(p[1], p[0], 5) for p in parts])
+        doc, label = (np.concatenate([unplanes(p[2][k * 8 * p[0] : (k + 1) * 8 * p[0]], p[0], 8) for p in parts]).view(np.int64) for k in range(2))
+        info = np.concatenate([unplanes(p[3], p[0], 5) for p in parts]).view(np.int64)
+        order = np.argsort(element)
+        element, doc, label, info = element[order], doc[order], label[order], info[order]
+        first = np.flatnonzero(np.concatenate([[True], element[1:] != element[:-1]]))
+        run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(element))))
+        live = (np.minimum.reduceat(label, first) < np.maximum.reduceat(label, first)) & (np.bincount(run, info & 1) > 0)
+        keep = np.flatnonzero(live[run])
+        if not len(keep):
+            return
+        keep = keep[np.lexsort((doc[keep], run[keep]))]
+        run, doc, label, info = run[keep], doc[keep], label[keep], info[keep]
+        size, length, pairs = info >> 1, np.bincount(run)[run], []
+        for d in range(1, max(2, short_run)):
+            i = np.flatnonzero((run[d:] == run[:-d]) & (length[d:] <= short_run))
+            j = i + d
+            ok = (label[i] != label[j]) & (info[i] & 1 | info[j] & 1 > 0) & linked_sizes(size[i], size[j])
+            pairs.append(np.stack([doc[i[ok]], doc[j[ok]]], 1))
+        pairs = np.unique(np.concatenate(pairs), axis=0)
+        yield _rows(1, pairs[:, 0], pairs[:, 1], pairs[:, 0])
+        long = np.flatnonzero(length > short_run)
+        if len(long):  # groups that hold the same documents count once
+            key = np.zeros(int(run.max()) + 1, np.uint64)
+            np.add.at(key, run[long], mix(doc[long].view(np.uint64) * np.uint64(2) + (info[long] & 1).view(np.uint64)))
+            once, ids = np.zeros(len(key), bool), np.unique(run[long])
+            once[ids[np.unique(key[ids], return_index=True)[1]]] = True
+            long = long[once[run[long]]]
+            yield _rows(2, mix(key ^ K1)[run[long]].view(np.int64), doc[long], info[long])
+
+    def match_all(batches):
+        held, at = [], None
+        for batch in batches:
+            for bucket, *part in zip(*(batch[c].to_pylist() for c in NAMES), strict=True):
+                if bucket != at and held:
+                    yield from match(held)
+                    held = []
+                at = bucket
+                held.append(part)
+        if held:
+            yield from match(held)
 
-    return written(of_nodes(docs, nodes, encode, "node long, size long, sketch binary"), "sketches")
+    spread = int(sketches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(sets.mapInArrow(pack, BUNDLE).repartition(spread, "bucket").sortWithinPartitions("bucket").mapInArrow(match_all, "kind int, a long, b long, c long"), "groups")
 
 
 def sets_for(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    def encode(ids, values, offsets):
+    def encode(ids, values, offsets, _):
         raw = [values[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         return pa.RecordBatch.from_arrays([ids, pa.array(raw, pa.binary())], names=["node", "elements"])
 
@@ -478,15 +603,19 @@ def similarity_classes(docs: DataFrame, short_run: int = SHORT_RUN) -> DataFrame
     known = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
     spread = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 16)
     buckets = max(64, 8 * known.rdd.getNumPartitions())
-    bundles = bundled(known, buckets).withColumn("at", F.when(F.col("bucket") < 0, -1 - F.spark_partition_id()).otherwise(F.col("bucket")))
+    bundles = bundled(known, buckets).withColumn("at", F.when(F.col("bucket") == -1, -1 - F.spark_partition_id()).otherwise(F.col("bucket")))
     stage = written(candidates(bundles.repartition(spread, "at").sortWithinPartitions("bucket").select(*NAMES), short_run), "candidates")
     members = stage.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("node"))
     pairs = stage.where("kind = 1").select("a", "b").distinct()
-    runs = stage.where("kind = 2").select(F.col("a").alias("run"), F.col("b").alias("doc"), F.expr("c div 2").alias("size"), (F.col("c") % 2).alias("probe"))
-    nodes = stage.where("kind = 1").select(F.explode(F.array("a", "b")).alias("node")).union(runs.select("doc"))
-    sketches = sketches_for(known, nodes)
+    crowd = stage.where("kind = 2").select(F.col("a").alias("node")).distinct()
+    nodes = stage.where("kind = 1").select(F.explode(F.array("a", "b")).alias("node")).union(crowd)
+    sketches = sketches_for(known, nodes, crowd, stage.where("kind = 3").select("a", "b"))
     links = written(verified_pairs(near_pairs(pairs, sketches), known), "links")
-    more = written(verified_pairs(open_pairs(runs, components(links), sketches), known), "links")
+    found = components(links)
+    groups = rare_groups(sketches, found, buckets, short_run)
+    runs = groups.where("kind = 2").select(F.col("a").alias("run"), F.col("b").alias("doc"), F.expr("c div 2").alias("size"), (F.col("c") % 2).alias("probe"))
+    rest = near_pairs(groups.where("kind = 1").select("a", "b").distinct(), sketches).union(open_pairs(runs, found, sketches)).distinct()
+    more = written(verified_pairs(written(rest, "pairs"), known), "links")
     found = components(links.union(more))
     named = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     # Copies in one task share a node that need not be their class's smallest document.

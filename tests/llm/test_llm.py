@@ -121,6 +121,11 @@ def test_jaccard_brute_force(spark, short_run):
             for _ in range(rng.randint(0, max(1, len(base) // 25))):
                 copy[rng.randrange(len(copy))] = f"w{rng.randint(0, 400)}"
             rows.append((100 + len(rows), " ".join(copy)))
+    passage = [f"p{i}" for i in range(80)]
+    for g in range(60):  # a passage that fills much of many texts, about as far as the threshold and beyond
+        own = [f"u{g}_{i}" for i in range(rng.randint(0, 40))]
+        rows.append((5000 + g, " ".join(passage + own if g % 2 else own + passage)))
+    rows.append((-1, rows[-1][1]))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similarity_classes(spark.createDataFrame(rows, "doc_id long, text string"), short_run).collect()}
     assert got == classes(rows)
 
