@@ -53,7 +53,7 @@ def scheme(band: int) -> int:
     """Segments of a band, for sets of 2**band to 2**(band+1)-1 elements and probes up to Q/P times as large."""
     top = 2 ** (band + 1) - 1
     most = most_apart(top, top * Q // P)
-    return (most + 2) // 2 + (band >= 3) if band <= DELETIONS_TO else max(most + 1, -(-top // 2)) + 2
+    return (most + 2) // 2 + (band >= 3) if band <= DELETIONS_TO else max(most + 1, -(-top * 2 // 5)) + 2
 
 
 def sets_of(words: list[list[bytes]], cache: WordHashes) -> tuple[np.ndarray, np.ndarray]:
@@ -176,7 +176,7 @@ def bundled(docs: DataFrame, buckets: int) -> DataFrame:
             sig, doc, info = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             bucket = (sig >> np.uint64(40)) % np.uint64(buckets)
-            order = np.argsort(bucket)
+            order = np.argsort((bucket << np.uint64(32)) + np.arange(len(bucket), dtype=np.uint64))  # a document's rows stay together
             sig, doc, info, bucket = sig[order], doc[order], info[order], bucket[order].astype(np.int64)
             edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
             parts = [(int(bucket[a]), b - a, planes(sig[a:b], 5), planes(doc[a:b].view(np.uint64), 8), planes(info[a:b], 5)) for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a]
@@ -210,7 +210,7 @@ def bundled(docs: DataFrame, buckets: int) -> DataFrame:
             if probe.any():
                 for salt in range(SALTS):
                     held.append((mix(raw + np.uint64(salt + 1)), doc[probe], info[probe] | np.uint64(2)))
-            if sum(len(x[0]) for x in held) > 750_000:
+            if sum(len(x[0]) for x in held) > 1_200_000:
                 yield packed()
         if held and sum(len(x[0]) for x in held):
             yield packed()
@@ -400,7 +400,7 @@ def rare_groups(sketches: DataFrame, found: DataFrame, buckets: int, short_run:
             place = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
             flag = (place < asked(sizes[owner])).astype(np.int64)
             bucket = (element % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket)
+            order = np.argsort((bucket << 32) + np.arange(len(bucket)))
             element, owner, flag, bucket = element[order], owner[order], flag[order], bucket[order]
             edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
             u = lambda x: x.view(np.uint64)
@@ -602,7 +602,7 @@ def similarity_classes(docs: DataFrame, short_run: int = SHORT_RUN) -> DataFrame
     """
     known = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
     spread = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 16)
-    buckets = max(64, 8 * known.rdd.getNumPartitions())
+    buckets = max(64, 4 * known.rdd.getNumPartitions())
     bundles = bundled(known, buckets).withColumn("at", F.when(F.col("bucket") == -1, -1 - F.spark_partition_id()).otherwise(F.col("bucket")))
     stage = written(candidates(bundles.repartition(spread, "at").sortWithinPartitions("bucket").select(*NAMES), short_run), "candidates")
     members = stage.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("node"))
