@@ -44,6 +44,10 @@ class Generations(dict):
     def __init__(self, make):
         self.make, self.old = make, {}
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
     def __missing__(self, key: str) -> bytes:
         value = self.old.get(key)
         if value is None:

@@ -40,6 +40,8 @@ _SCRIPT = np.array([SCRIPTS.index(s) if s else len(SCRIPTS) for _, s in BLOCKS])
 NEW = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "chars_per_token", "chars_per_piece", "byte_share", "token_entropy", "kept"]
 BLANK = " \t\n\x0b\x0c\r"
 
+SLICE = 1_000_000
+
 
 @lru_cache(maxsize=1)
 def pieces():
@@ -113,7 +115,7 @@ def quality(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         cache = WordHashes()
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             texts = [t or "" for t in batch["text"].to_pylist()]
             langs = batch["lang"].to_pylist() if has_lang else [None] * len(texts)
             data = [t.encode() for t in texts]
@@ -132,6 +134,7 @@ def quality(docs: DataFrame) -> DataFrame:
                 pa.array(kept, pa.bool_()),
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *NEW])
+        encoder(LEVEL_VOCABULARY).cache.forget()  # the worker may go on with another stage
 
     ddl = ", ".join(f"{c} {'boolean' if c in ('base_failed', 'kept') else 'long' if k < 5 else 'double'}" for k, c in enumerate(NEW))
     return docs.mapInArrow(run, extended(docs, ddl))
