@@ -108,16 +108,19 @@ class Encoder:
         return level[0]
 
     def piece(self, text: str) -> bytes:
+        return np.array(self.ids(text), "<u4").tobytes()
+
+    def ids(self, text: str) -> list[int]:
+        """Ids of a text that ``pieces`` doesn't split."""
         if len(text) <= self.leaf:
             word = text[1:] if text[0] == " " else text
-            ids = self.core.encode_single_piece(text.encode()) if word.isalpha() else self.core.encode(text, {SPECIAL})
-        else:
-            ids = []
-            for i, part in enumerate(text.split(SPECIAL)):
-                ids += [self.special] * (i > 0)
-                for t in self.pretokens(part):
-                    ids += self.tree(data) if len(data := t.encode()) > self.leaf else self.raw(data)
-        return np.array(ids, "<u4").tobytes()
+            return self.core.encode_single_piece(text.encode()) if word.isalpha() else self.core.encode(text, {SPECIAL})
+        ids = []
+        for i, part in enumerate(text.split(SPECIAL)):
+            ids += [self.special] * (i > 0)
+            for t in self.pretokens(part):
+                ids += self.tree(data) if len(data := t.encode()) > self.leaf else self.raw(data)
+        return ids
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""

@@ -7,14 +7,16 @@ languages, characters per token and byte-fallback share with a piece BPE. A text
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import encoder, slices
 from .common import extended, table
-from .words import WordHashes, hashed, inside, windows
+from .words import ODD, inside, mix, windows
 
 LEVEL_VOCABULARY = "byte_bpe_multi_50k"
 PIECE_VOCABULARY = "piece_bpe_32k"
@@ -41,6 +43,7 @@ NEW = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "b
 BLANK = " \t\n\x0b\x0c\r"
 
 SLICE = 1_000_000
+UNITS, UNIT_CHARS = 400_000, 16_000_000
 
 
 @lru_cache(maxsize=1)
@@ -58,16 +61,101 @@ def script(text: str) -> str:
     return SCRIPTS[int(counts.argmax())] if counts.any() else "other"
 
 
-def fertility(text: str) -> tuple[float, float, float, float, int]:
+def measured(length: int, ids: np.ndarray, n_pieces: int, n_bytes: int) -> tuple[float, float, float, float, int]:
     """(characters per token, characters per piece, byte-fallback share, token entropy, tokens); zeros without tokens."""
-    ids = np.frombuffer(encoder(LEVEL_VOCABULARY).encode(text), "<u4")
-    model, is_byte = pieces()
-    found = np.array(model.encode(text, num_threads=1), np.int64)
     if not len(ids):
         return 0.0, 0.0, 0.0, 0.0, 0
     share = np.unique(ids, return_counts=True)[1] / len(ids)
     entropy = float(-(share * np.log2(share)).sum())
-    return len(text) / len(ids), len(text) / max(1, len(found)), float(is_byte[found].mean()) if len(found) else 0.0, abs(entropy), len(ids)
+    return length / len(ids), length / max(1, n_pieces), n_bytes / n_pieces if n_pieces else 0.0, abs(entropy), len(ids)
+
+
+def fertility(text: str) -> tuple[float, float, float, float, int]:
+    """``measured`` of a whole text by both vocabularies."""
+    ids = np.frombuffer(encoder(LEVEL_VOCABULARY).encode(text), "<u4")
+    model, is_byte = pieces()
+    found = np.array(model.encode(text, num_threads=1), np.int64)
+    return measured(len(text), ids, len(found), int(is_byte[found].sum()))
+
+
+class Units(dict):
+    """Codes of what stands between single spaces, and by code its tokens, pieces, byte pieces and word hashes.
+
+    Neither vocabulary merges across a space that follows something else than white space or ``▁``, so the sums over the units of such a text
+    are those of the whole text. A unit is measured once, until ``UNITS`` of them or ``UNIT_CHARS`` have gathered.
+    """
+
+    def __init__(self):
+        self.reset()
+
+    def reset(self) -> None:
+        self.clear()
+        self.fresh: list[str] = []
+        self.chars = 0
+        self.n_ids, self.n_pieces, self.n_bytes, self.n_words = (np.zeros(0, np.int64) for _ in range(4))
+        self.ids, self.words = np.zeros(0, np.uint32), np.zeros(0, np.uint64)
+
+    def __missing__(self, unit: str) -> int:
+        self[unit] = code = len(self)
+        self.fresh.append(unit)
+        return code
+
+    def codes(self, texts: list[list[str]]) -> np.ndarray:
+        """The codes of all units in order; every one of them is measured."""
+        if len(self) > UNITS or self.chars > UNIT_CHARS:
+            self.reset()
+        out = np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), np.int64)
+        fresh, self.fresh = self.fresh, []
+        if fresh:
+            level = encoder(LEVEL_VOCABULARY)
+            model, is_byte = pieces()
+            ids = [level.ids(" " + u) for u in fresh]
+            found = model.encode(fresh, num_threads=1)
+            words = [u.encode().split() for u in fresh]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            byte_pieces = np.concatenate([[0], np.cumsum(is_byte[np.fromiter(chain.from_iterable(found), np.int64)])])
+            ends = np.cumsum(sizes)
+            self.n_ids = np.concatenate([self.n_ids, np.fromiter(map(len, ids), np.int64, len(ids))])
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), np.uint32)])
+            self.n_pieces = np.concatenate([self.n_pieces, sizes])
+            self.n_bytes = np.concatenate([self.n_bytes, byte_pieces[ends] - byte_pieces[ends - sizes]])
+            self.n_words = np.concatenate([self.n_words, np.fromiter(map(len, words), np.int64, len(words))])
+            self.words = np.concatenate([self.words, np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(words)), np.uint64)])
+            self.chars += sum(map(len, fresh))
+        return out
+
+
+def gathered(values: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The runs of ``values`` (of the given sizes, by code) that belong to ``codes``, in their order."""
+    n = sizes[codes]
+    return values[np.repeat(np.cumsum(sizes)[codes] - np.cumsum(n), n) + np.arange(n.sum())]
+
+
+def counted(texts: list[str], units: Units) -> tuple[np.ndarray, np.ndarray, list]:
+    """(hashes of all words, their offsets by text, ``fertility`` of each text)."""
+    level = encoder(LEVEL_VOCABULARY)
+    # Where white space or the pieces' own sign for a space stands before a space, the space doesn't always start a
+    # token: such texts are measured whole.
+    even = [not t.startswith(" ") and "▁" not in t and not level.uneven(t) for t in texts]
+    split = [t.split(" ") if e else [w.decode() for w in t.encode().split()] for t, e in zip(texts, even, strict=True)]
+    codes = units.codes(split)
+    at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))])
+
+    def before(sizes: np.ndarray) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(sizes[codes])])[at]
+
+    words, offsets = gathered(units.words, units.n_words, codes), before(units.n_words)
+    ids, id_at = gathered(units.ids, units.n_ids, codes), before(units.n_ids)
+    n_pieces, n_bytes = np.diff(before(units.n_pieces)), np.diff(before(units.n_bytes))
+    measures = []
+    for k, t in enumerate(texts):
+        if even[k] and t:
+            skip = id_at[k] + units.n_ids[codes[at[k]]]  # the first unit has no space before it
+            first = np.array(level.ids(split[k][0]), np.uint32)
+            measures.append(measured(len(t), np.concatenate([first, ids[skip : id_at[k + 1]]]), int(n_pieces[k]), int(n_bytes[k])))
+        else:
+            measures.append(fertility(t))
+    return words, offsets, measures
 
 
 def in_band(text: str, lang: str | None, measures: tuple[float, float, float, float, int]) -> bool:
@@ -85,15 +173,15 @@ def repeated_words(h: np.ndarray, offsets: np.ndarray, n: int = 5) -> np.ndarray
     if not len(at):
         return counts
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    w = windows(h, n)[at]
-    order = np.lexsort((w, doc[at]))
-    same = (w[order][1:] == w[order][:-1]) & (doc[at][order][1:] == doc[at][order][:-1])
+    key = mix(windows(h, n)[at] + doc[at].astype(np.uint64) * ODD)
+    order = np.argsort(key)
+    same = key[order][1:] == key[order][:-1]
     twice = np.zeros(len(at), bool)
     twice[order[1:]] |= same
     twice[order[:-1]] |= same
     edge = np.zeros(len(h) + 1, np.int64)
-    np.add.at(edge, at[twice], 1)
-    np.add.at(edge, at[twice] + n, -1)
+    edge[at[twice]] += 1  # starts are distinct
+    edge[at[twice] + n] -= 1
     hit = np.concatenate([[0], np.cumsum(np.cumsum(edge)[:-1] > 0)])
     return hit[offsets[1:]] - hit[offsets[:-1]]
 
@@ -114,15 +202,14 @@ def quality(docs: DataFrame) -> DataFrame:
     has_lang = "lang" in docs.columns
 
     def run(batches):
-        cache = WordHashes()
+        units = Units()
         for batch in slices(batches, limit=SLICE):
             texts = [t or "" for t in batch["text"].to_pylist()]
             langs = batch["lang"].to_pylist() if has_lang else [None] * len(texts)
             data = [t.encode() for t in texts]
-            h, offsets = hashed([b.split() for b in data], cache)
+            h, offsets, measures = counted(texts, units)
             n_words, repeats = np.diff(offsets), repeated_words(h, offsets)
             failed = (n_words < 10) | (100 * repeats > 20 * n_words)
-            measures = [fertility(t) for t in texts]
             kept = [not f and in_band(t, lang, m) for f, t, lang, m in zip(failed.tolist(), texts, langs, measures, strict=True)]
             columns = [
                 pa.array(n_words),

@@ -242,3 +242,15 @@ def test_pipeline_on_small_tables(spark, tmp_path):
 
 def test_crc_of_ids():
     assert zlib.crc32(np.array([2], "<u4").tobytes()) == zlib.crc32(b"\2\0\0\0")
+
+
+def test_fertility_by_units_equals_that_of_whole_texts():
+    rng = random.Random(9)
+    letters = ["a", "word", "é", "日本", "\n", "\t", " ", " ", " ", "<|endoftext|>", "▁", "\x85", "̈", "#1", "'s"]
+    texts = ["", " ", " a", "a ", "a  b", "x\n y", "a" * 9000 + " " + "é" * 5000] + ["".join(rng.choices(letters, k=rng.randrange(60))) for _ in range(300)]
+    units = quality.Units()
+    for group in (texts, texts[::-1], []):
+        words, offsets, measures = quality.counted(group, units)
+        assert measures == [quality.fertility(t) for t in group]
+        assert list(np.diff(offsets)) == [len(t.encode().split()) for t in group]
+        assert len({w: h for t, a in zip(group, offsets) for w, h in zip(t.encode().split(), words[a:].tolist())}) == len(set(words.tolist()))
