@@ -243,7 +243,9 @@ def mask(text: str, found: list[dict]) -> str:
 
 
 def trained(spark: SparkSession) -> Forest:
-    return train(spark.createDataFrame(labelled_findings(), "candidate string, left string, right string, path string, label int"))
+    columns = [pa.array(c) for c in zip(*labelled_findings(), strict=True)]
+    # As an Arrow table, the rows need no Python workers of another kind, which would stay beside those of the scan.
+    return train(spark.createDataFrame(pa.table(columns, names=["candidate", "left", "right", "path", "label"])).withColumn("label", F.col("label").cast("int")))
 
 
 def op3_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
