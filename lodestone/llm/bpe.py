@@ -162,6 +162,7 @@ def round_trip(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(ids, pa.binary()), pa.array(map(bpe.decode, ids), pa.string())], names=[*batch.schema.names, "ids", "decoded"]
             )
+        bpe.cache.forget()  # the worker may go on with another stage
 
     return docs.mapInArrow(run, extended(docs, "ids binary, decoded string"))
 

@@ -237,6 +237,7 @@ def write_ids(docs: DataFrame, path: str) -> None:
                 held.append((-(2**63) if doc is None else doc, 0, ids))
                 size += len(ids)
             yield from full(False)
+        bpe.cache.forget()  # the worker may go on with another stage
         yield from full(True)
 
     ordered.mapInArrow(run, SEGMENT).write.parquet(path)
