@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import extended, table
+from .common import batched, extended, table
 
 VOCABULARY = "byte_bpe_50k"
 LEAF = 4096
@@ -153,7 +153,7 @@ def round_trip(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
     Null text counts as empty and has no ids. Rows are independent: repeats, ties and an empty table need no rule.
     Columns named ids or decoded are replaced; others stay.
     """
-    docs = docs.drop("ids", "decoded")
+    docs = batched(docs.drop("ids", "decoded"))
 
     def run(batches):
         bpe = encoder(name)

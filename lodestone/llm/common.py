@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Vectors of a batch double as they grow, in the JVM and in each worker, outside the heap.
+BATCH_BYTES = "4m"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; in local mode only, a fresh folder where it is unset."""
@@ -37,6 +40,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def batched(docs: DataFrame) -> DataFrame:
+    """``docs``, whose session now hands Arrow batches of at most ``BATCH_BYTES``, or one row, to Python workers."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name) != BATCH_BYTES:
+        conf.set(name, BATCH_BYTES)
+    return docs
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) with the smallest node of each connected component, for every node of an edge.
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import extended, table
+from .common import batched, extended, table
 
 WINDOW = 10
 SAMPLE = 8
@@ -216,7 +216,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     items count once. Columns with the new names are replaced.
     """
     added = ["n_words", "n_hit", "items", "spans", "clean"]
-    docs = docs.drop(*added)
+    docs = batched(docs.drop(*added))
     sent = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks(benchmark, item_id, item_text)]
 
     def run(batches):

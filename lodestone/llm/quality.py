@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import encoder, slices
-from .common import extended, table
+from .common import batched, extended, table
 from .words import ODD, inside, mix, windows
 
 LEVEL_VOCABULARY = "byte_bpe_multi_50k"
@@ -198,7 +198,7 @@ def quality(docs: DataFrame) -> DataFrame:
     script with most letters, texts without letters the band ``other``. Repeated rows get the same verdict; columns
     with the new names are replaced; an empty table gives no rows.
     """
-    docs = docs.drop(*NEW)
+    docs = batched(docs.drop(*NEW))
     has_lang = "lang" in docs.columns
 
     def run(batches):

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import extended, table
+from .common import batched, extended, table
 
 MAX_TRAIN = 20_000
 TREES, DEPTH, LEAF_ROWS = 40, 10, 3
@@ -205,7 +205,7 @@ def scan(docs: DataFrame, forest: Forest, path_col: str | None = "source", text_
     candidates can't occur, repeated rows get equal results, columns with the new names are replaced.
     """
     added = ["n_candidates", "secrets", "masked"]
-    docs = docs.drop(*added)
+    docs = batched(docs.drop(*added))
     sent = docs.sparkSession.sparkContext.broadcast(forest)  # its size is bounded by TREES and DEPTH
 
     def run(batches):
