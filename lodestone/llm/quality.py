@@ -1,7 +1,8 @@
 """Quality rules: counts over whole texts, then tokeniser fertility with bands per language or script.
 
 Two public vocabularies are measured: characters per token and token entropy with a byte-level BPE for many
-languages, characters per token and byte-fallback share with a piece BPE. A text outside its band is rejected.
+languages, characters per token and byte-fallback share with a piece BPE. A text outside its band is rejected. Bands
+of characters per token and per piece lie around the median of the input's own texts of that language or script.
 """
 
 from __future__ import annotations
@@ -12,22 +13,30 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bpe import encoder, slices
-from .common import batched, extended, table
+from .common import batched, table, written
 from .words import ODD, inside, mix, windows
 
 LEVEL_VOCABULARY = "byte_bpe_multi_50k"
 PIECE_VOCABULARY = "piece_bpe_32k"
 #: Lowest and highest characters per token, and highest byte-fallback share, by language, else by the
-#: script of most letters. They hold for texts of MIN_TOKENS tokens or more.
+#: script of most letters. They hold for texts of MIN_TOKENS tokens or more. The lowest characters per token hold
+#: only where the input has fewer than MIN_TEXTS such texts that pass the base rules; else its own medians do.
 BANDS = {
     "en": (2.05, 7.5, 0.15), "de": (2.1, 7.5, 0.15), "fr": (1.95, 7.5, 0.15), "es": (1.95, 7.5, 0.15),
     "Latin": (1.6, 7.5, 0.25), "Greek": (0.7, 5.0, 0.6), "Cyrillic": (0.9, 6.0, 0.4), "Hebrew": (0.5, 4.0, 0.8), "Arabic": (0.6, 5.0, 0.8),
     "Devanagari": (0.3, 4.0, 0.9), "Thai": (0.3, 4.0, 0.95), "Kana": (0.4, 3.0, 0.8), "Han": (0.3, 2.5, 0.9), "Hangul": (0.3, 3.0, 0.9), "other": (0.2, 8.0, 1.0),
 }
 MIN_TOKENS = 64
+MIN_TEXTS = 30
+#: Distances from a median, in natural logarithms: NEAREST is a quarter more tokens for as many characters; where texts
+#: differ more, SIGMAS standard deviations (by the median absolute deviation). Above the median, twice as far.
+NEAREST, SIGMAS = float(np.log(1.25)), 3.0
+BINS = 200  # of the logarithm, for each power of e
 #: Bits of token entropy: at least the smaller of the first and the second times log2 of the tokens.
 MIN_ENTROPY, ENTROPY_SHARE, MAX_ENTROPY = 4.5, 0.62, 13.0
 #: First code points of blocks and their scripts.
@@ -158,12 +167,47 @@ def counted(texts: list[str], units: Units) -> tuple[np.ndarray, np.ndarray, lis
     return words, offsets, measures
 
 
-def in_band(text: str, lang: str | None, measures: tuple[float, float, float, float, int]) -> bool:
-    per_token, per_piece, byte_share, entropy, n = measures
-    if n < MIN_TOKENS:
-        return True
-    low, high, most_bytes = BANDS.get(lang or "") or BANDS[script(text)]
-    return low <= per_token <= high and per_piece <= high and byte_share <= most_bytes and min(MIN_ENTROPY, ENTROPY_SHARE * np.log2(n)) <= entropy <= MAX_ENTROPY
+def centre(bins: np.ndarray, counts: np.ndarray) -> tuple[float, float]:
+    """Median of the logarithms in a histogram, and the distance from it that a band takes."""
+
+    def median(x: np.ndarray) -> float:
+        order = np.argsort(x, kind="stable")
+        return float(x[order][np.searchsorted(np.cumsum(counts[order]), counts.sum() / 2)])
+
+    middle = median(bins / BINS)
+    return middle, max(NEAREST, SIGMAS * 1.4826 * median(abs(bins / BINS - middle)))
+
+
+def centres(measures: DataFrame) -> dict[str, tuple[float, float, float, float]]:
+    """By band, the median and the distance of characters per token and then per piece, over all texts of ``measures``.
+
+    The driver gets counts by band and bin of the logarithm, not rows of texts; bins lie within -10 and 10.
+    """
+    bin_of = lambda c: F.round(F.least(F.greatest(F.log(c), F.lit(-10.0)), F.lit(10.0)) * BINS).cast("int")
+    counts = (
+        measures.where(~F.col("base_failed") & (F.col("n_tokens") >= MIN_TOKENS))
+        .select("band", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), bin_of(c).alias("bin")) for k, c in enumerate(("chars_per_token", "chars_per_piece"))])).alias("x"))
+        .groupBy("band", "x.k", "x.bin").count().collect()
+    )
+    out = {}
+    for band in {r["band"] for r in counts}:
+        own = [np.array(sorted((r["bin"], r["count"]) for r in counts if r["band"] == band and r["k"] == k)).T for k in (0, 1)]
+        if own[0][1].sum() >= MIN_TEXTS:
+            out[band] = (*centre(*own[0]), *centre(*own[1]))
+    return out
+
+
+def in_band(found: dict[str, tuple[float, float, float, float]]) -> Column:
+    """Whether the measures of a row lie in its band."""
+    limits = F.create_map(*chain.from_iterable((F.lit(b), F.array(*map(F.lit, map(float, v)))) for b, v in BANDS.items()))[F.col("band")]
+    n, per_token, per_piece = F.col("n_tokens"), F.col("chars_per_token"), F.col("chars_per_piece")
+    least = per_token >= limits[0]
+    if found:
+        own = F.create_map(*chain.from_iterable((F.lit(b), F.array(*map(F.lit, v))) for b, v in found.items()))[F.col("band")]
+        near = lambda c, k: (F.log(c) - own[k]).between(-own[k + 1], 2 * own[k + 1])
+        least = F.when(own.isNull(), least).otherwise(near(per_token, 0) & near(per_piece, 2))
+    entropy = F.col("token_entropy").between(F.least(F.lit(MIN_ENTROPY), ENTROPY_SHARE * F.log2(n)), F.lit(MAX_ENTROPY))
+    return (n < MIN_TOKENS) | least & (per_token <= limits[1]) & (per_piece <= limits[1]) & (F.col("byte_share") <= limits[2]) & entropy
 
 
 def repeated_words(h: np.ndarray, offsets: np.ndarray, n: int = 5) -> np.ndarray:
@@ -191,15 +235,10 @@ def dup_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
-def quality(docs: DataFrame) -> DataFrame:
-    """``docs`` (text, and lang where there is one) with the columns of ``NEW``.
-
-    Null text counts as empty: no words, so it fails the base rules. Null or unknown languages take the band of the
-    script with most letters, texts without letters the band ``other``. Repeated rows get the same verdict; columns
-    with the new names are replaced; an empty table gives no rows.
-    """
-    docs = batched(docs.drop(*NEW))
+def measures(docs: DataFrame, passed: list[str]) -> DataFrame:
+    """The columns ``passed`` of ``docs``, those of ``NEW`` but ``kept``, n_tokens, and the name of the text's band."""
     has_lang = "lang" in docs.columns
+    docs = batched(docs.select(*dict.fromkeys([*passed, "text", *["lang"] * has_lang])))
 
     def run(batches):
         units = Units()
@@ -207,26 +246,40 @@ def quality(docs: DataFrame) -> DataFrame:
             texts = [t or "" for t in batch["text"].to_pylist()]
             langs = batch["lang"].to_pylist() if has_lang else [None] * len(texts)
             data = [t.encode() for t in texts]
-            h, offsets, measures = counted(texts, units)
+            h, offsets, found = counted(texts, units)
             n_words, repeats = np.diff(offsets), repeated_words(h, offsets)
-            failed = (n_words < 10) | (100 * repeats > 20 * n_words)
-            kept = [not f and in_band(t, lang, m) for f, t, lang, m in zip(failed.tolist(), texts, langs, measures, strict=True)]
             columns = [
                 pa.array(n_words),
                 pa.array([len(t) - sum(map(t.count, BLANK)) for t in texts], pa.int64()),
                 pa.array([len(b) - len(b.translate(None, b"#*$%&|<>")) for b in data], pa.int64()),
                 pa.array(map(dup_lines, texts), pa.int64()),
-                pa.array(repeats), pa.array(failed),
-                *[pa.array([m[k] for m in measures], pa.float64()) for k in range(4)],
-                pa.array(kept, pa.bool_()),
+                pa.array(repeats), pa.array((n_words < 10) | (100 * repeats > 20 * n_words)),
+                *[pa.array([m[k] for m in found], pa.float64()) for k in range(4)],
+                pa.array([m[4] for m in found], pa.int64()), pa.array([lang if lang in BANDS else script(t) for lang, t in zip(langs, texts, strict=True)], pa.string()),
             ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *NEW])
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in passed], *columns], names=[*passed, *NEW[:-1], "n_tokens", "band"])
         encoder(LEVEL_VOCABULARY).cache.forget()  # the worker may go on with another stage
 
-    ddl = ", ".join(f"{c} {'boolean' if c in ('base_failed', 'kept') else 'long' if k < 5 else 'double'}" for k, c in enumerate(NEW))
-    return docs.mapInArrow(run, extended(docs, ddl))
+    ddl = ", ".join(f"{c} {'boolean' if c == 'base_failed' else 'long' if k < 5 else 'double'}" for k, c in enumerate(NEW[:-1]))
+    return docs.mapInArrow(run, T.StructType([*[docs.schema[c] for c in passed], *T.StructType.fromDDL(f"{ddl}, n_tokens long, band string")]))
+
+
+def judged(measured: DataFrame, found: dict[str, tuple[float, float, float, float]]) -> DataFrame:
+    return measured.withColumn("kept", ~F.col("base_failed") & in_band(found)).drop("n_tokens", "band")
+
+
+def quality(docs: DataFrame) -> DataFrame:
+    """``docs`` (text, and lang where there is one) with the columns of ``NEW``.
+
+    Null text counts as empty: no words, so it fails the base rules. Null or unknown languages take the band of the
+    script with most letters, texts without letters the band ``other``. Repeated rows get the same verdict; columns
+    with the new names are replaced; an empty table gives no rows. Texts are measured twice, first for the medians of
+    the bands, so that they needn't be written between.
+    """
+    docs = docs.drop(*NEW)
+    return judged(measures(docs, docs.columns), centres(measures(docs, [])))
 
 
 def op9_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
-    return out.select("doc_id", *NEW)
+    measured = written(measures(table(spark, sf_dir, "documents"), ["doc_id"]), "measures")
+    return judged(measured, centres(measured)).select("doc_id", *NEW)

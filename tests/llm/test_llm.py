@@ -203,6 +203,19 @@ def test_quality(spark, docs, no_docs):
     assert quality.script("привет мир") == "Cyrillic" and quality.script("漢字 漢字") == "Han" and quality.script("123") == "other"
 
 
+def test_quality_bands_follow_the_input(spark):
+    from pydoc_data.topics import topics
+
+    prose = re.findall(r"[A-Za-z',.;]+", " ".join(t for _, t in sorted(topics.items())))
+    texts = [" ".join(prose[k : k + 200]) for k in range(0, 20_000, 200)]
+    signs = ["###", "***", "%%%"]
+    junk = [" ".join(w + signs[k % 3] for k, w in enumerate(t.split())) for t in texts[:5]] + [" ".join(w.upper() + "!!" for w in t.split()) for t in texts[:5]]
+    rows = quality.quality(spark.createDataFrame([*enumerate(texts), *((-1 - k, t) for k, t in enumerate(junk))], "doc_id long, text string").withColumn("lang", F.lit("en"))).collect()
+    assert not any(r.kept for r in rows if r.doc_id < 0)
+    assert sum(r.kept or r.base_failed for r in rows if r.doc_id >= 0) >= 95
+    assert sum(r.kept for r in rows if r.doc_id >= 0) >= 60
+
+
 def test_secrets_held_out(spark, docs, no_docs):
     forest = secrets.trained(spark)
     rows = secrets.labelled_findings(1500, seed=77)
