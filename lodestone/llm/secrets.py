@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import random
 import re
+from bisect import bisect_left, insort
 from functools import lru_cache
 
 import numpy as np
@@ -24,16 +25,16 @@ MAX_TRAIN = 20_000
 TREES, DEPTH, LEAF_ROWS = 40, 10, 3
 THRESHOLD = 0.5
 MASK = "[SECRET]"
-CANDIDATE = re.compile(
-    r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----"
-    r"|(?<![A-Za-z0-9+/_=\-])[A-Za-z0-9+/_=\-]{16,}"
-    r"|(?<=[=:] )[^\s\"'<>]{8,}|(?<=[=:])[^\s\"'<>=:/]{8,}|(?<=[=:]\")[^\s\"]{8,}|(?<=[=:] \")[^\s\"]{8,}",
-    re.DOTALL,
-)
+BLOCK = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----", re.DOTALL)
+TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=\-])(?:(?i:eyJ)[A-Za-z0-9_\-]+(?:\.[A-Za-z0-9_\-]+)+|[A-Za-z0-9+/_=\-]{16,})")
+#: Values start in lookaheads, so that an assignment inside another's value is found too.
+QUOTED = r"\"(?=([^\s\"]{8,}))|'(?=([^\s']{8,}))"
+ASSIGNED = re.compile(rf"(?:=>|[=:])(?:[ \t]*(?:{QUOTED})|[ \t]+(?=([^\s\"'<>]{{8,}}))|(?!//)(?=([^\s\"'<>=:]{{8,}}={{0,2}})))")
 #: Words beside a candidate that speak for and against a secret, and parts of paths of test data.
 FOR = ["token", "secret", "key", "password", "passwd", "pwd", "auth", "bearer", "credential", "apikey", "private", "access"]
 AGAINST = ["commit", "sha", "sha1", "sha256", "md5", "checksum", "digest", "hash", "uuid", "guid", "id", "order", "card", "account", "phone", "isbn", "tracking", "version", "revision", "file", "image", "url", "see"]
 TEST_PATHS = ["test", "example", "sample", "fixture", "mock", "doc", "vendor", "lock"]
+NAMED = re.compile(rf"(?:{'|'.join(FOR)})[ \t]+(?:{QUOTED}|(?=([^\s\"'<>]{{8,}})))", re.I)
 PREFIX = re.compile(r"(AKIA|ASIA|ghp_|gho_|github_pat_|xox[abp]-|sk_live_|sk-|AIza|ya29|eyJ|glpat-|npm_|-----BEGIN)")
 WORD = re.compile(r"[A-Za-z]{2,}\d*")
 
@@ -60,6 +61,36 @@ def coverage(text: str) -> float:
     return covered / max(1, len(text))
 
 
+def candidates(text: str) -> list[tuple[int, int]]:
+    """Spans in order that don't overlap. Key blocks go before values that a credential word names, these before other
+    assigned values, these before long runs; what others leave of a span stays where it has 16 characters or more.
+    """
+    found = [(3, *m.span()) for m in TOKEN.finditer(text)]
+    if "-----BEGIN" in text:
+        found += [(0, *m.span()) for m in BLOCK.finditer(text)]
+    low = text.lower()
+    if any(w in low for w in FOR):
+        found += [(1, *m.span(m.lastindex)) for m in NAMED.finditer(text)]
+    if "=" in text or ":" in text:
+        names = tuple(FOR)
+        for m in ASSIGNED.finditer(text):
+            name = text[max(0, m.start() - 40) : m.start()].rstrip(" \t\"'").lower()
+            found.append((1 if name.endswith(names) else 2, *m.span(m.lastindex)))
+    found.sort(key=lambda x: (x[0], x[1], -x[2]))
+    taken: list[tuple[int, int]] = []
+    for _, a, b in found:
+        k = bisect_left(taken, (a, a))
+        k -= k > 0 and taken[k - 1][1] > a
+        rest, at, whole = [], a, True
+        while k < len(taken) and taken[k][0] < b:
+            rest.append((at, taken[k][0]))
+            at, whole = max(at, taken[k][1]), False
+            k += 1
+        for x in [(a, b)] if whole else [(x, y) for x, y in [*rest, (at, b)] if y - x >= 16]:
+            insort(taken, x)
+    return taken
+
+
 def kinds(text: str) -> np.ndarray:
     b = np.frombuffer(text.encode("ascii", "replace"), np.uint8)
     return np.select([(b >= 48) & (b <= 57), (b >= 97) & (b <= 102), (b > 102) & (b <= 122), (b >= 65) & (b <= 70), (b > 70) & (b <= 90)], [0, 1, 2, 3, 4], 5)
@@ -73,7 +104,7 @@ def features(found: str, left: str, right: str, path: str) -> list[float]:
     counts = np.unique(list(found), return_counts=True)[1] / n
     letter = (k >= 1) & (k <= 4)
     near = [w.lower() for w in WORD.findall(left)[-4:]]
-    before = left.rstrip(" \"'")[-1:]
+    before = left.rstrip(" \t\"'")[-1:]
     joined = " ".join(near[-3:])
     return [
         float(np.log2(n)), float(n % 4 == 0), *share.tolist(), float(change.mean()) if n > 1 else 0.0,
@@ -161,6 +192,7 @@ def labelled_findings(n: int = 4000, seed: int = 1) -> list[tuple[str, str, str,
                 lambda: draw(hexes, r.choice([32, 40, 40, 64])), lambda: "AKIA" + draw(letters[:26] + "0123456789", 16), lambda: "ghp_" + draw(letters, 36),
                 lambda: "sk_live_" + draw(letters, 24), lambda: draw(letters + "+/", r.choice([40, 44, 64])), lambda: "eyJ" + draw(letters, 30) + "." + draw(letters + "_-", 60),
                 lambda: draw(letters, r.randint(20, 40)), lambda: draw(letters + "!@#%^*", r.randint(9, 16)), lambda: uuid(), lambda: draw(hexes, 40),
+                lambda: "".join(r.choice([w for w in r.sample(words, 20) if len(w) < 8] or ["hunter"]) + draw("0123456789", r.randint(1, 4)) for _ in range(2)),
             ])()
             word = r.choice(["token", "api_key", "secret", "password", "access_key", "auth_token", "client_secret", "SECRET_KEY", "Bearer", "Token", "apikey", "TOKEN"])
             left += f" {word}" + r.choice([" = \"", "=", ": ", " = ", "=\"", ": '", " "])
@@ -170,16 +202,19 @@ def labelled_findings(n: int = 4000, seed: int = 1) -> list[tuple[str, str, str,
             if r.random() < 0.15:
                 found, right, left = found.upper(), right.upper(), left.upper()
         else:
-            kind = r.randrange(9)
+            kind = r.randrange(10)
             found = [
                 lambda: draw(hexes, r.choice([32, 40, 64])), lambda: draw("0123456789", r.choice([16, 16, 16, 18, 20])), uuid, lambda: "_".join(r.sample(words, r.randint(2, 4))),
                 lambda: "/".join(r.sample(words, r.randint(3, 5))) + draw("0123456789", 2), lambda: "".join(w.title() for w in r.sample(words, 3)), lambda: r.choice("=-_") * r.randint(16, 60),
                 lambda: r.choice(["your_api_key_here", "EXAMPLE" + draw(letters, 12), "x" * 24, "placeholder_" + draw("0123456789", 8), "0" * 32]), lambda: draw("aeiounrstldhcm", r.randint(16, 30)),
+                lambda: r.choice([str.lower, str.lower, str.title, str.upper])(r.choice([r.choice([w for w in r.sample(words, 20) if len(w) > 7] or ["password"]), draw("aeiounrstldhcm", r.randint(8, 15))])) + r.choice(["", "", ".", ",", ";", ":"]),
             ][kind]()
             if kind in (0, 2):
                 left += r.choice([" commit ", " sha256: ", " md5 ", " checksum = ", " digest: ", " uuid ", " id = ", " revision ", " file ", " version "])
             elif kind == 7:
                 left += r.choice([" token = \"", " api_key: ", " secret="])
+            elif kind == 9:
+                left += " " + r.choice([*FOR, *FOR, "Token", "Bearer", "Secret", "api_key", "note", "see"]) + r.choice([" ", " ", " ", ": ", " = "])
             elif r.random() < 0.5:
                 left += r.choice([" = ", ": ", " \"", " see ", " order ", " card ", " | "])
             else:
@@ -214,8 +249,7 @@ def scan(docs: DataFrame, forest: Forest, path_col: str | None = "source", text_
             paths = batch[path_col].to_pylist() if path_col and path_col in batch.schema.names else [None] * len(texts)
             owner, spans, rows = [], [], []
             for d, t in enumerate(texts):
-                for m in CANDIDATE.finditer(t or ""):
-                    a, b = m.span()
+                for a, b in candidates(t or ""):
                     owner.append(d)
                     spans.append((a, b))
                     rows.append(features(t[a:b], t[max(0, a - 80) : a], t[b : b + 8], paths[d] or ""))

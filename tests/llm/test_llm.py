@@ -228,6 +228,25 @@ def test_secrets_held_out(spark, docs, no_docs):
     assert secrets.scan(no_docs, forest).count() == 0
 
 
+def test_secrets_are_found_in_whole_texts(spark):
+    texts = ["password = 'hunter2hunter2'", "password: 'S3cr!t@Pw9x#'", "password='abc!def#123'", "password =  \t S3cr!t@Pw9x", "Bearer q8!x#Zk2@wPq", 'client_secret="abc!def#123"', "SECRET_KEY=S3cr!t@Pw9x", "note: password=abc!def#123"]
+    values = ["hunter2hunter2", "S3cr!t@Pw9x#", "abc!def#123", "S3cr!t@Pw9x", "q8!x#Zk2@wPq", "abc!def#123", "S3cr!t@Pw9x", "abc!def#123"]
+    for t, v in zip(texts, values, strict=True):
+        assert v in [t[a:b] for a, b in secrets.candidates(t)]
+    rows = [r for r in secrets.labelled_findings(1500, seed=78)]
+    for found, left, right, _, label in rows:
+        spans = secrets.candidates(left + found + right)
+        assert not label or (len(left), len(left + found)) in spans
+        assert all(x[1] <= y[0] for x, y in zip(spans, spans[1:]))
+    forest = secrets.trained(spark)
+    d = spark.createDataFrame([(i, left + found + right, p) for i, (found, left, right, p, _) in enumerate(rows)] + [(-1 - i, t, "") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {r.doc_id: r.masked for r in secrets.scan(d, forest).collect()}
+    assert all(v not in got[-1 - i] for i, v in enumerate(values))
+    kept = [found in got[i] for i, (found, *_, label) in enumerate(rows) if label]
+    assert sum(kept) <= 0.02 * len(kept)
+    assert sum(secrets.MASK in got[i] for i, r in enumerate(rows) if not r[4]) <= 0.05 * len(rows)
+
+
 def test_html(spark):
     r = html_text.render
     assert r("<p>a<p>b<br>c") == "a\n\nb\nc"
