@@ -20,12 +20,16 @@ from .common import extended, table
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+UNQUOTED = re.compile(r"=\s*[^\s\"'>]+\Z")
 #: Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-INVISIBLE = frozenset("head script style template noscript title meta link iframe noembed noframes object audio video canvas svg math datalist".split())
-BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul caption".split())
-SPACED = frozenset("blockquote dl fieldset figure h1 h2 h3 h4 h5 h6 hr menu ol p pre table ul".split())
+INVISIBLE = frozenset("head script style template noscript title meta link iframe noembed noframes object audio video canvas datalist".split())
+#: What svg and math don't show, and their lines; names are in lower case.
+UNSHOWN = frozenset("desc metadata defs symbol clippath mask pattern marker annotation annotation-xml".split())
+LINES = frozenset("text mtr mlabeledtr".split())
+BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul caption xmp".split())
+SPACED = frozenset("blockquote dl fieldset figure h1 h2 h3 h4 h5 h6 hr menu ol p pre table ul xmp".split())
 CLOSES_P = BLOCK - frozenset("body html option optgroup td th tr tbody thead tfoot caption".split())
 #: An opened element, the open elements it closes, and the elements that bound the search.
 IMPLIED = {
@@ -34,7 +38,10 @@ IMPLIED = {
     "thead": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "body": ({"head"}, set()),
 }
 SCOPE = frozenset("table td th caption html button object".split())
-HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(hidden|collapse)", re.I)
+HIDDEN_STYLE = re.compile(r"display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"visibility\s*:\s*(visible|initial|hidden|collapse)", re.I)
+ROW_GROUPS = ("tbody", "thead", "tfoot")
+ROW_PARTS = ("tr", *ROW_GROUPS)
 
 
 class Box:
@@ -120,6 +127,8 @@ class Renderer:
         self.open: list[tuple[str, dict]] = []
         self.boxes = [Box("", {})]
         self.hidden = 0  # open elements from the outermost hidden one on
+        self.seen = [True]  # the visibility of the open elements, which those inside may set anew
+        self.foreign = 0  # open svg and math elements
         self.pre = 0
 
     def start(self, tag: str, attributes: dict) -> None:
@@ -151,11 +160,18 @@ class Renderer:
             self.void(tag, attributes)
             return
         self.open.append((tag, attributes))
-        style = attributes.get("style", "")
-        if self.hidden or tag in INVISIBLE or "hidden" in attributes or (style and HIDDEN_STYLE.search(style)):
+        self.seen.append(self.visible(attributes))
+        self.foreign += tag in ("svg", "math")
+        if self.hidden or tag in INVISIBLE or self.gone(tag, attributes):
             self.hidden += 1
             return
         box = self.boxes[-1]
+        if self.foreign and tag in LINES:
+            box.block()
+        elif self.foreign and tag == "mtd":
+            box.space = True
+        if tag in ROW_GROUPS and box.tag == "table":
+            box.below.clear()
         if tag in BLOCK:
             nested = tag in ("ul", "ol", "menu") and box.tag == "li"
             box.block(1 if tag in SPACED and not nested else 0)
@@ -165,17 +181,35 @@ class Renderer:
                 new.count = int(attributes["start"]) if re.fullmatch(r"-?\d{1,9}", attributes.get("start", "")) else 1
             if tag in ("table", "tr"):
                 new.rows = []
+                new.below = {}  # columns that cells with a rowspan take, and in how many rows yet
             self.boxes.append(new)
-        if tag in ("pre", "textarea"):
+        if tag in ("pre", "textarea", "xmp"):
             self.pre += 1
 
-    def void(self, tag: str, attributes: dict) -> None:
+    def visible(self, attributes: dict) -> bool:
         style = attributes.get("style", "")
-        if self.hidden or "hidden" in attributes or (style and HIDDEN_STYLE.search(style)):
+        found = VISIBILITY.findall(style) if style else []
+        if not found and self.foreign and "visibility" in attributes:
+            found = VISIBILITY.findall(f"visibility:{attributes['visibility']}")
+        return found[-1].lower() in ("visible", "initial") if found else self.seen[-1]
+
+    def gone(self, tag: str, attributes: dict) -> bool:
+        """Whether neither the element nor anything inside is laid out, besides elements of ``INVISIBLE``."""
+        style = attributes.get("style", "")
+        if "hidden" in attributes or style and HIDDEN_STYLE.search(style):
+            return True
+        if style and tag in ROW_PARTS and (found := VISIBILITY.findall(style)) and found[-1].lower() == "collapse":
+            return True
+        return self.foreign > 0 and (tag in UNSHOWN or attributes.get("display", "").strip().lower() == "none")
+
+    def void(self, tag: str, attributes: dict) -> None:
+        if self.hidden or self.gone(tag, attributes):
             return
         box = self.boxes[-1]
         if tag == "br":
             box.newline()
+        elif not self.visible(attributes):
+            return
         elif tag == "hr":
             box.add(["---"], 1)
             box.block(1)
@@ -202,27 +236,42 @@ class Renderer:
     def close_to(self, k: int) -> None:
         while len(self.open) > k:
             self.close(*self.open.pop())
+            self.seen.pop()
 
     def close(self, tag: str, attributes: dict) -> None:
+        foreign = self.foreign
+        self.foreign -= tag in ("svg", "math")
         if self.hidden:
             self.hidden -= 1
             return
-        if tag in ("pre", "textarea"):
+        if tag in ("pre", "textarea", "xmp"):
             self.pre -= 1
         box = self.boxes[-1]
+        if foreign and tag in LINES:
+            box.block()
+        if tag in ROW_GROUPS and box.tag == "table":
+            box.below.clear()
         if box.tag == tag and box.attributes is attributes:
             self.boxes.pop()
             outer, lines = self.boxes[-1], box.done()
             if tag in ("td", "th"):
                 if hasattr(outer, "rows"):
-                    span = attributes.get("colspan", "")
+                    above = self.boxes[-2].below if self.boxes[-2].tag == "table" else {}
+                    while len(outer.rows) in above:
+                        outer.rows.append([])
+                    span, rows = attributes.get("colspan", ""), attributes.get("rowspan", "")
+                    first = len(outer.rows)
                     outer.rows += [lines] + [[]] * (min(int(span), 1000) - 1 if re.fullmatch(r"\d{1,4}", span) and int(span) > 1 else 0)
+                    if re.fullmatch(r"\d{1,5}", rows) and int(rows) != 1:
+                        # 0 stands for all rows that the group still has
+                        outer.below.update(dict.fromkeys(range(first, len(outer.rows)), min(int(rows) or 65535, 65535) - 1))
                     return
             elif tag == "tr":
                 if hasattr(outer, "rows"):
                     if lines:
                         outer.rows.append([lines])
                     outer.rows.append(box.rows)
+                    outer.below = {k: n - 1 for k, n in outer.below.items() if n > 1} | box.below
                     return
                 lines += aligned([box.rows])
             elif tag == "table":
@@ -252,6 +301,9 @@ class Renderer:
         box = self.boxes[-1]
         if box.tag in ("table", "tr") and not data.strip():
             return
+        if not self.seen[-1]:
+            box.space = True
+            return
         box.text(data, self.pre > 0)
 
 
@@ -274,11 +326,14 @@ def render(source: str) -> str:
             continue
         attributes = {k.lower(): html.unescape(v[1:-1] if v[:1] in "\"'" else v) for k, v in reversed(ATTRIBUTE.findall(m[3]))} if m[3].strip(" /\n\t") else {}
         r.start(tag, attributes)
+        if (r.foreign or tag in ("svg", "math")) and m[3].endswith("/") and not UNQUOTED.search(m[3]):
+            r.end(tag)
+            continue
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(source, at)
             body = source[at : end.start() if end else n]
-            if tag == "textarea":
-                r.text(html.unescape(body))
+            if tag in ("textarea", "xmp"):
+                r.text(html.unescape(body) if tag == "textarea" else body)
             r.end(tag)
             at = end.end() if end else n
     r.close_to(0)

@@ -259,6 +259,19 @@ def test_html(spark):
     assert {x.page_id: x.extracted for x in html_text.extract(pages).collect()} == {1: "x", 2: None, 3: ""}
 
 
+def test_html_shows_what_browsers_show():
+    r = html_text.render
+    assert r("<p>a <svg><title>no</title><desc>no</desc><defs/><rect width='1'/><text>one</text><text>two</text></svg> b") == "a\none\ntwo\nb"
+    assert r("<p>x = <math><semantics><mrow><mi>y</mi><mo>+</mo><mn>1</mn></mrow><annotation>no</annotation></semantics></math>.") == "x = y+1."
+    assert r("<p>desc <desc>seen</desc>") == "desc seen"
+    assert r("a<xmp><b> &amp;\n  c</xmp>d") == "a\n\n<b> &amp;\n  c\n\nd"
+    assert r("<div style='visibility:hidden'>no <b style='visibility: visible'>yes <i>too</i></b> no<div style='display:none'><b style='visibility:visible'>no</b></div></div>") == "yes too"
+    assert r("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>") == "a | b\n  | c\nd | e"
+    assert r("<table><tr><td rowspan=10>a<td>b<tr><td>c</table>") == "a | b\n  | c"
+    assert r("<table><tr><td rowspan=0 colspan=2>a<td>b<tr><td>c<tbody><tr><td>d<td>e</table>") == "a |   | b\n  |   | c\nd | e"
+    assert r("<table><tr style='visibility:collapse'><td>no<tr><td style='visibility:hidden'>no<td>x</table>").strip() == "| x"
+
+
 def test_pipeline_on_small_tables(spark, tmp_path):
     import corpus_pipeline
 
