@@ -24,8 +24,8 @@ from .words import ODD, inside, mix, windows
 LEVEL_VOCABULARY = "byte_bpe_multi_50k"
 PIECE_VOCABULARY = "piece_bpe_32k"
 #: Lowest and highest characters per token, and highest byte-fallback share, by language, else by the
-#: script of most letters. They hold for texts of MIN_TOKENS tokens or more. The lowest characters per token hold
-#: only where the input has fewer than MIN_TEXTS such texts that pass the base rules; else its own medians do.
+#: script of most letters. The lowest characters per token hold only where fewer than MIN_TEXTS texts of MIN_TOKENS tokens
+#: or more pass the base rules; else the medians of those do.
 BANDS = {
     "en": (2.05, 7.5, 0.15), "de": (2.1, 7.5, 0.15), "fr": (1.95, 7.5, 0.15), "es": (1.95, 7.5, 0.15),
     "Latin": (1.6, 7.5, 0.25), "Greek": (0.7, 5.0, 0.6), "Cyrillic": (0.9, 6.0, 0.4), "Hebrew": (0.5, 4.0, 0.8), "Arabic": (0.6, 5.0, 0.8),
@@ -36,6 +36,8 @@ MIN_TEXTS = 30
 #: Distances from a median, in natural logarithms: NEAREST is a quarter more tokens for as many characters; where texts
 #: differ more, SIGMAS standard deviations (by the median absolute deviation). Above the median, twice as far.
 NEAREST, SIGMAS = float(np.log(1.25)), 3.0
+#: A band is wider by sqrt(1 + SHORT / tokens), as a mean over fewer tokens spreads more.
+SHORT = 64
 BINS = 200  # of the logarithm, for each power of e
 #: Bits of token entropy: at least the smaller of the first and the second times log2 of the tokens.
 MIN_ENTROPY, ENTROPY_SHARE, MAX_ENTROPY = 4.5, 0.62, 13.0
@@ -201,13 +203,15 @@ def in_band(found: dict[str, tuple[float, float, float, float]]) -> Column:
     """Whether the measures of a row lie in its band."""
     limits = F.create_map(*chain.from_iterable((F.lit(b), F.array(*map(F.lit, map(float, v)))) for b, v in BANDS.items()))[F.col("band")]
     n, per_token, per_piece = F.col("n_tokens"), F.col("chars_per_token"), F.col("chars_per_piece")
-    least = per_token >= limits[0]
+    wider = F.sqrt(1 + SHORT / F.greatest(n, F.lit(1)))
+    room = F.exp(NEAREST * (wider - 1))
+    least = per_token >= limits[0] / room
     if found:
         own = F.create_map(*chain.from_iterable((F.lit(b), F.array(*map(F.lit, v))) for b, v in found.items()))[F.col("band")]
-        near = lambda c, k: (F.log(c) - own[k]).between(-own[k + 1], 2 * own[k + 1])
+        near = lambda c, k: (F.log(c) - own[k]).between(-own[k + 1] * wider, 2 * own[k + 1] * wider)
         least = F.when(own.isNull(), least).otherwise(near(per_token, 0) & near(per_piece, 2))
-    entropy = F.col("token_entropy").between(F.least(F.lit(MIN_ENTROPY), ENTROPY_SHARE * F.log2(n)), F.lit(MAX_ENTROPY))
-    return (n < MIN_TOKENS) | least & (per_token <= limits[1]) & (per_piece <= limits[1]) & (F.col("byte_share") <= limits[2]) & entropy
+    entropy = F.col("token_entropy").between(F.least(F.lit(MIN_ENTROPY), ENTROPY_SHARE * F.log2(n)) / wider, F.lit(MAX_ENTROPY))
+    return F.coalesce(least & (per_token <= limits[1] * room) & (per_piece <= limits[1] * room) & (F.col("byte_share") <= limits[2] * wider) & entropy, F.lit(False))
 
 
 def repeated_words(h: np.ndarray, offsets: np.ndarray, n: int = 5) -> np.ndarray:

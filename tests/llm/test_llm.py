@@ -210,6 +210,11 @@ def test_quality_bands_follow_the_input(spark):
     texts = [" ".join(prose[k : k + 200]) for k in range(0, 20_000, 200)]
     signs = ["###", "***", "%%%"]
     junk = [" ".join(w + signs[k % 3] for k, w in enumerate(t.split())) for t in texts[:5]] + [" ".join(w.upper() + "!!" for w in t.split()) for t in texts[:5]]
+    short = [" ".join(prose[k : k + 15]) for k in range(30_000, 30_600, 15)]
+    junk += ["q#7 x%z *$# zq& |x| 9$k vv* #w# &q7 z%x", "#q " * 10 + "zx"]
+    assert all(quality.fertility(t)[4] < quality.MIN_TOKENS for t in [*short, *junk[-2:]])
+    by_short = quality.quality(spark.createDataFrame([(k, t, "en") for k, t in enumerate([*texts, *short])], "doc_id long, text string, lang string")).collect()
+    assert sum(r.kept or r.base_failed for r in by_short if r.doc_id >= len(texts)) >= 36
     rows = quality.quality(spark.createDataFrame([*enumerate(texts), *((-1 - k, t) for k, t in enumerate(junk))], "doc_id long, text string").withColumn("lang", F.lit("en"))).collect()
     assert not any(r.kept for r in rows if r.doc_id < 0)
     assert sum(r.kept or r.base_failed for r in rows if r.doc_id >= 0) >= 95
