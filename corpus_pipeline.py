@@ -19,9 +19,26 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def jaccard_classes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each class of near copies the document with the smallest doc_id."""
-    keep = jaccard.similarity_classes(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+    """Keeps of each class of near copies the document with the smallest doc_id, those without one last.
+
+    Rows with equal doc_id (or none) and equal text count as one document, of which the row with the smallest other
+    columns stays. Different texts under one doc_id are different documents; the smaller hash of doc_id and text goes first.
+    """
+    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    odd = docs.where("doc_id IS NULL").select("doc_id").union(repeated)
+    if odd.isEmpty():
+        keep = jaccard.similarity_classes(docs).where("doc_id = component_id").select("doc_id")
+        return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    strange = docs.where("doc_id IS NULL").unionByName(docs.join(repeated, "doc_id", "left_semi"))
+    strange = strange.groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("rest")).select("doc_id", "text", "rest.*")
+    plain = docs.where("doc_id IS NOT NULL").join(repeated, "doc_id", "left_anti")
+    # Each document gets a key of its own: its doc_id where that is unique, else a hash.
+    keyed = written(plain.withColumn("key", F.col("doc_id")).unionByName(strange.withColumn("key", F.xxhash64("doc_id", "text"))), "keyed")
+    classes = jaccard.similarity_classes(keyed.select(F.col("key").alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))["key"]
+    keep = keyed.select("key", "doc_id").join(classes, "key").groupBy("component_id").agg(first.alias("key")).select("key")
+    return keyed.join(keep, "key", "left_semi").select(*docs.columns)
 
 
 def benchmark_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -290,6 +290,31 @@ def test_pipeline_on_small_tables(spark, tmp_path):
         assert len(got[1].split()) == 68
 
 
+def test_pipeline_brute_force(spark, tmp_path):
+    import corpus_pipeline
+    from pydoc_data.topics import topics
+
+    words = sorted(set(re.findall(r"[a-z]{3,}", " ".join(topics.values()))))
+    text = [" ".join(random.Random(k).sample(words, 80)) for k in range(9)]
+    near = " ".join(text[0].split()[:-1] + ["other"])
+    made = [(k, text[k]) for k in range(4)] + [(50, text[0]), (None, near), (None, text[4]), (None, text[4]), (-1, text[5]), (7, text[5]), (7, text[6]), (7, text[6]), (8, text[7]), (8, text[8])]
+    made += [(60, None), (61, "too short"), (None, "too short"), (62, "a b c d e f g h " * 9)]
+    item = " ".join(text[1].split()[10:22])
+    spark.createDataFrame([(i, t, "en", "s", 1) for i, t in made], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(i, t) for i, t in dict.fromkeys(made) if t in text or t == near]  # the others fail the base rules
+    low = classes([(k, t) for k, (_, t) in enumerate(rows)])
+    groups = {}
+    for k, (i, t) in enumerate(rows):
+        groups.setdefault(low[k][1], []).append((i is None, i, t))
+    want = Counter()
+    for g in groups.values():
+        _, i, t = min(g, key=lambda x: (x[0], x[1] or 0))
+        want[i, re.sub(r" +", " ", t.replace(item, ""))] += 1
+    got = Counter((r.doc_id, re.sub(r" +", " ", bpe.encoder().decode(bytes(r.ids)))) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert got == want and len(want) == 9
+
+
 def test_crc_of_ids():
     assert zlib.crc32(np.array([2], "<u4").tobytes()) == zlib.crc32(b"\2\0\0\0")
 
