@@ -10,10 +10,12 @@ and only if each pair of neighbours is, so agreement at both ends proves the joi
 from __future__ import annotations
 
 import base64
+import os
 import re
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batched, extended, table
+from .common import bounded_batches, extended, table
 
 VOCABULARY = "byte_bpe_50k"
 LEAF = 4096
@@ -61,6 +63,76 @@ class Generations(dict):
         return value
 
 
+class Pieces(dict):
+    """Codes of the pieces of many texts, and the ids of each piece in flat arrays.
+
+    Texts are cut where the tokenizer always cuts, so a text's ids are those of its pieces in order. A key is what
+    follows a space, or a space and then a piece that has none of its own before it. A piece is encoded once, by
+    ``encode_new`` together with all others that are new, until ``PIECES`` of them or ``PIECE_CHARS`` have gathered.
+    """
+
+    PIECES, PIECE_CHARS = 300_000, 16_000_000
+
+    def __init__(self, encode_new):
+        self.encode_new = encode_new
+        self.cut = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
+        self.uneven = re.compile(f"[{WHITE}] | $").search  # then a space doesn't always start a piece
+        self.reset()
+
+    def reset(self) -> None:
+        self.clear()
+        self.new: list[str] = []
+        self.chars = 0
+        self.sizes, self.starts, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def __missing__(self, key: str | int) -> int:
+        self[key] = code = len(self)
+        self.new.append(key)
+        return code
+
+    def keys_of(self, text: str) -> list[str]:
+        if self.uneven(text):
+            return [" " + p for p in self.cut(text)]
+        first, *rest = text.split(" ")
+        return [" " + first, *rest] if first else rest
+
+    def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's ids end); ``end`` follows each text."""
+        if len(self) > self.PIECES or self.chars > self.PIECE_CHARS:
+            self.reset()
+        last = [] if end is None else [end]
+        keys = [[*(self.keys_of(t) if t else ()), *last] for t in texts]
+        codes = np.fromiter(map(self.__getitem__, chain.from_iterable(keys)), np.int64)
+        new, self.new = self.new, []
+        if new:
+            found = self.encode_new([k[1:] if k[0] == " " else " " + k for k in new if isinstance(k, str)])
+            found = iter(found)
+            ids = [[k] if isinstance(k, int) else next(found) for k in new]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), np.uint32)])
+            self.chars += sum(len(k) for k in new if isinstance(k, str))
+        n = self.sizes[codes]
+        ends = np.cumsum(n)
+        at = np.repeat(self.starts[codes] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
+        before = np.concatenate([[0], ends])
+        return self.ids[at], before[np.cumsum(np.fromiter(map(len, keys), np.int64, len(keys)))]
+
+
+@lru_cache(maxsize=2)
+def library_pieces(name: str = VOCABULARY) -> Pieces:
+    """One for each Python worker, over the tokenizers library itself."""
+    import public_tokenizers as public
+    from tokenizers import Tokenizer
+
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+    library = Tokenizer.from_file(public.path(f"{name}.json"))
+    library.no_padding()
+    library.no_truncation()
+    return Pieces(lambda new: [e.ids for e in library.encode_batch(new, add_special_tokens=False)])
+
+
 class Encoder:
     def __init__(self, name: str = VOCABULARY, leaf: int = LEAF):
         import public_tokenizers as public
@@ -81,6 +153,7 @@ class Encoder:
         self.leaf = leaf
         self.uneven = re.compile(f"[{WHITE}] | $").search
         self.cache = Generations(lambda rest: self.piece(" " + rest))
+        self.known = Pieces(lambda new: [self.ids(p) for p in new])
         self.pool = ThreadPoolExecutor(2)
 
     def raw(self, data: bytes) -> list[int]:
@@ -153,21 +226,24 @@ def round_trip(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
     Null text counts as empty and has no ids. Rows are independent: repeats, ties and an empty table need no rule.
     Columns named ids or decoded are replaced; others stay.
     """
-    docs = batched(docs.drop("ids", "decoded"))
+    docs = docs.drop("ids", "decoded")
 
     def run(batches):
         bpe = encoder(name)
         for batch in slices(batches):
-            ids = [bpe.encode(t or "") for t in batch["text"].to_pylist()]
+            ids, ends = bpe.known.encode([t or "" for t in batch["text"].to_pylist()])
+            data, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+            raw = [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(ids, pa.binary()), pa.array(map(bpe.decode, ids), pa.string())], names=[*batch.schema.names, "ids", "decoded"]
+                [*batch.columns, pa.array(raw, pa.binary()), pa.array(map(bpe.decode, raw), pa.string())], names=[*batch.schema.names, "ids", "decoded"]
             )
-        bpe.cache.forget()  # the worker may go on with another stage
+        bpe.known.reset()  # the worker may go on with another stage
 
     return docs.mapInArrow(run, extended(docs, "ids binary, decoded string"))
 
 
 def op7_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return round_trip(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
     )

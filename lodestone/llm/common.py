@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,14 +14,19 @@ from pyspark.sql import types as T
 BATCH_BYTES = "4m"
 
 
+_LOCAL: dict[str, str] = {}  # by application, where its master is local and the folder unset
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; in local mode only, a fresh folder where it is unset."""
+    """The folder named by ``spark.checkpoint.dir``; with a local master only, one fresh folder where it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        context = spark.sparkContext
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if context.applicationId not in _LOCAL:
+            _LOCAL[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="lodestone-")
+        root = _LOCAL[context.applicationId]
     return root.rstrip("/")
 
 
@@ -40,12 +46,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def batched(docs: DataFrame) -> DataFrame:
-    """``docs``, whose session now hands Arrow batches of at most ``BATCH_BYTES``, or one row, to Python workers."""
-    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if conf.get(name) != BATCH_BYTES:
-        conf.set(name, BATCH_BYTES)
-    return docs
+def bounded_batches(spark: SparkSession) -> None:
+    """Sets the session to hand Arrow batches of at most ``BATCH_BYTES``, or one row, to Python workers.
+
+    Queries and stages call it at their entry; operators leave the caller's session as it is and work with any bound.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import batched, extended, table
+from .common import bounded_batches, extended, table
 
 WINDOW = 10
 SAMPLE = 8
@@ -216,7 +216,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     items count once. Columns with the new names are replaced.
     """
     added = ["n_words", "n_hit", "items", "spans", "clean"]
-    docs = batched(docs.drop(*added))
+    docs = docs.drop(*added)
     sent = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks(benchmark, item_id, item_text)]
 
     def run(batches):
@@ -259,6 +259,7 @@ def removal(text: str, hit: np.ndarray) -> tuple[list[dict], str]:
 
 
 def op1_decontaminate_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     out = decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return out.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")

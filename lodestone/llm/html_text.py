@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import extended, table
+from .common import bounded_batches, extended, table
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
@@ -357,4 +357,5 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
 
 def op8_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", F.length("extracted").cast("long").alias("n_chars"), F.col("extracted").alias("text"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import batched, components, table, written
+from .common import bounded_batches, components, table, written
 from .words import WordHashes, hashed, inside, mix, windows
 
 N = 5
@@ -600,7 +600,7 @@ def similarity_classes(docs: DataFrame, short_run: int = SHORT_RUN) -> DataFrame
     whatever links reach share the smallest doc_id. A repeated doc_id gives a row each time. A null doc_id is left
     out of the join and returned as its own class with a null component. An empty table gives no rows.
     """
-    known = batched(docs.select("doc_id", "text").where("doc_id IS NOT NULL"))
+    known = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
     spread = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 16)
     buckets = max(64, 4 * known.rdd.getNumPartitions())
     bundles = bundled(known, buckets).withColumn("at", F.when(F.col("bucket") == -1, -1 - F.spark_partition_id()).otherwise(F.col("bucket")))
@@ -626,6 +626,7 @@ def similarity_classes(docs: DataFrame, short_run: int = SHORT_RUN) -> DataFrame
 
 
 def op6_jaccard_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return similarity_classes(table(spark, sf_dir, "documents"))
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import encoder, slices
-from .common import batched, table, written
+from .common import bounded_batches, table, written
 from .words import ODD, inside, mix, windows
 
 LEVEL_VOCABULARY = "byte_bpe_multi_50k"
@@ -242,7 +242,7 @@ def dup_lines(text: str) -> int:
 def measures(docs: DataFrame, passed: list[str]) -> DataFrame:
     """The columns ``passed`` of ``docs``, those of ``NEW`` but ``kept``, n_tokens, and the name of the text's band."""
     has_lang = "lang" in docs.columns
-    docs = batched(docs.select(*dict.fromkeys([*passed, "text", *["lang"] * has_lang])))
+    docs = docs.select(*dict.fromkeys([*passed, "text", *["lang"] * has_lang]))
 
     def run(batches):
         units = Units()
@@ -285,5 +285,6 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def op9_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     measured = written(measures(table(spark, sf_dir, "documents"), ["doc_id"]), "measures")
     return judged(measured, centres(measured)).select("doc_id", *NEW)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import batched, extended, table
+from .common import bounded_batches, extended, table
 
 MAX_TRAIN = 20_000
 TREES, DEPTH, LEAF_ROWS = 40, 10, 3
@@ -240,7 +240,7 @@ def scan(docs: DataFrame, forest: Forest, path_col: str | None = "source", text_
     candidates can't occur, repeated rows get equal results, columns with the new names are replaced.
     """
     added = ["n_candidates", "secrets", "masked"]
-    docs = batched(docs.drop(*added))
+    docs = docs.drop(*added)
     sent = docs.sparkSession.sparkContext.broadcast(forest)  # its size is bounded by TREES and DEPTH
 
     def run(batches):
@@ -283,6 +283,7 @@ def trained(spark: SparkSession) -> Forest:
 
 
 def op3_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     out = scan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), trained(spark))
     return out.select(
         "doc_id", "n_candidates", F.size("secrets").cast("long").alias("n_secrets"),
