@@ -67,16 +67,18 @@ class Pieces(dict):
     """Codes of the pieces of many texts, and the ids of each piece in flat arrays.
 
     Texts are cut where the tokenizer always cuts, so a text's ids are those of its pieces in order. A key is what
-    follows a space, or a space and then a piece that has none of its own before it. A piece is encoded once, by
-    ``encode_new`` together with all others that are new, until ``PIECES`` of them or ``PIECE_CHARS`` have gathered.
+    follows a space, or a space and then a piece that has none of its own before it. A piece is encoded once, until
+    ``PIECES`` of them or ``PIECE_CHARS`` have gathered: new ones of the first kind as a text of ``JOINED`` of them,
+    whose ids the bytes of each id (``lengths``) deal out again, others and long ones alone.
     """
 
-    PIECES, PIECE_CHARS = 300_000, 16_000_000
+    PIECES, PIECE_CHARS, JOINED = 400_000, 16_000_000, 256
 
-    def __init__(self, encode_new):
-        self.encode_new = encode_new
+    def __init__(self, encode_one, encode_many, lengths: np.ndarray, leaf: int = LEAF):
+        self.encode_one, self.encode_many, self.lengths, self.leaf = encode_one, encode_many, lengths, leaf
         self.cut = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
         self.uneven = re.compile(f"[{WHITE}] | $").search  # then a space doesn't always start a piece
+        self.white = frozenset(chr(c) for c in range(0x3001) if chr(c).isspace())
         self.reset()
 
     def reset(self) -> None:
@@ -96,6 +98,33 @@ class Pieces(dict):
         first, *rest = text.split(" ")
         return [" " + first, *rest] if first else rest
 
+    def encode_new(self, keys: list) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all keys, how many each has)."""
+        sizes, parts, k = np.empty(len(keys), np.int64), [], 0
+        alone = [isinstance(x, int) or not x or x[0] == " " or len(x) > self.leaf or x[-1] in self.white for x in keys]
+        while k < len(keys):
+            if alone[k]:
+                x = keys[k]
+                ids = np.array([x] if isinstance(x, int) else self.encode_one(x[1:] if x[:1] == " " else " " + x), np.uint32)
+                sizes[k] = len(ids)
+                parts.append(ids)
+                k += 1
+                continue
+            j = k
+            while j < len(keys) and j - k < self.JOINED and not alone[j]:
+                j += 1
+            text = " " + " ".join(keys[k:j])
+            ids = np.array(self.encode_many(text), np.uint32)
+            ends = np.cumsum(self.lengths[ids])
+            wanted = np.cumsum(np.fromiter(map(len, map(str.encode, keys[k:j])), np.int64, j - k) + 1)
+            at = np.searchsorted(ends, wanted)
+            if len(ids) == 0 or not (ends[at] == wanted).all():
+                raise ValueError("a token goes over the end of a piece")
+            sizes[k:j] = np.diff(at, prepend=-1)
+            parts.append(ids)
+            k = j
+        return np.concatenate(parts), sizes
+
     def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's ids end); ``end`` follows each text."""
         if len(self) > self.PIECES or self.chars > self.PIECE_CHARS:
@@ -105,13 +134,10 @@ class Pieces(dict):
         codes = np.fromiter(map(self.__getitem__, chain.from_iterable(keys)), np.int64)
         new, self.new = self.new, []
         if new:
-            found = self.encode_new([k[1:] if k[0] == " " else " " + k for k in new if isinstance(k, str)])
-            found = iter(found)
-            ids = [[k] if isinstance(k, int) else next(found) for k in new]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            ids, sizes = self.encode_new(new)
             self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
             self.sizes = np.concatenate([self.sizes, sizes])
-            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), np.uint32)])
+            self.ids = np.concatenate([self.ids, ids])
             self.chars += sum(len(k) for k in new if isinstance(k, str))
         n = self.sizes[codes]
         ends = np.cumsum(n)
@@ -130,7 +156,11 @@ def library_pieces(name: str = VOCABULARY) -> Pieces:
     library = Tokenizer.from_file(public.path(f"{name}.json"))
     library.no_padding()
     library.no_truncation()
-    return Pieces(lambda new: [e.ids for e in library.encode_batch(new, add_special_tokens=False)])
+    lengths = np.zeros(library.get_vocab_size(), np.int64)
+    for token, i in library.get_vocab().items():
+        lengths[i] = len(token)  # one character stands for one byte
+    encode = lambda text: library.encode_batch_fast([text], add_special_tokens=False)[0].ids
+    return Pieces(encode, encode, lengths)
 
 
 class Encoder:
@@ -153,7 +183,7 @@ class Encoder:
         self.leaf = leaf
         self.uneven = re.compile(f"[{WHITE}] | $").search
         self.cache = Generations(lambda rest: self.piece(" " + rest))
-        self.known = Pieces(lambda new: [self.ids(p) for p in new])
+        self.known = Pieces(self.ids, lambda text: self.core.encode(text, {SPECIAL}), np.fromiter(map(len, self.bytes_of), np.int64), leaf)
         self.pool = ThreadPoolExecutor(2)
 
     def raw(self, data: bytes) -> list[int]:

@@ -1,173 +1,242 @@
 """Token-id files coded by an adaptive context-mixing range coder.
 
-An id is four nibbles. Each nibble is predicted by adaptive distributions under the ids before it: none (order 0), one
-(order 1) and two (order 2), each with the nibbles so far. Their weighted mixture drives a range coder, and the
-weights follow how well each has predicted. Blocks of ``BLOCK`` ids start from a fresh model and carry checksums, so
-any block decodes alone; the blocks of a segment are coded side by side, one lane each. All arithmetic is on integers.
-
-A file is a table of segments in ascending order of their first document. Spark's writer commits it, so a lost
-executor leaves no half-written segment.
+Three models predict the next id. Order 2 and order 1 remember, for the two ids or the one id before, the id that
+followed and how often it was right; order 0 counts ids by bins that widen with the id.
+The three are mixed into one distribution whose weights follow how often each has been right in the same state of
+confidence, and that distribution drives a range coder, in one step for each id. Blocks of ``BLOCK`` ids start from a fresh model and carry checksums, so any block
+decodes alone; the blocks of a segment are coded side by side, one lane each. All arithmetic is on integers.
+
+A file is a table of segments in ascending order of their first document; a document lies in one segment. Spark's
+writer commits it, so a lost executor leaves no half-written segment.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .bpe import encoder, slices
-from .common import new_path, table
+from .bpe import library_pieces, slices
+from .common import bounded_batches, new_path, table
 
-BLOCK, LANES = 4096, 256
+BLOCK, LANES = 4096, 1024
+CHUNK = 32  # ids of a block after which the models learn from them
 END_ID = 2
-MAGIC = b"LMIX1\0\0\0"
-BITS, NODES, HASHED = 15, 4369, 4096
-RATES = np.array([5, 3, 2], np.int16)[:, None, None]
-_S, _I = np.arange(16)[:, None], np.arange(16)[None, :]
-#: Where the lower bounds of the 16 symbols move after each symbol; no symbol's share reaches zero.
-TARGET = np.where(_I <= _S, _I, (1 << BITS) - 16 + _I).astype(np.int16)
-LOW32 = np.uint64(2**32 - 1)
+MAGIC = b"LMIX2\0\0\0"
+MAX_PARTS_BROADCAST = 1_000_000
+#: The coder's range is 64 bits and moves on by 16; weights have 20 bits, and order 0 shares its own out by 12 more.
+TOTAL, BIN_BITS, WORD = 32, 12, np.uint64(16)
+LEAST_RANGE, LOW16 = np.uint64(2**48), np.uint64(2**16 - 1)
+ONE_SLOTS, TWO_SLOTS, BINS = 1 << 10, 1 << 11, 256
+#: Bins of ids: one each below 64, then 19 for each doubling up to 65536.
+EDGES = np.unique(np.concatenate([np.arange(64), np.floor(64 * 2 ** (np.arange(190) / 19 + 1e-9)).astype(np.int64), [65536]]))
+BIN_OF = np.searchsorted(EDGES, np.arange(65536), "right") - 1
+START = np.concatenate([EDGES[:-1], np.full(BINS + 1 - len(EDGES), 65536)])
+WIDTH = np.concatenate([np.diff(EDGES), np.ones(BINS + 1 - len(EDGES), np.int64)])
+F1 = np.float32(1)
 
 
 class Model:
-    """Distributions and weights of all lanes."""
+    """Predictions, counts and weights of all lanes, which learn from ``CHUNK`` ids at a time."""
 
     def __init__(self, lanes: int):
-        rows = NODES + 2 * HASHED
-        self.table = np.tile((np.arange(16) << (BITS - 4)).astype(np.int16), (lanes * rows, 1))
-        self.base = np.arange(lanes) * rows
-        self.weights = np.full((4, 3, lanes), 85, np.int32)
-        self.weights[:, 0] = 86
-        self.one = np.zeros(lanes, np.int64)
-        self.two = np.zeros(lanes, np.int64)
-        self.start()
-
-    def start(self) -> None:
-        self.node = np.zeros(len(self.base), np.int64)
-        self.k = 0
-        self.h1 = self.one * 0x9E3779B1 & 0xFFFFFFFF
-        self.h2 = (self.one * 0x85EBCA6B + self.two * 0xC2B2AE35) & 0xFFFFFFFF
-
-    def mixed(self) -> np.ndarray:
-        """Lower bounds (lanes, 16) of the next nibble."""
-        turn = self.node * 0x27D4EB2F
-        i1 = (((self.h1 + turn) & 0xFFFFFFFF) * 0x2545F491 >> 16) & (HASHED - 1)
-        i2 = (((self.h2 + turn) & 0xFFFFFFFF) * 0x2545F491 >> 16) & (HASHED - 1)
-        self.at = np.stack([self.base + self.node, self.base + NODES + i1, self.base + NODES + HASHED + i2])
-        self.rows = self.table[self.at]
-        w = self.weights[self.k]
-        r = self.rows
-        return (r[0] * w[0][:, None] + r[1] * w[1][:, None] + r[2] * w[2][:, None]) >> 8
-
-    def update(self, symbol: np.ndarray) -> None:
-        lane = np.arange(len(symbol))
-        upper = np.where(symbol < 15, self.rows[:, lane, np.minimum(symbol + 1, 15)].astype(np.int32), 1 << BITS)
-        share = upper - self.rows[:, lane, symbol] + 8
-        self.table[self.at] = self.rows + ((TARGET[symbol][None] - self.rows) >> RATES)
-        score = self.weights[self.k].astype(np.int64) * share
-        new = 16 + 208 * score // score.sum(0)
-        new[0] = 256 - new[1] - new[2]
-        self.weights[self.k] = new
-        self.node = self.node * 16 + 1 + symbol
-        self.k += 1
-        if self.k == 4:
-            self.two, self.one = self.one, self.node - NODES
-            self.start()
-
-
-def bounds(mixed: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    lane = np.arange(len(symbol))
-    low = mixed[lane, symbol]
-    high = np.where(symbol < 15, mixed[lane, np.minimum(symbol + 1, 15)], 1 << BITS)
-    return low.astype(np.uint64), (high - low).astype(np.uint64)
-
-
-def narrowed(low: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(lanes that must move on by 16 bits, spans cut so that their upper 16 bits are settled)."""
-    due = np.flatnonzero(span <= LOW32)
-    if len(due):
-        split = (low[due] ^ (low[due] + span[due] - np.uint64(1))) > LOW32
-        cut = due[split]
-        span[cut] = (LOW32 + np.uint64(1)) - (low[cut] & LOW32)
-    return due, span
+        self.lane = np.arange(lanes)
+        self.lanes_of = np.tile(self.lane, CHUNK)
+        self.t1, self.t2 = np.zeros(lanes * ONE_SLOTS, np.uint32), np.zeros(lanes * TWO_SLOTS, np.uint32)
+        self.at1, self.at2, self.at_p = self.lane * ONE_SLOTS, self.lane * TWO_SLOTS, self.lane * 32
+        # By confidence of order 2 and 1, and whether they agree: how many ids were order 2's, only order 1's, neither's.
+        # Whole numbers far below 2**24, so single precision counts them exactly, and divides alike on every machine.
+        k2, k1 = np.arange(32) // 4 % 4, np.arange(32) % 4
+        two, one = np.array([1, 4, 8, 11])[k2], np.where(np.arange(32) >= 16, 0, np.array([1, 2, 3, 4])[k1])
+        self.outcomes = np.tile(np.stack([16 - two - one, two, one]).astype(np.float32), (1, lanes))
+        self.counts = np.ones((lanes, BINS), np.int32)
+        self.flat = np.zeros(lanes * BINS + 1, np.int32)
+        self.spread = (self.lane << 13).astype(np.int32)[:, None]  # lanes' shares lie apart, so that all are one ascending array
+        self.step = 0
+        self.refresh()
+
+    def refresh(self) -> None:
+        """Weights and distributions from the counts."""
+        none, two, one = self.outcomes
+        self.weight2 = (two / (none + two + one + F1) * np.float32(960 << 10)).astype(np.int64) + 1024
+        self.weight1 = (one / (none + one + F1) * (((1 << 20) - self.weight2) * 0.875).astype(np.float32)).astype(np.int64) + 16
+        self.weight2 <<= BIN_BITS
+        self.weight1 <<= BIN_BITS
+        if self.step % (CHUNK if self.step < 128 else 2 * CHUNK) == 0:
+            sums = np.cumsum(self.counts, axis=1, dtype=np.int32)
+            scale = (((1 << BIN_BITS) - BINS) << 16) // sums[:, -1:]  # a product has 31 bits at most
+            sums *= scale
+            sums >>= 16
+            shares = self.flat[:-1].reshape(-1, BINS)
+            np.add(sums[:, :-1], np.arange(1, BINS, dtype=np.int32), out=shares[:, 1:])
+            self.coarse = (shares[:, ::4] + self.spread).ravel()
+
+    def predict(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(i1, i2, e1, e2, x, c1, c2, weight of c2, weight of c1) for the ids before; any number of rows of lanes."""
+        i1 = self.at1 + ((one * 40503 >> 5) & (ONE_SLOTS - 1))
+        i2 = self.at2 + ((one * 0x9E3779B1 + two * 0x85EBCA6B >> 13) & (TWO_SLOTS - 1))
+        e1, e2 = self.t1[i1].astype(np.int64), self.t2[i2].astype(np.int64)
+        c1, c2 = e1 & 0xFFFF, e2 & 0xFFFF
+        x = self.at_p + (e2 >> 16 << 2) + (e1 >> 16) + ((c1 == c2).view(np.int8) << 4)
+        return i1, i2, e1, e2, x, c1, c2, self.weight2[x], self.weight1[x]
+
+    def share(self, lane: np.ndarray, bins: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(begin, length for each id) of bins, where order 0 has ``rest`` for all of them."""
+        slot = lane * BINS + bins
+        below, above = self.flat[slot], self.flat[slot + 1]
+        above[above == 0] = 1 << BIN_BITS  # the next lane begins at 0
+        length = (above - below) * rest
+        return below * rest, length // WIDTH[bins]
+
+    def bin_at(self, lane: np.ndarray, aim: np.ndarray) -> np.ndarray:
+        """The last bin of each lane that begins at or below ``aim``; every lane's first one begins at 0."""
+        aim = aim.astype(np.int32)
+        at = (np.searchsorted(self.coarse, aim + self.spread.ravel()[lane], "right") - 1) * 4
+        for step in (2, 1):
+            at += (self.flat[at + step] <= aim) * step
+        return at - lane * BINS
+
+    def learn(self, ids: np.ndarray, found: tuple[np.ndarray, ...], hit2: np.ndarray, hit1: np.ndarray) -> None:
+        """``ids`` (rows of lanes) have followed; where one slot is due twice, the later id counts."""
+        i1, i2, e1, e2, x, c1, c2 = found[:7]
+        for t, i, e, c, hit in ((self.t2, i2, e2, c2, hit2), (self.t1, i1, e1, c1, ids == c1)):
+            k = e >> 16
+            # A hit raises confidence to 3 at most, a miss halves it, and the id takes the place of one without any.
+            up = (k >> 1) + (2 - (k == 0)) * hit
+            t[i] = ids + (c + (up << 16) - ids) * ((k > 0) | hit)
+        np.add.at(self.outcomes.ravel(), (x + len(self.lane) * 32 * (hit2.view(np.int8) + hit1.view(np.int8) * 2).astype(np.int64)).ravel(), F1)
+        at = np.flatnonzero(~(hit2 | hit1))
+        np.add.at(self.counts.ravel(), self.lanes_of[at] * BINS + BIN_OF[ids.ravel()[at]], np.int32(4))
+        self.step += len(ids)
+        self.refresh()
+
+
+def u64(x: np.ndarray) -> np.ndarray:
+    return x.view(np.uint64)
 
 
 def encode_lanes(ids: np.ndarray) -> list[bytes]:
     """Payloads of the rows of ``ids`` (lanes, steps), each below 65536."""
     lanes, steps = ids.shape
     model = Model(lanes)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, 2**48 - 1, np.uint64)
-    out, pos = np.zeros((lanes, steps * 5 + 16), "<u2"), np.zeros(lanes, np.int64)
-    for t in range(steps):
-        for shift in (12, 8, 4, 0):
-            symbol = (ids[:, t] >> shift) & 15
-            cum, freq = bounds(model.mixed(), symbol)
-            model.update(symbol)
-            unit = span >> np.uint64(BITS)
-            low, span = low + unit * cum, unit * freq
-            while True:
-                due, span = narrowed(low, span)
-                if not len(due):
-                    break
-                out[due, pos[due]] = (low[due] >> np.uint64(32)).astype(np.uint16)
-                pos[due] += 1
-                low[due] = (low[due] & LOW32) << np.uint64(16)
-                span[due] <<= np.uint64(16)
-    lane = np.arange(lanes)
-    for shift in (32, 16, 0):
-        out[lane, pos] = ((low >> np.uint64(shift)) & np.uint64(0xFFFF)).astype(np.uint16)
+    low, span = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
+    most = steps * 2 + 8  # a step takes two words at most
+    out, pos = np.zeros(lanes * most, "<u2"), model.lane * most
+    after = np.zeros((CHUNK + 2, lanes), np.int64)
+    for t in range(0, steps, CHUNK):
+        n = min(CHUNK, steps - t)
+        after[:2] = after[-2:]
+        after[2 : 2 + n] = ids[:, t : t + n].T
+        x = after[2 : 2 + n]
+        found = model.predict(after[1 : 1 + n], after[:n])
+        c1, c2, a, b = found[5:]
+        hit2 = x == c2
+        hit1 = (x == c1) & ~hit2
+        cum, freq = a * ~hit2, a + (b - a) * hit1
+        at = np.flatnonzero(~(hit2 | hit1))
+        rare, lane = x.ravel()[at], model.lanes_of[at]
+        bins = BIN_OF[rare]
+        ab = a.ravel()[at] + b.ravel()[at]
+        begin, each = model.share(lane, bins, ((1 << TOTAL) - ab) >> BIN_BITS)
+        cum.ravel()[at], freq.ravel()[at] = ab + begin + (rare - START[bins]) * each, each
+        cum, freq = u64(cum), u64(freq)
+        for k in range(n):
+            unit = span >> np.uint64(TOTAL)
+            old = low
+            low, span = old + unit * cum[k], unit * freq[k]
+            over = np.flatnonzero(low < old)
+            if len(over):  # carries go into words that are out already
+                p = pos[over] - 1
+                while len(p):
+                    out[p] += np.uint16(1)
+                    p = p[out[p] == 0] - 1
+            due = np.flatnonzero(span < LEAST_RANGE)
+            while len(due):
+                first, p, wide = low[due], pos[due], span[due] << WORD
+                out[p] = first >> np.uint64(48)
+                pos[due] = p + 1
+                low[due], span[due] = first << WORD, wide
+                due = due[wide < LEAST_RANGE]
+        model.learn(x, found, hit2, hit1)
+    for shift in (48, 32, 16, 0):
+        out[pos] = (low >> np.uint64(shift)) & LOW16
         pos += 1
-    return [out[k, : pos[k]].tobytes() for k in range(lanes)]
+    return [out[k * most : pos[k]].tobytes() for k in range(lanes)]
 
 
 def decode_lanes(payloads: list[bytes], steps: int) -> np.ndarray:
     lanes = len(payloads)
-    words = np.zeros((lanes, max(map(len, payloads)) // 2 + 8), np.uint64)
+    most = max(map(len, payloads)) // 2 + 8
+    words = np.zeros((lanes, most), "<u2")
     for k, p in enumerate(payloads):
         words[k, : len(p) // 2] = np.frombuffer(p, "<u2")
     model = Model(lanes)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, 2**48 - 1, np.uint64)
-    code = (words[:, 0] << np.uint64(32)) | (words[:, 1] << np.uint64(16)) | words[:, 2]
-    pos, out = np.full(lanes, 3, np.int64), np.zeros((lanes, steps), np.int64)
-    for t in range(steps):
-        for _ in range(4):
-            mixed = model.mixed()
-            unit = span >> np.uint64(BITS)
-            target = np.minimum((code - low) // unit, np.uint64((1 << BITS) - 1)).astype(np.int32)
-            symbol = (mixed <= target[:, None]).sum(1) - 1
-            cum, freq = bounds(mixed, symbol)
-            model.update(symbol)
-            out[:, t] = out[:, t] * 16 + symbol
-            low, span = low + unit * cum, unit * freq
-            while True:
-                due, span = narrowed(low, span)
-                if not len(due):
-                    break
-                code[due] = ((code[due] & LOW32) << np.uint64(16)) | words[due, pos[due]]
-                pos[due] += 1
-                low[due] = (low[due] & LOW32) << np.uint64(16)
-                span[due] <<= np.uint64(16)
+    pos = model.lane * most + 4  # a damaged block may read on into the next one's words; its checksum tells
+    flat = words.ravel()
+    span = np.full(lanes, 2**64 - 1, np.uint64)
+    value = np.zeros(lanes, np.uint64)  # the code's distance from the lower end of the range
+    for k in range(4):
+        value = (value << WORD) | words[:, k]
+    out = np.empty((lanes, steps), np.uint16)
+    after = np.zeros((CHUNK + 2, lanes), np.int64)
+    for t in range(0, steps, CHUNK):
+        n = min(CHUNK, steps - t)
+        after[:2] = after[-2:]
+        found, hits = np.empty((7, n, lanes), np.int64), np.empty((2, n, lanes), bool)
+        for k in range(n):
+            *kept, a, b = model.predict(after[k + 1], after[k])
+            for j in range(7):
+                found[j, k] = kept[j]
+            c1, c2 = kept[5:]
+            unit = span >> np.uint64(TOTAL)
+            v = np.minimum(value // unit, np.uint64((1 << TOTAL) - 1)).view(np.int64)
+            ab, later = a + b, v >= a
+            rest = v >= ab
+            hits[0, k], hits[1, k] = ~later, later ^ rest
+            cum, freq, x = a * later, a + (b - a) * later, c2 + (c1 - c2) * later
+            rare = np.flatnonzero(rest)
+            ab = ab[rare]
+            v, rest = v[rare] - ab, ((1 << TOTAL) - ab) >> BIN_BITS
+            bins = model.bin_at(rare, v // rest)
+            begin, each = model.share(rare, bins, rest)
+            place = np.minimum((v - begin) // each, WIDTH[bins] - 1)
+            cum[rare], freq[rare], x[rare] = ab + begin + place * each, each, START[bins] + place
+            value -= unit * u64(cum)
+            span = unit * u64(freq)
+            due = np.flatnonzero(span < LEAST_RANGE)
+            while len(due):
+                p, wide = pos[due], span[due] << WORD
+                value[due] = (value[due] << WORD) | flat.take(p, mode="clip")
+                pos[due] = p + 1
+                span[due] = wide
+                due = due[wide < LEAST_RANGE]
+            after[k + 2] = x
+        x = after[2 : 2 + n]
+        out[:, t : t + n] = x.T
+        model.learn(x, tuple(found), hits[0], hits[1])
     return out
 
 
 def encode_segment(ids: np.ndarray) -> bytes:
     """Blocks of BLOCK ids, the last one shorter, with their lengths and checksums in front."""
     n = len(ids)
-    lanes = -(-n // BLOCK)
-    steps = min(BLOCK, n)
-    padded = np.zeros(lanes * steps, np.int64)
+    if n and int(ids.max()) >= 65536:
+        raise ValueError("ids must be below 65536")
+    lanes, steps = -(-n // BLOCK), min(BLOCK, n)
+    padded = np.zeros(lanes * steps, np.uint16)
     padded[:n] = ids
-    parts = encode_lanes(padded.reshape(lanes, steps)) if n else []
+    rows = padded.reshape(lanes, steps) if n else padded.reshape(0, 0)
+    parts = [p for k in range(0, lanes, LANES) for p in encode_lanes(rows[k : k + LANES])]
     heads = []
     for k, p in enumerate(parts):
         block = ids[k * steps : (k + 1) * steps]
         heads.append(struct.pack("<IIII", len(block), len(p), zlib.crc32(p), zlib.crc32(block.astype("<u4").tobytes())))
-    return MAGIC + struct.pack("<II", lanes, steps if n else 0) + b"".join(heads + parts)
+    return MAGIC + struct.pack("<II", lanes, steps) + b"".join(heads + parts)
 
 
 def decode_segment(data: bytes) -> np.ndarray:
@@ -182,100 +251,92 @@ def decode_segment(data: bytes) -> np.ndarray:
         at += size
         if zlib.crc32(payloads[-1]) != crc:
             raise ValueError("a block's payload is damaged")
-    if not lanes:
-        return np.zeros(0, "<u4")
-    rows = decode_lanes(payloads, steps)
-    blocks = [rows[k, : h[0]].astype("<u4") for k, h in enumerate(heads)]
-    if any(zlib.crc32(b.tobytes()) != h[3] for b, h in zip(blocks, heads, strict=True)):
-        raise ValueError("a block decodes to other ids")
-    return np.concatenate(blocks)
+    out = np.empty(sum(h[0] for h in heads), "<u4")
+    filled = 0
+    for k in range(0, lanes, LANES):
+        rows = decode_lanes(payloads[k : k + LANES], steps)
+        for row, (n, _, _, crc) in zip(rows, heads[k : k + LANES], strict=True):
+            out[filled : filled + n] = row[:n]
+            if zlib.crc32(out[filled : filled + n]) != crc:
+                raise ValueError("a block decodes to other ids")
+            filled += n
+    return out
 
 
-SEGMENT = "part int, segment int, first_doc long, n_tokens long, docs binary, counts binary, starts binary, data binary"
+SEGMENT = "part int, segment int, begin long, n_tokens long, docs array<bigint>, counts array<bigint>, data binary"
+NAMES = [x.split()[0] for x in SEGMENT.split(", ")]
+TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
 
 
 def write_ids(docs: DataFrame, path: str) -> None:
     """Encode (doc_id, text), append END_ID to each document and write segments in ascending doc_id order.
 
-    Null text is empty. Equal doc_ids follow each other in the order of their texts; a null doc_id comes first. A
-    document may span segments; ``counts`` has its ids in each. An empty table writes an empty file.
+    Null text is empty. Equal doc_ids follow each other in the order of their texts' hashes; a null doc_id comes
+    first, and is kept as null. Other columns are ignored. A document is never split, however long: a segment ends
+    with the document that reaches ``BLOCK * LANES`` ids. An empty table writes an empty file.
     """
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
-    ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id", "text").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
+    # The last key only parts rows that are equal in all others, so that many copies of one row don't meet in a task.
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("m"))
+    ordered = keyed.repartitionByRange(n, "doc_id", "h", "m").sortWithinPartitions("doc_id", "h", "m").select("doc_id", "text", F.spark_partition_id().alias("part"))
     limit = BLOCK * LANES
 
     def run(batches):
-        bpe, part, segment = encoder(), 0, 0
-        held, size = [], 0
-
-        def packed(ids, docs_, counts, starts):
-            cut = [pa.array([x], t) for x, t in zip((part, segment, docs_[0], len(ids), np.array(docs_, "<i8").tobytes(), np.array(counts, "<i8").tobytes(), np.array(starts, "<i8").tobytes(), encode_segment(ids)), TYPES, strict=True)]
-            return pa.RecordBatch.from_arrays(cut, names=[x.split()[0] for x in SEGMENT.split(", ")])
-
-        def full(final):
-            nonlocal held, size, segment
-            while size >= limit or (final and held):
-                ids, docs_, counts, starts, room = [], [], [], [], limit
-                while held and room:
-                    doc, start, x = held.pop(0)
-                    take = x[:room]
-                    ids.append(take)
-                    docs_.append(doc)
-                    counts.append(len(take))
-                    starts.append(start)
-                    room -= len(take)
-                    if len(take) < len(x):
-                        held.insert(0, (doc, start + len(take), x[len(take) :]))
-                size -= limit - room
-                yield packed(np.concatenate(ids).astype(np.int64), docs_, counts, starts)
-                segment += 1
+        pieces, part, segment, begin = library_pieces(), 0, 0, 0
+        held, docs_, counts, size = [], [], [], 0
+
+        def packed():
+            nonlocal held, docs_, counts, size, segment, begin
+            row = (part, segment, begin, size, docs_, counts, encode_segment(np.concatenate(held)))
+            segment, begin = segment + 1, begin + size
+            held, docs_, counts, size = [], [], [], 0
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, TYPES, strict=True)], names=NAMES)
 
         for batch in slices(batches):
             part = batch["part"][0].as_py() if batch.num_rows else part
-            for doc, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                ids = np.append(np.frombuffer(bpe.encode(t or ""), "<u4"), np.uint32(END_ID))
-                held.append((-(2**63) if doc is None else doc, 0, ids))
-                size += len(ids)
-            yield from full(False)
-        bpe.cache.forget()  # the worker may go on with another stage
-        yield from full(True)
+            ids, ends = pieces.encode([t or "" for t in batch["text"].to_pylist()], END_ID)
+            at = 0
+            for doc, end in zip(batch["doc_id"].to_pylist(), ends.tolist(), strict=True):
+                held.append(ids[at:end])
+                docs_.append(doc)
+                counts.append(end - at)
+                size, at = size + end - at, end
+                if size >= limit:
+                    yield packed()
+        pieces.reset()  # the worker may go on with another stage
+        if docs_:
+            yield packed()
 
     ordered.mapInArrow(run, SEGMENT).write.parquet(path)
 
 
-TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-
-
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) from the file; ``ids`` are little-endian unsigned 32-bit integers."""
-    segments = spark.read.parquet(path)
-    # One row per segment: starts are sums over the rows before it, without their data.
-    parts = segments.groupBy("part").agg(F.sum("n_tokens").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    at = segments.select("part", "segment", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)).alias("own")).join(parts.select("part", "before"), "part")
-    at = at.select("part", "segment", (F.col("own") + F.col("before")).alias("base"))
+    """(doc_id, start, n_tokens, ids) from the file; ``ids`` are little-endian unsigned 32-bit integers.
+
+    ``start`` counts the ids of all documents before. The driver gets one sum for each part of the file.
+    """
+    segments = spark.read.schema(SEGMENT).parquet(path)
+    sums = sorted(tuple(r) for r in segments.groupBy("part").agg(F.sum("n_tokens")).collect())
+    bases = list(zip((p for p, _ in sums), accumulate((n for _, n in sums), initial=0)))
+    parts = spark.createDataFrame(bases, "part int, base long")
+    rows = segments.join(F.broadcast(parts) if len(bases) <= MAX_PARTS_BROADCAST else parts, "part")
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                ids, at = decode_segment(row["data"]), 0
-                docs, counts, starts = (np.frombuffer(row[c], "<i8") for c in ("docs", "counts", "starts"))
-                raw = []
-                for n in counts.tolist():
-                    raw.append(ids[at : at + n].tobytes())
-                    at += n
-                begins = row["base"] + np.cumsum(counts) - counts
-                place = np.full(len(docs), row["part"], np.int64) * 2**32 + row["segment"]
-                yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(begins - starts), pa.array(starts), pa.array(place), pa.array(raw, pa.binary())], names=["doc_id", "start", "offset", "place", "ids"])
-
-    rows = segments.join(at, ["part", "segment"]).mapInArrow(run, "doc_id long, start long, offset long, place long, ids binary")
-    # Only documents that span segments have more than one row; (doc_id, start) tells repeated ids apart.
-    whole = rows.groupBy("doc_id", "start").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("offset", F.hex("ids").alias("ids")))), lambda x: x["ids"]), "").alias("ids"))
-    doc = F.when(F.col("doc_id") != -(2**63), F.col("doc_id"))
-    return whole.select(doc.alias("doc_id"), "start", (F.length("ids") / 8).cast("long").alias("n_tokens"), F.unhex("ids").alias("ids"))
+            for k in range(batch.num_rows):
+                row = {c: batch[c][k].as_py() for c in ("docs", "counts", "begin", "base", "data")}
+                ids = decode_segment(row["data"])
+                counts = np.array(row["counts"], np.int64)
+                ends = np.cumsum(counts)
+                raw = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.concatenate([[0], ends * 4]).astype(np.int64).tobytes()), pa.py_buffer(ids.tobytes())])
+                starts = row["base"] + row["begin"] + ends - counts
+                yield pa.RecordBatch.from_arrays([pa.array(row["docs"], pa.int64()), pa.array(starts), pa.array(counts), raw.cast(pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
+
+    return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op4_context_mixing_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     path = new_path(spark, "ids")
-    write_ids(table(spark, sf_dir, "documents"), path)
+    write_ids(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
     return read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

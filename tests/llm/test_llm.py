@@ -46,26 +46,59 @@ def test_bpe_equals_library(spark, docs, no_docs):
     assert bpe.round_trip(no_docs).count() == 0
 
 
-def test_mixing_round_trip(spark, docs, no_docs):
-    for n in (0, 1, 4096, 4097):
-        ids = np.random.default_rng(n).integers(0, 50257, n)
-        assert (mixing.decode_segment(mixing.encode_segment(ids)) == ids).all()
+def test_mixing_round_trip(spark, docs, no_docs, monkeypatch):
+    for n in (0, 1, 31, 4096, 4097):
+        for top in (2, 50257, 65536):
+            ids = np.random.default_rng(n).integers(0, top, n)
+            assert (mixing.decode_segment(mixing.encode_segment(ids)) == ids).all()
+    with pytest.raises(ValueError):
+        mixing.encode_segment(np.array([65536]))
     data = bytearray(mixing.encode_segment(np.arange(100)))
     data[-1] ^= 1
     with pytest.raises(ValueError):
         mixing.decode_segment(bytes(data))
+    monkeypatch.setattr(mixing, "LANES", 2)  # a long document takes several rounds of lanes
+    ids = np.tile(np.arange(3000), 9)
+    assert (mixing.decode_segment(mixing.encode_segment(ids)) == ids).all()
+    monkeypatch.undo()
     path = new_path(spark, "ids")
-    mixing.write_ids(docs.where("doc_id < 8"), path)
-    got, at = {r.doc_id: (r.start, bytes(r.ids)) for r in mixing.read_ids(spark, path).collect()}, 0
-    for i, t in [x for x in ODD if x[0] < 8]:
-        want = bpe.encoder().encode(t or "") + b"\2\0\0\0"
-        assert got[i] == (at, want)
-        at += len(want) // 4
+    odd = docs.union(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long"))).union(docs.limit(1).withColumn("doc_id", F.lit(-(2**63)).cast("long")))
+    mixing.write_ids(odd, path)
+    got, at = sorted((r.start, r.doc_id, r.n_tokens, bytes(r.ids)) for r in mixing.read_ids(spark, path).collect()), 0
+    for (start, doc, n, raw), want in zip(got, [None, -(2**63), *[i for i, _ in ODD]], strict=True):
+        assert (start, doc, n) == (at, want, len(raw) // 4)
+        texts = [ODD[0][1]] if want is None or want < 0 else [t or "" for i, t in ODD if i == want]
+        assert raw in [bpe.encoder().encode(t) + b"\2\0\0\0" for t in texts]
+        at += n
     path = new_path(spark, "ids")
     mixing.write_ids(no_docs, path)
     assert mixing.read_ids(spark, path).count() == 0
 
 
+def test_mixing_compresses():
+    ids = np.tile(np.random.default_rng(1).integers(0, 50257, 600), 14)
+    assert len(mixing.encode_segment(ids)) < 0.75 * len(ids) * 2
+
+
+def test_ids_of_all_documents_equal_the_library(spark):
+    """op4 and op7 as registered, over a whole table, against the library on whole texts."""
+    import public_tokenizers as public
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.01"
+    library = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    rows = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
+    found = library.encode_batch([t for _, t in rows], add_special_tokens=False)
+    at, ids4, ids7 = 0, [], []
+    for (i, _), e in zip(rows, found, strict=True):
+        raw = np.array([*e.ids, 2], "<u4").tobytes()
+        ids4.append((i, at, len(e.ids) + 1, zlib.crc32(raw)))
+        ids7.append((i, len(e.ids), hashlib.sha256(raw[:-4]).hexdigest(), hashlib.sha256(library.decode(e.ids, skip_special_tokens=False).encode()).hexdigest()))
+        at += len(e.ids) + 1
+    assert sorted(map(tuple, mixing.op4_context_mixing_ids(spark, sf).collect())) == ids4
+    assert sorted(map(tuple, bpe.op7_bpe_tree(spark, sf).collect())) == ids7
+
+
 def brute_hits(text, items):
     w, hit, found = decontaminate.words(text), set(), set()
     for item, t in items:
