@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fs_kind
+from pyspark.sql.window import Window
+
+from ..functions.text import fs_kind, retry_mode, retry_seconds
 
 
 def parse_mountinfo(lines: DataFrame) -> DataFrame:
@@ -23,13 +25,22 @@ def primary_mount(points: Column) -> Column:
     return F.coalesce(F.array_min(keyed)["point"], F.lit(""))
 
 
-def inventory(by_partuuid: DataFrame, by_uuid: DataFrame) -> DataFrame:
-    """One row for each device node of two link tables; a partuuid names the device where there is one."""
-    a = by_partuuid.select("dev_node", F.col("id").alias("partuuid"))
-    b = by_uuid.select("dev_node", F.col("id").alias("uuid"))
-    both = a.join(b, "dev_node", "full_outer")
-    name = F.when(F.col("partuuid").isNotNull(), F.concat(F.lit("partuuid:"), F.lower("partuuid"))).otherwise(F.concat(F.lit("uuid:"), F.lower("uuid")))
-    return both.select(name.alias("device_id"), "dev_node", F.coalesce(F.lower("partuuid"), F.lit("")).alias("partuuid"), F.coalesce(F.lower("uuid"), F.lit("")).alias("uuid"))
+def inventory(by_partuuid: DataFrame, by_uuid: DataFrame, probed: DataFrame | None = None) -> DataFrame:
+    """One row for each device node of two link tables (dev_node, id); a partuuid names the device where there is one.
+
+    Several links to one node count once, the first id in order. ``probed`` (dev_node, fs_type, uuid, label) is what
+    the device says of itself, and goes before the links' uuid.
+    """
+    one = lambda links, name: links.groupBy("dev_node").agg(F.min(F.lower("id")).alias(name))
+    both = one(by_partuuid, "partuuid").join(one(by_uuid, "uuid"), "dev_node", "full_outer")
+    name = F.when(F.col("partuuid").isNotNull(), F.concat(F.lit("partuuid:"), "partuuid")).otherwise(F.concat(F.lit("uuid:"), "uuid"))
+    both = both.withColumn("device_id", name)
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    if probed is None:
+        return both.select("device_id", "dev_node", text("partuuid").alias("partuuid"), text("uuid").alias("uuid"))
+    own = probed.select("dev_node", F.lower("fs_type").alias("fs_type"), F.nullif(F.lower("uuid"), F.lit("")).alias("own_uuid"), "label")
+    out = both.join(own, "dev_node", "left")
+    return out.select("device_id", "dev_node", text("partuuid").alias("partuuid"), F.coalesce("own_uuid", "uuid", F.lit("")).alias("uuid"), text("fs_type").alias("fs_type"), text("label").alias("label"))
 
 
 def with_mounts(devices: DataFrame, mounts: DataFrame) -> DataFrame:
@@ -67,3 +78,40 @@ def watch_plan(indexed: DataFrame, known: DataFrame) -> DataFrame:
     out = indexed.where("watch_enabled").join(known.select("device_id", "mounted", "primary_mount_point"), "device_id", "left")
     point = F.when(F.coalesce("mounted", F.lit(False)) & (F.coalesce("primary_mount_point", F.lit("")) != ""), F.col("primary_mount_point"))
     return out.select("device_id", point.alias("mount_point"), F.when(point.isNull(), "notMounted").otherwise("pending").alias("state"))
+
+
+def in_list_order(devices: DataFrame) -> DataFrame:
+    """``devices`` with ``pos``: by label, else file system, else id, in any case, ties by id. A list for one user's eyes."""
+    name = F.lower(F.coalesce(F.nullif("label", F.lit("")), F.nullif("fs_type", F.lit("")), "device_id"))
+    return devices.withColumn("pos", F.row_number().over(Window.orderBy(name, "device_id")) - 1)
+
+
+def stale_watches(armed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Watches that are armed but no longer wanted, by user and device."""
+    return armed.join(wanted, ["uid", "device_id"], "left_anti")
+
+
+def watch_list(indexed: DataFrame, watches: DataFrame, now_ms: int) -> DataFrame:
+    """Indexed devices with what their watch does: state, mode and error where they apply, and when it is tried again."""
+    out = indexed.join(watches, ["uid", "device_id"], "left")
+    state = F.coalesce("state", F.lit("pending"))
+    due, only = F.coalesce("next_retry_ms", F.lit(0).cast("long")), F.coalesce("only_on_remount", F.lit(False))
+    retry_in = retry_seconds(due, F.lit(now_ms).cast("long"))
+    return out.select(
+        "uid", "device_id", "entry_count", "watch_enabled", state.alias("watch_state"), F.when(state == "error", F.col("error")).otherwise("").alias("watch_error"), F.when(state == "watching", F.col("mode")).otherwise("").alias("watch_mode"),
+        F.coalesce("fail_count", F.lit(0)).alias("fail_count"), retry_in.alias("retry_in"), retry_mode(state, only, retry_in, due).alias("retry_mode"),
+    )
+
+
+def by_kind(files: DataFrame) -> DataFrame:
+    """(kind, n, names): files by the lower-cased ending of their names, folders and names without one apart."""
+    ending = F.lower(F.regexp_extract("name", r"[^.]\.([^.]+)$", 1))
+    kind = F.when(F.col("is_dir"), "folder").when(ending != "", ending).otherwise("none")
+    return files.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("name")).alias("names"))
+
+
+def outputs(entries: DataFrame) -> DataFrame:
+    """Names, paths and URLs of resolved entries for clipboard and drag; a URL only where the device is mounted."""
+    path = F.when(F.col("mounted"), F.col("display_path"))
+    spaced = F.regexp_replace(F.url_encode(path), r"\+", "%20")
+    return entries.where("name <> ''").select("pos", "name", "display_path", F.concat(F.lit("file://"), F.replace(spaced, F.lit("%2F"), F.lit("/"))).alias("url"))

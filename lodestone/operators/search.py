@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections import OrderedDict
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import contains_all, flags, fnv32, token_trigrams, tokens, trigrams
+from ..shared import written
 
 KEYS = {"name": [], "path": ["parent_idx"], "size": ["size"], "mtime": ["mtime"]}
 
@@ -46,34 +50,60 @@ def search_rows(hits: DataFrame, *more: str) -> DataFrame:
     )
 
 
-def page(hits: DataFrame, sort: str = "name", direction: str = "asc", offset: int = 0, limit: int = 256, compat: bool = False) -> DataFrame:
+def page(hits: DataFrame, sort: str = "name", direction: str = "asc", offset: int = 0, limit: int = 256, compat: bool = False, more: tuple[str, ...] = ()) -> DataFrame:
     """Rows ``offset`` to ``offset + limit`` of the order with ``pos``, a top-k plan; limit 0 gives no rows.
 
-    With ``compat`` a descending order over several devices lists whole devices, those with smaller largest keys
-    first, as engines do whose merge ignores the direction.
+    The plan keeps ``offset + limit`` rows, so far pages of whole catalogues go by stored ranks (``store``). With
+    ``compat`` a descending order over several devices lists whole devices, those with smaller largest keys first, as
+    engines do whose merge ignores the direction. ``more`` names further columns to return.
     """
     columns, descending = order_columns(sort), (direction or "").lower() == "desc"
     if compat and descending:
         lead = [c for c in columns if c not in ("device_id", "record_idx")]
-        top = F.max(F.struct(*lead)).over(Window.partitionBy("device_id"))
-        hits = hits.withColumn("_top", top)
+        top = hits.groupBy("device_id").agg(F.max(F.struct(*lead)).alias("_top"))  # a row for each device
+        hits = hits.join(top, "device_id")
         order = [F.col("_top").asc(), F.col("device_id").asc(), *ordering(order_columns(sort, False), True)]
     else:
         order = ordering(columns, descending)
     # The limit comes first, so only a page is numbered in one task.
     near = hits.orderBy(*order).limit(offset + limit)
     pos = F.row_number().over(Window.orderBy(*order)) - 1
-    return search_rows(near.withColumn("pos", pos).where(F.col("pos") >= offset), "pos")
+    return search_rows(near.withColumn("pos", pos).where(F.col("pos") >= offset), "pos", *more)
+
 
+def positioned(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """A written table with ``name``, each row's place in the whole order from 0, in that order.
 
-def ranked(records: DataFrame) -> DataFrame:
-    """Adds ``rank_name|path|size|mtime``: positions within each device, from 0."""
-    for key in KEYS:
-        window = Window.partitionBy("uid", "device_id").orderBy(*ordering(order_columns(key, False), False))
-        records = records.withColumn(f"rank_{key}", F.row_number().over(window).cast("long") - 1)
+    Rows are dealt by ranges of the order and sorted there; the driver adds up one count for each partition, so no
+    task ever holds a device.
+    """
+    kept = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    kept = written(kept, "order")
+    part = F.shiftright("_at", 33)
+    counts = sorted(tuple(r) for r in kept.groupBy(part.alias("p")).count().collect())
+    starts = list(zip((p for p, _ in counts), accumulate((n for _, n in counts), initial=0)))
+    firsts = rows.sparkSession.createDataFrame(starts, "_p long, _first long")  # one row for each partition
+    kept = kept.withColumn("_p", part.cast("long")).join(F.broadcast(firsts), "_p")
+    return kept.withColumn(name, F.col("_first") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_p", "_first")
+
+
+def ranked(records: DataFrame, keys: tuple[str, ...] = tuple(KEYS)) -> DataFrame:
+    """Adds ``rank_<key>`` for each of ``keys``: positions within each device of each user, from 0."""
+    for key in keys:
+        own = ["uid", "device_id"]
+        placed = positioned(records, ordering([*own, *order_columns(key, False)], False), "_pos")
+        first = placed.groupBy(*own).agg(F.min("_pos").alias("_low"))  # a row for each device
+        records = placed.join(first, own).withColumn(f"rank_{key}", F.col("_pos") - F.col("_low")).drop("_pos", "_low")
     return records
 
 
+def ranked_over_devices(records: DataFrame, key: str) -> DataFrame:
+    """Adds ``global_rank``: positions within all records of each user, from 0, ties by device and record."""
+    placed = positioned(records, ordering(["uid", *order_columns(key)], False), "_pos")
+    first = placed.groupBy("uid").agg(F.min("_pos").alias("_low"))
+    return placed.join(first, "uid").withColumn("global_rank", F.col("_pos") - F.col("_low")).drop("_pos", "_low")
+
+
 def page_by_rank(ranks: DataFrame, hits: DataFrame, sort: str, offset: int, limit: int) -> DataFrame:
     """A page merged by each hit's rank among all records of its device, ties by device and record."""
     rank = F.col(f"rank_{sort_key(sort)}")
@@ -102,3 +132,43 @@ def candidates(posted: DataFrame, records: DataFrame, query: str) -> DataFrame:
 def indexed_search(posted: DataFrame, records: DataFrame, query: str, uid: int) -> DataFrame:
     """Candidates first, then the exact filter; equal to :func:`matching`."""
     return matching(candidates(posted, records, query), query, uid) if tokens(query) else matching(records, query, uid)
+
+
+class Pages:
+    """Rows of one result list by position, in pages of ``SIZE`` that are fetched once and kept, the latest ``KEPT``.
+
+    ``fetch(offset, limit)`` gives a frame with ``pos``. A page brings its neighbours with it. ``reset`` begins a new
+    list; what an old one still fetches is dropped.
+    """
+
+    SIZE, KEPT = 256, 64
+
+    def __init__(self, fetch, total: int):
+        self.serial = 0
+        self.reset(fetch, total)
+
+    def reset(self, fetch, total: int) -> None:
+        self.fetch, self.total, self.serial = fetch, total, self.serial + 1
+        self.held: OrderedDict[int, list[Row]] = OrderedDict()
+
+    def page(self, k: int, neighbours: bool = True) -> list[Row]:
+        wanted = [x for x in ((k - 1, k, k + 1) if neighbours else (k,)) if 0 <= x * self.SIZE < self.total and x not in self.held]
+        if wanted:
+            serial, first, last = self.serial, min(wanted), max(wanted)
+            rows = sorted(self.fetch(first * self.SIZE, (last + 1 - first) * self.SIZE).collect(), key=lambda r: r["pos"])  # at most three pages
+            if serial == self.serial:
+                for x in range(first, last + 1):
+                    self.held[x] = rows[(x - first) * self.SIZE : (x + 1 - first) * self.SIZE]
+        if k in self.held:
+            self.held.move_to_end(k)
+        while len(self.held) > self.KEPT:
+            self.held.popitem(last=False)
+        return self.held.get(k, [])
+
+    def row(self, pos: int) -> Row | None:
+        rows = self.page(pos // self.SIZE)
+        return rows[pos % self.SIZE] if pos % self.SIZE < len(rows) else None
+
+    def __iter__(self):
+        for k in range(-(-self.total // self.SIZE)):
+            yield from self.page(k, False)

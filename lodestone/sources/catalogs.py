@@ -43,7 +43,12 @@ def tree(spark: SparkSession, d: str, files: bool = False) -> DataFrame:
     return out
 
 
-def first_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Accented names, one device for each language."""
+def texts(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts as accented names, one device for each language."""
     t = spark.read.parquet(f"{d}/documents.parquet")
-    return records(t, F.col("lang"), F.col("doc_id"), F.lit(None), F.substring("text", 1, 80), F.col("n_chars"), F.col("doc_id"), F.lit(False))
+    return records(t, F.col("lang"), F.col("doc_id"), F.lit(None), F.col("text"), F.col("n_chars"), F.col("doc_id"), F.lit(False))
+
+
+def two_users(records: DataFrame, second: int = 1001) -> DataFrame:
+    """``records``, and the same for a second user."""
+    return records.unionByName(records.withColumn("uid", F.lit(second).cast("long")))

@@ -28,7 +28,7 @@ def plain(v):
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for t in "region nation customer supplier part orders lineitem events documents".split():
+    for t in "region nation customer supplier part orders lineitem events documents pages".split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     out = registry.QUERIES[name](spark, SF)
     cursor = con.execute(registry.ORACLES[name])
