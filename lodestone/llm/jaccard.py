@@ -34,12 +34,13 @@ P, Q = 75, 100
 SHORT_RUN = 16
 AHEAD = 8  # one bucket in so many gives stars and chains
 SLICE = 500_000
-BLOCK_DOCS = 400
+BLOCK_DOCS, BLOCK_PAIRS = 400, 1000
 LARGE_CLASS = 100
 SALTS = 64
 FILTER_BITS = 1 << 24
 RARITY_SLOTS = 1 << 20  # hashed counts of elements; only an order, so collisions cost time and not exactness
 RARITY_PARTS = 64
+SIG_BYTES, RARE_BYTES, ELEMENT_BITS = 4, 4, 48
 DELETIONS_TO = 5  # bands of sets below 2**(DELETIONS_TO + 1) elements index one-deletion neighbourhoods
 K1, K2, K3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -175,11 +176,12 @@ def bundled(docs: DataFrame, buckets: int) -> DataFrame:
         def packed():
             sig, doc, info = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            bucket = (sig >> np.uint64(40)) % np.uint64(buckets)
+            # The bucket and SIG_BYTES more stand for a signature; two that fall together give candidates, not links.
+            bucket = (sig >> np.uint64(8 * SIG_BYTES)) % np.uint64(buckets)
             order = np.argsort((bucket << np.uint64(32)) + np.arange(len(bucket), dtype=np.uint64))  # a document's rows stay together
             sig, doc, info, bucket = sig[order], doc[order], info[order], bucket[order].astype(np.int64)
             edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
-            parts = [(int(bucket[a]), b - a, planes(sig[a:b], 5), planes(doc[a:b].view(np.uint64), 8), planes(info[a:b], 5)) for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a]
+            parts = [(int(bucket[a]), b - a, planes(sig[a:b], SIG_BYTES), planes(doc[a:b].view(np.uint64), 8), planes(info[a:b], 5)) for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*parts, strict=True), TYPES, strict=True)], names=NAMES)
 
         for batch in slices(batches, limit=SLICE):
@@ -237,7 +239,7 @@ def candidates(bundles: DataFrame, short_run: int = SHORT_RUN) -> DataFrame:
     """(kind, a, b, c): kind 0 document, size, set's first; kind 1 a pair; kind 2 a document of a long run; kind 3 slot and its count of elements."""
 
     def match(parts, ahead, crowd):
-        sig = np.concatenate([unplanes(p[1], p[0], 5) for p in parts])
+        sig = np.concatenate([unplanes(p[1], p[0], SIG_BYTES) for p in parts])
         doc = np.concatenate([unplanes(p[2], p[0], 8) for p in parts]).view(np.int64)
         info = np.concatenate([unplanes(p[3], p[0], 5) for p in parts])
         order = np.argsort(sig)
@@ -332,8 +334,8 @@ def of_nodes(docs: DataFrame, nodes: DataFrame, encode, ddl: str) -> DataFrame:
 
 
 def sketch(values: np.ndarray) -> bytes:
-    """Parity of the elements that fall on each of about two to four bits per element."""
-    n = max(64, 1 << (2 * len(values) - 1).bit_length()) if len(values) else 64
+    """Parity of the elements that fall on each of one to two bits per element."""
+    n = max(64, 1 << (len(values) - 1).bit_length()) if len(values) else 64
     at = (mix(values ^ K2) & np.uint64(n - 1)).astype(np.int64)
     return np.packbits(np.bincount(at, minlength=n).astype(np.uint8) & 1, bitorder="little").tobytes()
 
@@ -362,7 +364,7 @@ def asked(size):
 
 
 def sketches_for(docs: DataFrame, nodes: DataFrame, crowd: DataFrame, counts: DataFrame) -> DataFrame:
-    """(node, size, sketch, rare): rare holds five bytes of each of the rarest elements of a set of a long run, else null."""
+    """(node, size, sketch, rare): rare holds RARE_BYTES of the hash of each of the rarest elements of a set of a long run, else null."""
     context = docs.sparkSession.sparkContext
     often, bits = context.broadcast(rarity(counts)), context.broadcast(wanted_bits(crowd))
 
@@ -375,7 +377,7 @@ def sketches_for(docs: DataFrame, nodes: DataFrame, crowd: DataFrame, counts: Da
             v = values[a:b]
             sketches.append(sketch(v))
             first = np.argsort(rank[a:b], kind="stable")[: asking(b - a)] if c and b > a else None
-            rare.append(None if first is None else planes(mix(v[first] ^ K1), 5))
+            rare.append(None if first is None else planes(mix(v[first] ^ K1), RARE_BYTES))
         return pa.RecordBatch.from_arrays([ids, pa.array(np.diff(offsets)), pa.array(sketches, pa.binary()), pa.array(rare, pa.binary())], names=["node", "size", "sketch", "rare"])
 
     return written(of_nodes(docs, nodes, encode, "node long, size long, sketch binary, rare binary"), "sketches")
@@ -392,23 +394,23 @@ def rare_groups(sketches: DataFrame, found: DataFrame, buckets: int, short_run:
         for batch in slices(batches, "rare", 4 * SLICE):
             nodes, sizes, labels = (batch[c].to_numpy() for c in ("node", "size", "component"))
             raw = batch["rare"].to_pylist()
-            counts = np.array([len(r) // 5 for r in raw], np.int64)
+            counts = np.array([len(r) // RARE_BYTES for r in raw], np.int64)
             if not counts.sum():
                 continue
-            element = np.concatenate([unplanes(r, n, 5) for r, n in zip(raw, counts.tolist(), strict=True)])
+            element = np.concatenate([unplanes(r, n, RARE_BYTES) for r, n in zip(raw, counts.tolist(), strict=True)])
             owner = np.repeat(np.arange(len(raw)), counts)
             place = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
             flag = (place < asked(sizes[owner])).astype(np.int64)
-            bucket = (element % np.uint64(buckets)).astype(np.int64)
+            bucket = (mix(element) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort((bucket << 32) + np.arange(len(bucket)))
             element, owner, flag, bucket = element[order], owner[order], flag[order], bucket[order]
             edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
             u = lambda x: x.view(np.uint64)
-            parts = [(int(bucket[a]), b - a, planes(element[a:b], 5), planes(u(nodes[owner[a:b]]), 8) + planes(u(labels[owner[a:b]]), 8), planes(u(sizes[owner[a:b]] * 2 + flag[a:b]), 5)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            parts = [(int(bucket[a]), b - a, planes(element[a:b], RARE_BYTES), planes(u(nodes[owner[a:b]]), 8) + planes(u(labels[owner[a:b]]), 8), planes(u(sizes[owner[a:b]] * 2 + flag[a:b]), 5)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*parts, strict=True), TYPES, strict=True)], names=NAMES)
 
     def match(parts):
-        element = np.concatenate([unplanes(p[1], p[0], 5) for p in parts])
+        element = np.concatenate([unplanes(p[1], p[0], RARE_BYTES) for p in parts])
         doc, label = (np.concatenate([unplanes(p[2][k * 8 * p[0] : (k + 1) * 8 * p[0]], p[0], 8) for p in parts]).view(np.int64) for k in range(2))
         info = np.concatenate([unplanes(p[3], p[0], 5) for p in parts]).view(np.int64)
         order = np.argsort(element)
@@ -454,9 +456,20 @@ def rare_groups(sketches: DataFrame, found: DataFrame, buckets: int, short_run:
     return written(sets.mapInArrow(pack, BUNDLE).repartition(spread, "bucket").sortWithinPartitions("bucket").mapInArrow(match_all, "kind int, a long, b long, c long"), "groups")
 
 
+def packed_set(values: np.ndarray) -> bytes:
+    """ELEMENT_BITS of each of the sorted elements, as steps from one to the next, byte by byte."""
+    top = values >> np.uint64(64 - ELEMENT_BITS)
+    return planes(np.diff(top, prepend=np.uint64(0)), ELEMENT_BITS // 8)
+
+
+def unpacked_set(data: bytes) -> np.ndarray:
+    n = ELEMENT_BITS // 8
+    return np.cumsum(unplanes(data, len(data) // n, n), dtype=np.uint64)
+
+
 def sets_for(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     def encode(ids, values, offsets, _):
-        raw = [values[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        raw = [packed_set(values[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         return pa.RecordBatch.from_arrays([ids, pa.array(raw, pa.binary())], names=["node", "elements"])
 
     return of_nodes(docs, nodes, encode, "node long, elements binary")
@@ -482,7 +495,7 @@ def near_pairs(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 CELL = "cell long, kind int, a long, b long, label long, elements binary"
 
 
-def in_cells(cells: DataFrame, check) -> DataFrame:
+def in_cells(cells: DataFrame, check, unpacked) -> DataFrame:
     """(a, b) from ``check(members, pairs)`` over the rows of each cell; a cell's rows are bounded by its making."""
 
     def run(batches):
@@ -496,7 +509,7 @@ def in_cells(cells: DataFrame, check) -> DataFrame:
                 if elements is None:
                     pairs.append((a, b))
                 else:
-                    members[kind, a] = (np.frombuffer(elements, np.uint64), label, b)
+                    members[kind, a] = (unpacked(elements), label, b)
         if members:
             yield from check(members, pairs)
 
@@ -550,15 +563,18 @@ def verified_pairs(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The linked ones of a written table of pairs. Those of one neighbourhood meet in a cell; large ones are split by hash."""
     sets = sets_for(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")))
     ends = pairs.select("a", "b").union(pairs.select("b", "a")).toDF("a", "b")
-    home = ends.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("home"))
-    at = pairs.join(home, "a")
-    width = at.groupBy("home").agg(F.ceil(F.approx_count_distinct("b") / BLOCK_DOCS).alias("width"))
+    # Grouped tables are written before they are joined, so that a join's hot keys can be split at run time.
+    home = written(ends.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("home")), "homes")
+    at = written(pairs.join(home, "a"), "pairs")
+    wide = F.greatest(F.ceil(F.approx_count_distinct("b") / BLOCK_DOCS), F.ceil(F.sqrt(F.count(F.lit(1)) / BLOCK_PAIRS)))
+    width = at.groupBy("home").agg(wide.alias("width")).where("width > 1")
+    at = at.join(written(width, "widths"), "home", "left").withColumn("width", F.coalesce("width", F.lit(1)))  # large homes only, so few rows
     place = lambda c: F.pmod(F.xxhash64(c), F.col("width"))
-    at = written(at.join(width, "home").select(F.xxhash64("home", place("a"), place("b")).alias("cell"), "a", "b"), "pairs")
+    at = written(at.select(F.xxhash64("home", place("a"), place("b")).alias("cell"), "a", "b"), "pairs")
     needed = at.select("cell", F.col("a").alias("node")).union(at.select("cell", "b")).distinct()
     empty = F.lit(None).cast("binary").alias("elements")
     rows = needed.join(sets, "node").select("cell", F.lit(0).alias("kind"), F.col("node").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("label"), "elements")
-    return in_cells(rows.union(at.select("cell", F.lit(1), "a", "b", F.lit(0).cast("long"), empty)), check_pairs)
+    return in_cells(rows.union(at.select("cell", F.lit(1), "a", "b", F.lit(0).cast("long"), empty)), check_pairs, unpacked_set)
 
 
 def open_pairs(runs: DataFrame, found: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -589,7 +605,7 @@ def open_pairs(runs: DataFrame, found: DataFrame, sketches: DataFrame) -> DataFr
     sides = docs.where("probe = 1").select("node", "component", F.col("probes").alias("p")).join(cells, "p").select("cell", F.lit(0).alias("kind"), "node", "component")
     sides = sides.union(docs.select("node", "component", F.col("block").alias("q")).join(cells, "q").select("cell", F.lit(1), "node", "component"))
     rows = sides.join(sketches, "node").select("cell", "kind", F.col("node").alias("a"), F.col("size").alias("b"), F.col("component").alias("label"), F.col("sketch").alias("elements"))
-    return written(in_cells(rows, check_blocks).distinct(), "pairs")
+    return written(in_cells(rows, check_blocks, lambda x: np.frombuffer(x, np.uint64)).distinct(), "pairs")
 
 
 def similarity_classes(docs: DataFrame, short_run: int = SHORT_RUN) -> DataFrame:
@@ -598,7 +614,7 @@ def similarity_classes(docs: DataFrame, short_run: int = SHORT_RUN) -> DataFrame
     Words are runs of non-white ASCII-lowered characters; a set holds the distinct 5-word shingles, or the whole
     sequence where there are fewer words. Null, empty and wordless texts have size 0 and stand alone. Linked texts and
     whatever links reach share the smallest doc_id. A repeated doc_id gives a row each time. A null doc_id is left
-    out of the join and returned as its own class with a null component. An empty table gives no rows.
+    out of the join and returned with its set's size as its own class, a null component. An empty table gives no rows.
     """
     known = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
     spread = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 16)
@@ -621,8 +637,17 @@ def similarity_classes(docs: DataFrame, short_run: int = SHORT_RUN) -> DataFrame
     # Copies in one task share a node that need not be their class's smallest document.
     low = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = named.join(low, "component").select("doc_id", "n_shingles", "component_id")
-    none = docs.where("doc_id IS NULL").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
-    return out.union(none)
+    return out.union(sizes_without_id(docs.where("doc_id IS NULL").select("doc_id", "text")))
+
+
+def sizes_without_id(docs: DataFrame) -> DataFrame:
+    def run(batches):
+        cache = WordHashes()
+        for batch in slices(batches, limit=SLICE):
+            none = pa.nulls(batch.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([none, pa.array(np.diff(sets_of(_words(batch), cache)[1])), none], names=["doc_id", "n_shingles", "component_id"])
+
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, component_id long")
 
 
 def op6_jaccard_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
