@@ -2,7 +2,9 @@
 
 A tree builder with implied end tags drives a renderer by the elements it opens and closes. Blocks keep their
 spacing, list items their markers and indent, table cells their columns, preformatted text its white space. Hidden
-elements emit nothing. Both work on explicit stacks, so nesting depth is bounded by memory only.
+elements emit nothing. Both work on explicit stacks, and time and output grow with the page and not with its square:
+the places of open elements are kept by name, indents end at ``MAX_INDENT`` levels, and a cell wider than ``ALIGN_TO``
+columns doesn't widen its column. Spans are bounded as HTML bounds them, to 1,000 columns (of a row altogether) and 65,534 rows.
 """
 
 from __future__ import annotations
@@ -10,6 +12,8 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_right
+from collections import defaultdict, deque
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,9 +22,10 @@ from pyspark.sql import functions as F
 from .bpe import slices
 from .common import bounded_batches, extended, table
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
-ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
-UNQUOTED = re.compile(r"=\s*[^\s\"'>]+\Z")
+TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)")
+#: An attribute and what goes before it: a name, or a sign that stands for one, and a value of three kinds.
+ATTRIBUTE = re.compile(r"[\s/]*+(?:(>)|(=?[^\s=/>]*+)(?:\s*+=\s*+(?:\"([^\"]*+)(\")?|'([^']*+)(')?|([^\s>]*+)))?)")
+MAX_COLUMNS, MAX_ROWS, MAX_INDENT, ALIGN_TO = 1000, 65534, 40, 120
 #: Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -38,10 +43,12 @@ IMPLIED = {
     "thead": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "body": ({"head"}, set()),
 }
 SCOPE = frozenset("table td th caption html button object".split())
+ROW_SCOPE = frozenset({"table"})
 HIDDEN_STYLE = re.compile(r"display\s*:\s*none", re.I)
 VISIBILITY = re.compile(r"visibility\s*:\s*(visible|initial|hidden|collapse)", re.I)
 ROW_GROUPS = ("tbody", "thead", "tfoot")
 ROW_PARTS = ("tr", *ROW_GROUPS)
+INDENTED = ("li", "dd", "blockquote")
 
 
 class Box:
@@ -49,7 +56,7 @@ class Box:
 
     def __init__(self, tag: str, attributes: dict):
         self.tag, self.attributes = tag, attributes
-        self.lines: list[str] = []
+        self.lines: deque[str] = deque()
         self.inline: list[str] = []
         self.gap = 0
         self.space = False
@@ -91,13 +98,17 @@ class Box:
         self.inline, self.space = [], False
         self.gap = max(self.gap, gap)
 
-    def add(self, lines: list[str], gap: int) -> None:
+    def add(self, lines: deque[str], gap: int) -> None:
         if lines:
             self.block(gap)
             self._flush_gap()
-            self.lines += lines
+            if len(self.lines) < len(lines):  # the fewer move to the more, so that deep pages don't copy theirs at each level
+                lines.extendleft(reversed(self.lines))
+                self.lines = lines
+            else:
+                self.lines += lines
 
-    def done(self) -> list[str]:
+    def done(self) -> deque[str]:
         self.block()
         while self.lines and not self.lines[-1]:
             self.lines.pop()
@@ -108,57 +119,67 @@ def width(s: str) -> int:
     return len(s) if s.isascii() else sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in s)
 
 
-def aligned(rows: list[list[list[str]]]) -> list[str]:
+def aligned(rows: list[list]) -> deque[str]:
     """Rows of cells (lines each) with columns padded to their widest cell and set apart by `` | ``."""
+    out: deque[str] = deque()
     if not rows:
-        return []
-    n = max(map(len, rows))
-    widest = [max((width(x) for r in rows if k < len(r) for x in r[k]), default=0) for k in range(n)]
-    out = []
+        return out
+    widest = [0] * max(map(len, rows))
     for r in rows:
+        for k, c in enumerate(r):
+            for x in c:
+                w = width(x)
+                if widest[k] < w <= ALIGN_TO:
+                    widest[k] = w
+    for r in rows:
+        r = [list(c) for c in r]
         for j in range(max((len(c) for c in r), default=0)):
             cells = [c[j] if j < len(c) else "" for c in r]
             out.append(" | ".join(c + " " * (widest[k] - width(c)) for k, c in enumerate(cells)).rstrip())
     return out
 
 
+def span(text: str, most: int) -> int:
+    """A span of cells; 1 for what is no number."""
+    text = text.strip()
+    return min(int(text[:9]) if len(text) < 10 else most, most) if text.isdecimal() else 1
+
+
 class Renderer:
     def __init__(self):
         self.open: list[tuple[str, dict]] = []
+        self.places: defaultdict[str, list[int]] = defaultdict(list)  # of open elements, by name
         self.boxes = [Box("", {})]
         self.hidden = 0  # open elements from the outermost hidden one on
         self.seen = [True]  # the visibility of the open elements, which those inside may set anew
         self.foreign = 0  # open svg and math elements
         self.pre = 0
+        self.indents = 0
+
+    def last(self, names) -> int:
+        """Where the innermost open element of these names is; -1 if none is."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
 
     def start(self, tag: str, attributes: dict) -> None:
         if tag in IMPLIED:
             closed, bound = IMPLIED[tag]
-            last = None
-            for k in range(len(self.open) - 1, -1, -1):
-                name = self.open[k][0]
-                if name in bound:
-                    break
-                if name in closed:
-                    last = k
-            if last is not None:
-                self.close_to(last)
-        if tag in ("html", "body") and any(n == tag for n, _ in self.open[:3]):
+            outside = self.last(bound)
+            inner = (p[k] for n in closed if (p := self.places.get(n)) and (k := bisect_right(p, outside)) < len(p))
+            first = min(inner, default=None)
+            if first is not None:
+                self.close_to(first)
+        if tag in ("html", "body") and self.places.get(tag):
             return
         if tag not in INVISIBLE and tag not in ("html", "body", "base") and self.open and self.open[-1][0] == "head":
             self.close_to(len(self.open) - 1)  # content ends an unclosed head
-        if tag in CLOSES_P:
-            for k in range(len(self.open) - 1, -1, -1):
-                if self.open[k][0] in SCOPE:
-                    break
-                if self.open[k][0] == "p":
-                    self.close_to(k)
-                    break
-        if tag in ("td", "th") and not any(n == "tr" for n, _ in self.open[-4:]):
+        if tag in CLOSES_P and (at := self.last(("p",))) > self.last(SCOPE):
+            self.close_to(at)
+        if tag in ("td", "th") and self.last(("tr",)) <= self.last(ROW_SCOPE):
             self.start("tr", {})
         if tag in VOID:
             self.void(tag, attributes)
             return
+        self.places[tag].append(len(self.open))
         self.open.append((tag, attributes))
         self.seen.append(self.visible(attributes))
         self.foreign += tag in ("svg", "math")
@@ -183,6 +204,7 @@ class Renderer:
                 new.rows = []
                 new.below = {}  # columns that cells with a rowspan take, and in how many rows yet
             self.boxes.append(new)
+            self.indents += tag in INDENTED
         if tag in ("pre", "textarea", "xmp"):
             self.pre += 1
 
@@ -211,7 +233,7 @@ class Renderer:
         elif not self.visible(attributes):
             return
         elif tag == "hr":
-            box.add(["---"], 1)
+            box.add(deque(["---"]), 1)
             box.block(1)
         elif tag == "img" and attributes.get("alt"):
             box.text(attributes["alt"], False)
@@ -222,20 +244,19 @@ class Renderer:
         if tag == "br":
             self.void("br", {})
             return
-        bound = SCOPE if tag not in SCOPE and tag not in ("tr", "tbody", "thead", "tfoot", "body") else frozenset({"table"} if tag != "table" and tag not in ("html", "body") else ())
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                self.close_to(k)
-                return
-            if self.open[k][0] in bound:
-                break
-        if tag == "p":  # a lone end tag is an empty paragraph
+        bound = SCOPE if tag not in SCOPE and tag not in ("tr", "tbody", "thead", "tfoot", "body") else ROW_SCOPE if tag != "table" and tag not in ("html", "body") else frozenset()
+        at = self.last((tag,))
+        if at >= 0 and at >= self.last(bound):
+            self.close_to(at)
+        elif tag == "p":  # a lone end tag is an empty paragraph
             self.start("p", {})
             self.end("p")
 
     def close_to(self, k: int) -> None:
         while len(self.open) > k:
-            self.close(*self.open.pop())
+            tag, attributes = self.open.pop()
+            self.places[tag].pop()
+            self.close(tag, attributes)
             self.seen.pop()
 
     def close(self, tag: str, attributes: dict) -> None:
@@ -253,18 +274,18 @@ class Renderer:
             box.below.clear()
         if box.tag == tag and box.attributes is attributes:
             self.boxes.pop()
+            self.indents -= tag in INDENTED
             outer, lines = self.boxes[-1], box.done()
             if tag in ("td", "th"):
                 if hasattr(outer, "rows"):
                     above = self.boxes[-2].below if self.boxes[-2].tag == "table" else {}
-                    while len(outer.rows) in above:
-                        outer.rows.append([])
-                    span, rows = attributes.get("colspan", ""), attributes.get("rowspan", "")
+                    while len(outer.rows) < MAX_COLUMNS and len(outer.rows) in above:
+                        outer.rows.append(())
                     first = len(outer.rows)
-                    outer.rows += [lines] + [[]] * (min(int(span), 1000) - 1 if re.fullmatch(r"\d{1,4}", span) and int(span) > 1 else 0)
-                    if re.fullmatch(r"\d{1,5}", rows) and int(rows) != 1:
-                        # 0 stands for all rows that the group still has
-                        outer.below.update(dict.fromkeys(range(first, len(outer.rows)), min(int(rows) or 65535, 65535) - 1))
+                    outer.rows += [lines] + [()] * min(span(attributes.get("colspan", ""), MAX_COLUMNS) - 1, MAX_COLUMNS - first - 1)
+                    rows = span(attributes.get("rowspan", ""), MAX_ROWS)
+                    if rows != 1:  # 0 stands for all rows that the group still has
+                        outer.below.update(dict.fromkeys(range(first, len(outer.rows)), (rows or MAX_ROWS) - 1))
                     return
             elif tag == "tr":
                 if hasattr(outer, "rows"):
@@ -282,9 +303,13 @@ class Renderer:
                     outer.count += 1
                 else:
                     mark = "- "
-                lines = [(mark if j == 0 else " " * len(mark)) + x if x or j == 0 else x for j, x in enumerate(lines)]
-            elif tag in ("dd", "blockquote"):
-                lines = [("    " if tag == "dd" else "> ") + x for x in lines]
+                deep = self.indents >= MAX_INDENT
+                if deep and lines:
+                    lines[0] = mark + lines[0]
+                elif not deep:
+                    lines = deque((mark if j == 0 else " " * len(mark)) + x if x or j == 0 else x for j, x in enumerate(lines))
+            elif tag in ("dd", "blockquote") and self.indents < MAX_INDENT:
+                lines = deque(("    " if tag == "dd" else "> ") + x for x in lines)
             nested = tag in ("ul", "ol", "menu") and outer.tag == "li"
             gap = 1 if tag in SPACED and not nested else 0
             outer.add(lines, gap)
@@ -307,35 +332,70 @@ class Renderer:
         box.text(data, self.pre > 0)
 
 
+def tag_end(source: str, at: int) -> tuple[dict, bool, int]:
+    """(attributes, whether the tag closes itself, where it ends) from behind a tag's name; -1 where it never ends."""
+    found: dict[str, str] = {}
+    if source.startswith(">", at):
+        return found, False, at + 1
+    while at < len(source):
+        m = ATTRIBUTE.match(source, at)
+        if m[1]:
+            return found, source[m.end() - 2] == "/" and not (m.end() - 1 == at), m.end()
+        if m[3] is not None and m[4] is None or m[5] is not None and m[6] is None:
+            break  # a quote that never closes
+        if m.end() == at:
+            break
+        if m[2]:
+            value = m[3] if m[3] is not None else m[5] if m[5] is not None else m[7] or ""
+            found.setdefault(m[2].lower(), html.unescape(value))
+        at = m.end()
+    return found, False, -1
+
+
 def render(source: str) -> str:
     """The visible text of one page."""
-    r, at, n = Renderer(), 0, len(source)
+    r, at, n, done = Renderer(), 0, len(source), 0  # text up to ``done`` is rendered
     while at < n:
-        m = TOKEN.search(source, at) if source.find("<", at) >= 0 else None
-        upto = m.start() if m else n
-        if upto > at:
-            r.text(html.unescape(source[at:upto]))
-        if not m:
+        at = source.find("<", at)
+        if at < 0:
             break
-        at = m.end()
-        if m[2] is None:
+        if (after := source[at + 1 : at + 2]) in ("!", "?"):
+            comment = source.startswith("<!--", at)
+            end = source.find("-->", at + 4) if comment else source.find(">", at + 2)
+            end = n if end < 0 else end + (3 if comment else 1)
+            if at > done:
+                r.text(html.unescape(source[done:at]))
+            at = done = end
+            continue
+        m = TAG.match(source, at) if after else None
+        if m is None:
+            at += 1
             continue
+        if at > done:
+            r.text(html.unescape(source[done:at]))
+        attributes, closes, end = tag_end(source, m.end())
+        if end < 0:
+            done = n  # a tag that never ends holds the rest of the page
+            break
+        at = done = end
         tag = m[2].lower()
         if m[1]:
             r.end(tag)
             continue
-        attributes = {k.lower(): html.unescape(v[1:-1] if v[:1] in "\"'" else v) for k, v in reversed(ATTRIBUTE.findall(m[3]))} if m[3].strip(" /\n\t") else {}
         r.start(tag, attributes)
-        if (r.foreign or tag in ("svg", "math")) and m[3].endswith("/") and not UNQUOTED.search(m[3]):
+        if closes and (r.foreign or tag in ("svg", "math")):
             r.end(tag)
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(source, at)
-            body = source[at : end.start() if end else n]
+            last = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(source, at)
+            body = source[at : last.start() if last else n]
             if tag in ("textarea", "xmp"):
                 r.text(html.unescape(body) if tag == "textarea" else body)
             r.end(tag)
-            at = end.end() if end else n
+            end = source.find(">", last.end()) if last else -1
+            at = done = end + 1 if end >= 0 else n
+    if done < n:
+        r.text(html.unescape(source[done:]))
     r.close_to(0)
     return "\n".join(r.boxes[0].done())
 
@@ -344,7 +404,7 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """``pages`` with ``extracted``, the visible text of each page.
 
     Null html gives null, empty html the empty string. Rows are independent, so repeats, ties and empty tables need
-    no rule. A column named extracted is replaced; others stay.
+    no rule. Very long pages take time in proportion to their length. A column named extracted is replaced; others stay.
     """
     pages = pages.drop("extracted")
 
