@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import table
+from .common import table, written
 
 N_SHARDS = 16
 FIRST_PROBES = 4096
@@ -20,23 +21,25 @@ RANGE_BYTES = 64 << 20
 
 
 def _histogram(rows: DataFrame, cuts: list[tuple[int, int]], probes: int) -> dict[int, tuple[int, int]]:
-    """Bytes and rows by the lower key of each sub-interval of ``cuts``; at most ``probes`` of them for each cut."""
+    """Bytes and rows by the lower key of each sub-interval of ``cuts`` (ends excluded); at most ``probes`` for each cut."""
     low = None
     for lo, hi in cuts:
         width = max(1, -(-(hi - lo) // probes))
-        key = (F.lit(lo) + F.floor((F.col("_key") - F.lit(lo)) / F.lit(width)) * width) if hi - lo >= 2**53 else F.lit(lo) + F.expr(f"(_key - {lo}L) div {width}L") * width
-        inside = (F.col("_key") >= lo) & (F.col("_key") < hi)
-        low = F.when(inside, key.cast("long")) if low is None else low.when(inside, key.cast("long"))
-    counts = rows.select(low.alias("low"), "_bytes").where("low IS NOT NULL").groupBy("low").agg(F.sum("_bytes").alias("b"), F.count(F.lit(1)).alias("n"))
+        # Distances of long keys may have 64 bits.
+        far = F.col("key").cast("decimal(20,0)") - F.lit(lo).cast("decimal(20,0)")
+        begin = (F.call_function("div", far, F.lit(width).cast("decimal(20,0)")).cast("decimal(20,0)") * F.lit(width).cast("decimal(20,0)") + F.lit(lo)).cast("long")
+        inside = (F.col("key") >= lo) & (F.col("key") <= hi - 1)
+        low = F.when(inside, begin) if low is None else low.when(inside, begin)
+    counts = rows.select(low.alias("low"), "bytes").where("low IS NOT NULL").groupBy("low").agg(F.sum("bytes").alias("b"), F.count(F.lit(1)).alias("n"))
     return {r["low"]: (r["b"], r["n"]) for r in counts.collect()}  # at most len(cuts) * probes rows
 
 
 def histogram_boundaries(rows: DataFrame, n_shards: int, tolerance: float) -> tuple[list[int], dict[int, tuple[int, int]]]:
     """Lower keys of shards 0..n-1, and exact (bytes, rows) below every boundary counted on the way.
 
-    ``rows`` has ``_key`` (long, never null) and ``_bytes``. Driver memory is bounded by probes, not by rows.
+    ``rows`` has ``key`` (long, never null) and ``bytes``. Driver memory is bounded by probes, not by rows.
     """
-    ends = rows.agg(F.min("_key"), F.max("_key"), F.sum("_bytes")).first()
+    ends = rows.agg(F.min("key"), F.max("key"), F.sum("bytes")).first()
     if ends[0] is None:
         return [], {}
     lo, hi, total = ends[0], ends[1] + 1, ends[2]
@@ -71,15 +74,22 @@ def histogram_boundaries(rows: DataFrame, n_shards: int, tolerance: float) -> tu
 def shard_by_bytes(df: DataFrame, key: str, size: Column, n_shards: int = N_SHARDS, tolerance: float = 0.001, n_ranges: int | None = None) -> DataFrame:
     """``df`` with ``shard`` (bytes near equal, in key order) and ``slot`` (gapless from 0 within its shard).
 
-    The law is ``bytes``: a shard differs from the mean by the tolerance or by the bytes of one key. Rows of one key
-    stay together. A null key comes before all others. Ties of a key are ordered by all other columns' hash;
-    identical rows may swap slots. An empty table gives no rows. Columns whose names start with ``_`` plus key,
-    bytes, low, range or start are reserved.
+    The law is ``bytes``: a shard differs from the mean by the tolerance or by the bytes of one key. Keys are whole
+    numbers of at most 64 bits; another type is an error. Rows of one key stay together; a null key is with the
+    smallest one, before it. Ties of a key are ordered by the hash of all other columns; identical rows may swap
+    slots. An empty table gives no rows, very long texts count with their size. Columns named shard or slot are
+    replaced, all others stay, whatever their names.
     """
-    lowest = df.agg(F.min(key)).first()[0]
-    filled = F.coalesce(F.col(key), F.lit((lowest or 0) - 1)).cast("long")
-    rows = df.withColumn("_key", filled).withColumn("_bytes", size.cast("long"))
-    starts, below = histogram_boundaries(rows.select("_key", "_bytes"), n_shards, tolerance)
+    kind = df.schema[key].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise ValueError(f"a key of type {kind.simpleString()}; whole numbers are wanted")
+    df = df.drop(*({"shard", "slot"} - {key}))
+    own = next(p for k in range(len(df.columns) + 1) if not any(c.lower().startswith(p := f"_{k}_") for c in df.columns))  # a prefix no column has
+    # Keys and sizes are read once from the rows; all counting goes over this narrow table.
+    narrow = written(df.select(F.col(key).cast("long").alias("key"), size.cast("long").alias("bytes")), "sizes")
+    lowest = narrow.agg(F.min("key")).first()[0]
+    lowest = 0 if lowest is None else lowest
+    starts, below = histogram_boundaries(narrow.select(F.coalesce("key", F.lit(lowest)).alias("key"), "bytes"), n_shards, tolerance)
     if not starts:
         return df.withColumn("shard", F.lit(0)).withColumn("slot", F.lit(0).cast("long"))
     keys, total = sorted(below), max(v[0] for v in below.values())
@@ -90,38 +100,37 @@ def shard_by_bytes(df: DataFrame, key: str, size: Column, n_shards: int = N_SHAR
         if below[k][0] * n_ranges // max(total, 1) > passed:
             passed = below[k][0] * n_ranges // max(total, 1)
             fine.add(k)
-    fine = sorted(fine)
+    fine = sorted(k for k in fine if k < 2**63)  # no key lies beyond
     bases = [(k, max(i for i, s in enumerate(starts) if s <= k)) for k in fine]
     slots = [below[k][1] - below[starts[s]][1] for k, s in bases]
-    at = F.array(*[F.lit(k) for k in fine])
-    # array_position of the last boundary at or below the key, found by counting: fine is bounded by n_ranges.
-    index = F.size(F.filter(at, lambda b: b <= F.col("_key"))) - 1 if len(fine) <= 64 else _bisect(fine)
-    rows = rows.withColumn("_range", index)
+    filled = F.coalesce(F.col(key).cast("long"), F.lit(lowest))
+    rows = df.withColumn(f"{own}key", filled)
+    rows = rows.withColumn(f"{own}range", _bisect(fine, f"{own}key"))
     others = [c for c in df.columns if c != key]
-    window = Window.partitionBy("_range").orderBy("_key", *([F.xxhash64(*others)] if others else []))
-    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("_range") + 1)
+    window = Window.partitionBy(f"{own}range").orderBy(f"{own}key", F.col(key).asc_nulls_first(), *([F.xxhash64(*others)] if others else []))
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col(f"{own}range") + 1)
     return (
-        rows.withColumn("_n", F.row_number().over(window).cast("long") - 1)
+        rows.withColumn(f"{own}at", F.row_number().over(window).cast("long") - 1)
         .withColumn("shard", pick([s for _, s in bases]).cast("int"))
-        .withColumn("slot", pick(slots).cast("long") + F.col("_n"))
-        .drop("_key", "_bytes", "_range", "_n")
+        .withColumn("slot", pick(slots).cast("long") + F.col(f"{own}at"))
+        .drop(f"{own}key", f"{own}range", f"{own}at")
     )
 
 
-def _bisect(fine: list[int]) -> Column:
-    """Index of the last boundary at or below _key, as a balanced tree of comparisons."""
+def _bisect(fine: list[int], name: str) -> Column:
+    """Index of the last boundary at or below the named column, as a balanced tree of comparisons."""
 
-    def tree(i: int, j: int) -> str:
+    def tree(i: int, j: int) -> Column:
         if j - i == 1:
-            return str(i)
+            return F.lit(i)
         m = (i + j) // 2
-        return f"IF(_key < {fine[m]}L, {tree(i, m)}, {tree(m, j)})"
+        return F.when(F.col(name) < fine[m], tree(i, m)).otherwise(tree(m, j))
 
-    return F.expr(tree(0, len(fine)))
+    return tree(0, len(fine))
 
 
 def op2_shard_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
     return shard_by_bytes(docs, "doc_id", size).select(
         "doc_id", size.alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
