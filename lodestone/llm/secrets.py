@@ -25,7 +25,7 @@ MAX_TRAIN = 20_000
 TREES, DEPTH, LEAF_ROWS = 40, 10, 3
 THRESHOLD = 0.5
 MASK = "[SECRET]"
-BLOCK = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----", re.DOTALL)
+EDGE = re.compile(r"-----(BEGIN|END) [A-Z ]*PRIVATE KEY-----")
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=\-])(?:(?i:eyJ)[A-Za-z0-9_\-]+(?:\.[A-Za-z0-9_\-]+)+|[A-Za-z0-9+/_=\-]{16,})")
 #: Values start in lookaheads, so that an assignment inside another's value is found too.
 QUOTED = r"\"(?=([^\s\"]{8,}))|'(?=([^\s']{8,}))"
@@ -50,7 +50,7 @@ def dictionary() -> frozenset[str]:
 
 
 def coverage(text: str) -> float:
-    """Share of characters that dictionary words cover, longest first from the left; 4096 characters at a time."""
+    """Share of characters that dictionary words cover, longest first from the left."""
     known, covered = dictionary(), 0
     for run in re.findall(r"[a-z]{4,}", text.lower()):
         i = 0
@@ -66,8 +66,13 @@ def candidates(text: str) -> list[tuple[int, int]]:
     assigned values, these before long runs; what others leave of a span stays where it has 16 characters or more.
     """
     found = [(3, *m.span()) for m in TOKEN.finditer(text)]
-    if "-----BEGIN" in text:
-        found += [(0, *m.span()) for m in BLOCK.finditer(text)]
+    begin = None  # of the first key block that has no end yet
+    for m in EDGE.finditer(text) if "-----BEGIN" in text else ():
+        if m[1] == "BEGIN":
+            begin = m.start() if begin is None else begin
+        elif begin is not None:
+            found.append((0, begin, m.end()))
+            begin = None
     low = text.lower()
     if any(w in low for w in FOR):
         found += [(1, *m.span(m.lastindex)) for m in NAMED.finditer(text)]
@@ -97,6 +102,8 @@ def kinds(text: str) -> np.ndarray:
 
 
 def features(found: str, left: str, right: str, path: str) -> list[float]:
+    if not found:
+        raise ValueError("an empty candidate has no features")
     k = kinds(found)
     n = len(k)
     share = np.bincount(k, minlength=6) / n
@@ -227,9 +234,14 @@ def labelled_findings(n: int = 4000, seed: int = 1) -> list[tuple[str, str, str,
 
 
 def train(findings: DataFrame) -> Forest:
-    """A forest from (candidate, left, right, path, label); at most MAX_TRAIN of them, picked by hash of the row."""
-    rows = findings.orderBy(F.xxhash64(*findings.columns)).limit(MAX_TRAIN).collect()
-    x = np.array([features(r["candidate"], r["left"], r["right"], r["path"]) for r in rows])
+    """A forest from (candidate, left, right, path, label); at most MAX_TRAIN of them, picked by hash of the row.
+
+    Rows without a candidate or a label are left out, other nulls count as empty; it is an error where none is left.
+    """
+    rows = findings.where("candidate <> '' AND label IS NOT NULL").orderBy(F.xxhash64(*findings.columns)).limit(MAX_TRAIN).collect()
+    if not rows:
+        raise ValueError("there are no labelled findings to learn from")
+    x = np.array([features(r["candidate"], r["left"] or "", r["right"] or "", r["path"] or "") for r in rows])
     return Forest(x, np.array([r["label"] for r in rows], float))
 
 
