@@ -8,10 +8,13 @@ run starts. All windows of the benchmark are searched backwards together.
 
 from __future__ import annotations
 
-import hashlib
+import pickle
 import re
+import uuid
+import zlib
 from collections.abc import Iterator
-from itertools import repeat
+from functools import lru_cache
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import bounded_batches, extended, table
+from .common import bounded_batches, extended, table, written
 
 WINDOW = 10
 SAMPLE = 8
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES, GROUP_BLOCKS, KEPT_BLOCKS = 16_000_000, 8, 2
 _WORD = bytes((c + 32 if 65 <= c <= 90 else c) if c >= 128 or 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 else 32 for c in range(256))
 
 
@@ -193,18 +196,38 @@ class Block:
             found[d].update(self.items[w])
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Block]:
-    """The benchmark in parts of bounded size, streamed to the driver one partition at a time."""
+def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[bytes]:
+    """The benchmark's items in compressed parts of BLOCK_BYTES of text, streamed to the driver a partition at a time."""
     held, size = [], 0
     for r in benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")), text_col).toLocalIterator():
-        if ws := words(r[1]):
-            held.append((r[0], ws))
+        if r[1]:
+            held.append((r[0], r[1]))
             size += len(r[1])
         if size >= BLOCK_BYTES:
-            yield Block(held)
+            yield zlib.compress(pickle.dumps(held), 1)
             held, size = [], 0
     if held:
-        yield Block(held)
+        yield zlib.compress(pickle.dumps(held), 1)
+
+
+@lru_cache(maxsize=KEPT_BLOCKS)
+def block_of(key: tuple[str, int], load) -> Block | None:
+    """A worker's index of one part, built from its broadcast; only the latest KEPT_BLOCKS stay."""
+    items = [(i, ws) for i, t in pickle.loads(zlib.decompress(load.sent.value[key[1]])) if (ws := words(t))]
+    return Block(items) if items else None
+
+
+class Load:
+    """Carries a broadcast past the cache's key."""
+
+    def __init__(self, sent):
+        self.sent = sent
+
+    def __hash__(self):
+        return 0
+
+    def __eq__(self, other):
+        return isinstance(other, Load)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -213,33 +236,63 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     A window is ``WINDOW`` consecutive words of an item, or the whole item where it is shorter. A document word
     inside any occurrence is hit; spans merge hit words that follow each other. Null text has no words and stays
     null in ``clean``; items without words have no windows; a null item id counts as the empty string; repeated
-    items count once. Columns with the new names are replaced.
+    items count once, as do repeated rows of ``docs`` apart. Very long texts are shards of their own. Columns with the
+    new names are replaced, others stay.
+
+    Parts of the benchmark go out as broadcasts, at most ``GROUP_BLOCKS`` (bounded by BLOCK_BYTES each) at a time: a
+    larger benchmark takes several passes, between which hits are written with the documents.
     """
     added = ["n_words", "n_hit", "items", "spans", "clean"]
     docs = docs.drop(*added)
-    sent = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks(benchmark, item_id, item_text)]
+    own = next(p for k in range(len(docs.columns) + 1) if not any(c.startswith(p := f"_{k}_") for c in docs.columns))  # a prefix no column has
+    context = docs.sparkSession.sparkContext
+    parts = blocks(benchmark, item_id, item_text)
+    state, group = docs, list(islice(parts, GROUP_BLOCKS))
+    while True:
+        later = list(islice(parts, GROUP_BLOCKS))
+        sent = context.broadcast(group)
+        out = marked(state, text, own, sent, len(group), docs.columns, None if later else added)
+        if not later:
+            return out
+        state, group = written(out, "hits"), later
+        sent.unpersist()
+
+
+def marked(state: DataFrame, text: str, own: str, sent, n: int, columns: list[str], added: list[str] | None) -> DataFrame:
+    """``state`` with the hit words (bits) and items of each document, added to those of an earlier pass; the last
+    pass gives ``added`` instead."""
+    names, token = [f"{own}mask", f"{own}items"], uuid.uuid4().hex
+    before = names[0] in state.columns
 
     def run(batches):
+        load = Load(sent)
         for batch in slices(batches, text):
             texts = batch[text].to_pylist()
             ws = [words(t) for t in texts]
             counts = np.fromiter(map(len, ws), np.int64, len(ws))
             offsets = np.concatenate([[0], np.cumsum(counts)])
             mask, found = np.zeros(offsets[-1], bool), [set() for _ in ws]
-            for b in sent:
-                b.value.hits(ws, offsets, mask, found)
+            if before:
+                found = [set(x) for x in batch[names[1]].to_pylist()]
+                bits = [np.unpackbits(np.frombuffer(m, np.uint8), count=k).view(bool) for m, k in zip(batch[names[0]].to_pylist(), counts.tolist(), strict=True)]
+                mask = np.concatenate([mask[:0], *bits])
+            for k in range(n):
+                if (b := block_of((token, k), load)) is not None:
+                    b.hits(ws, offsets, mask, found)
+            kept, items = [batch[c] for c in columns], pa.array([sorted(f) for f in found], pa.list_(pa.string()))
+            if added is None:
+                raw = [np.packbits(mask[a:b]).tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(raw, pa.binary()), items], names=[*columns, *names])
+                continue
             sums = np.concatenate([[0], np.cumsum(mask)])
             n_hit = sums[offsets[1:]] - sums[offsets[:-1]]
             spans, clean = [[] for _ in ws], texts
             for d in np.flatnonzero(n_hit):
                 spans[d], clean[d] = removal(texts[d], mask[offsets[d] : offsets[d + 1]])
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(counts), pa.array(n_hit), pa.array([sorted(f) for f in found], pa.list_(pa.string())), pa.array(spans, SPANS), pa.array(clean, pa.string())],
-                names=[*batch.schema.names, *added],
-            )
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(counts), pa.array(n_hit), items, pa.array(spans, SPANS), pa.array(clean, pa.string())], names=[*columns, *added])
 
-    schema = extended(docs, "n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>, clean string")
-    return docs.mapInArrow(run, schema)
+    more = f"{names[0]} binary, {names[1]} array<string>" if added is None else "n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>, clean string"
+    return state.mapInArrow(run, extended(state.select(*columns), more))
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
