@@ -303,7 +303,6 @@ def write_ids(docs: DataFrame, path: str) -> None:
                 size, at = size + end - at, end
                 if size >= limit:
                     yield packed()
-        pieces.reset()  # the worker may go on with another stage
         if docs_:
             yield packed()
 

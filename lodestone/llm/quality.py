@@ -8,7 +8,7 @@ of characters per token and per piece lie around the median of the input's own t
 from __future__ import annotations
 
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -281,7 +281,11 @@ def quality(docs: DataFrame) -> DataFrame:
     the bands, so that they needn't be written between.
     """
     docs = docs.drop(*NEW)
-    return judged(measures(docs, docs.columns), centres(measures(docs, [])))
+    aside = {}  # columns of docs whose names the measures need, under names that nothing has
+    for c in (c for c in docs.columns if c.lower() in ("n_tokens", "band")):
+        aside[c] = next(n for k in count() if (n := f"{c}_{k}") not in docs.columns)
+    docs = docs.withColumnsRenamed(aside)
+    return judged(measures(docs, docs.columns), centres(measures(docs, []))).withColumnsRenamed({v: k for k, v in aside.items()})
 
 
 def op9_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

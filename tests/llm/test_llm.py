@@ -125,6 +125,24 @@ def test_decontaminate_brute_force(spark, docs, no_docs):
     assert clean[1] == "The quick brown  over the lazy dog and runs far away" and clean[3] is None
 
 
+def test_decontaminate_in_several_passes(spark, monkeypatch):
+    """A benchmark of several parts, few of which go out at a time, on columns whose names clash."""
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 20)
+    monkeypatch.setattr(decontaminate, "GROUP_BLOCKS", 2)
+    rng = random.Random(6)
+    texts = [(i, " ".join(rng.choices("abc", k=rng.randint(0, 50)))) for i in range(40)] + [(90, None), (91, "x y " * 30_000 + "abc fox jumps")]
+    items = [(i, " ".join(rng.choices("abc", k=rng.randint(0, 13)))) for i in range(14)] + [(None, "Fox jumps")]
+    d = spark.createDataFrame([(i, t, i, "m", 7, 8) for i, t in texts], "doc_id long, text string, _0_mask long, clean string, n_hit int, mask int")
+    out = decontaminate.decontaminate(d, spark.createDataFrame(items, "item_id long, text string"))
+    assert out.columns == ["doc_id", "text", "_0_mask", "mask", "n_words", "n_hit", "items", "spans", "clean"]
+    got = {r.doc_id: (r.n_words, r.n_hit, r["items"], r["_0_mask"], r["mask"]) for r in out.collect()}
+    for i, t in texts:
+        if i < 91:
+            n, hit, found = brute_hits(t, [("" if x is None else x, y) for x, y in items])
+            assert got[i] == (n, hit, found, i, 8)
+    assert got[91][1:3] == (2, [""])
+
+
 def classes(rows):
     sets = {}
     for i, t in rows:
@@ -167,6 +185,19 @@ def test_jaccard_empty(spark, no_docs):
     assert jaccard.similarity_classes(no_docs).count() == 0
 
 
+def test_jaccard_odd_rows(spark):
+    rows = [(None, "a b c d e f", 1, 2), (None, "a b c d e f", 1, 2), (None, None, 1, 2), (7, "a b c d e f", 1, 2), (7, "a b c d e f", 1, 2), (8, "A b c d e f", 1, 2), (9, None, 1, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, node long, size int")
+    got = Counter(map(tuple, jaccard.similarity_classes(df).collect()))
+    assert got == Counter({(None, 2, None): 2, (None, 0, None): 1, (7, 2, 7): 2, (8, 2, 7): 1, (9, 0, 9): 1})
+
+
+def test_packed_sets():
+    v = np.unique(np.random.default_rng(3).integers(0, 2**63, 500).astype(np.uint64) * np.uint64(2))
+    assert (jaccard.unpacked_set(jaccard.packed_set(v)) == v >> np.uint64(64 - jaccard.ELEMENT_BITS)).all()
+    assert len(jaccard.unpacked_set(b"")) == 0
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randint(0, 80), rng.randint(0, 80)) for _ in range(50)] + [(i, i + 1) for i in range(100, 140)]
@@ -178,21 +209,55 @@ def test_components(spark):
     assert got == {x: c for x, c in low.items() if any(x in e and e[0] != e[1] for e in edges)}
 
 
-def test_sharding(spark, docs, no_docs):
-    d = spark.range(3000).select((F.col("id") * 7).alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 50).cast("int")).alias("text"))
-    size = F.octet_length("text") + 1
-    rows = sharding.shard_by_bytes(d, "doc_id", size).withColumn("size", size).collect()
-    total = Counter()
+def shards_of(rows):
+    """(shard, slot) by the row's place, from exact sums: where each shard begins, then a count."""
+    return {s: sorted(r.slot for r in rows if r.shard == s) for s in {r.shard for r in rows}}
+
+
+@pytest.mark.parametrize("keys", ["even", "skewed", "wide"])
+def test_sharding_against_sums(spark, keys):
+    """Shards follow the order of keys, their bytes are near equal but for whole keys, slots are the rows' places."""
+    rng = random.Random(keys)
+    key = {"even": lambda k: k * 7, "skewed": lambda k: 5 if k % 3 == 0 else rng.randint(-50, 400), "wide": lambda k: rng.choice([-(2**63), 2**63 - 1, rng.randint(-(2**63), 2**63 - 1), rng.randint(-9, 9)])}[keys]
+    data = [(key(k), rng.randint(1, 60)) for k in range(3000)]
+    rows = sharding.shard_by_bytes(spark.createDataFrame(data, "doc_id long, size long"), "doc_id", F.col("size")).collect()
+    assert Counter((r.doc_id, r.size) for r in rows) == Counter(data)
+    order = sorted(rows, key=lambda r: (r.shard, r.slot))
+    assert [r.doc_id for r in order] == sorted(x for x, _ in data)
+    assert all(v == list(range(len(v))) for v in shards_of(rows).values())
+    mean, weight, total = sum(x for _, x in data) / 16, Counter(), Counter()
     for r in rows:
-        total[r.shard] += r["size"]
-    mean = sum(total.values()) / 16
-    assert len(rows) == 3000 and set(total) == set(range(16)) and all(abs(v - mean) <= 0.01 * mean + 51 for v in total.values())
-    for s in range(16):
-        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
-    odd = docs.union(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
-    got = sharding.shard_by_bytes(odd, "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)) + 1).collect()
+        total[r.shard] += r.size
+        weight[r.doc_id] += r.size
+    begin, seen = 0, 0
+    for s in range(15):  # the sum before each splitter is as near to its share as whole keys allow
+        seen += total[s]
+        assert abs(seen - mean * (s + 1)) <= 0.001 * mean + 1 + max(weight.values()) / 2
+    for x in weight:
+        assert len({r.shard for r in rows if r.doc_id == x}) == 1
+
+
+def test_sharding_odd_rows(spark, docs, no_docs):
+    odd = docs.union(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long"))).withColumn("_n", F.lit(1)).withColumn("_0_key", F.lit(2)).withColumn("shard", F.lit("mine"))
+    out = sharding.shard_by_bytes(odd, "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)) + 1)
+    got = out.collect()
     assert len(got) == len(ODD) + 1 and next(r for r in got if r.doc_id is None).slot == 0
+    assert out.columns == ["doc_id", "text", "lang", "source", "extra", "_n", "_0_key", "shard", "slot"] and {r._n for r in got} == {1}
     assert sharding.shard_by_bytes(no_docs, "doc_id", F.lit(1)).count() == 0
+    for lowest in (-(2**63), 0):
+        low = spark.createDataFrame([(None,), (lowest,), (2**63 - 1,)], "doc_id long")
+        assert [r.doc_id for r in sorted(sharding.shard_by_bytes(low, "doc_id", F.lit(1), 1).collect(), key=lambda r: r.slot)] == [None, lowest, 2**63 - 1]
+    assert sharding.shard_by_bytes(spark.createDataFrame([(None,), (None,)], "doc_id long"), "doc_id", F.lit(1)).count() == 2
+    with pytest.raises(ValueError):
+        sharding.shard_by_bytes(docs, "text", F.lit(1))
+
+
+def test_sharding_as_registered(spark, tmp_path):
+    docs = [(k, None if k == 9 else "é" * (k % 40)) for k in range(500)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = sharding.op2_shard_histogram_sort(spark, str(tmp_path)).collect()
+    assert {r.doc_id: (r["size"], r.text_crc32) for r in rows} == {i: (len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in docs}
+    assert {r.law for r in rows} == {"bytes"} and {r.grown_shard for r in rows} == {None} and set(shards_of(rows)) == set(range(16))
 
 
 def test_chat_round_trip(spark):
@@ -210,14 +275,42 @@ def test_chat_round_trip(spark):
 
 def test_warc(spark):
     big = "é" * 60
-    rows = [(3, "u3", big), (1, "u1", big), (2, "u\r\n2", "small"), (4, None, "small"), (5, "u5", None), (6, "u6", big + "x"), (None, "n", big)]
+    rows = [(3, "u3", big), (1, "u1", big), (2, "u\r\n2", "small"), (4, None, "small"), (5, "u5", None), (6, "u6", big + "x"), (None, "n", big), (2**63 - 1, "max", big + "x")]
     path = new_path(spark, "warc")
-    warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), path, date="2024-01-31T12:00:00Z")
     got = {r.page_id: r for r in warc.read_archive(spark, path).collect()}
     assert all(bytes(got[i].payload) == (h or "").encode() and got[i].payload_digest == hashlib.sha256((h or "").encode()).hexdigest() for i, _, h in rows)
-    assert "WARC-Refers-To: <urn:page:1>" in got[3].header and "revisit" in got[None].header and "WARC-Type: response" in got[1].header
+    assert "WARC-Refers-To: <urn:page:1>" in got[3].header and "revisit" in got[None].header and "WARC-Type: response" in got[1].header and "revisit" in got[2**63 - 1].header
     assert spark.read.parquet(f"{path}/payloads").count() == 4
-    assert bytes(got[3].record).endswith(b"Content-Length: 0\r\n\r\n\r\n\r\n")
+    for r in got.values():  # each record is one of WARC/1.1: its fields, and a block of the length it says
+        head, block = bytes(r.record).split(b"\r\n\r\n", 1)
+        lines = head.decode().split("\r\n")
+        fields = dict(x.split(": ", 1) for x in lines[1:])
+        assert lines[0] == "WARC/1.1" and fields["WARC-Date"] == "2024-01-31T12:00:00Z" and {"WARC-Type", "WARC-Record-ID", "Content-Type"} <= set(fields)
+        assert block.endswith(b"\r\n\r\n") and len(block) - 4 == int(fields["Content-Length"])
+        http, payload = block[:-4].split(b"\r\n\r\n", 1)
+        assert http.startswith(b"HTTP/1.1 200 OK") and payload == (bytes(r.payload) if fields["WARC-Type"] == "response" else b"")
+
+
+def test_warc_odd_tables_and_hot_payloads(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "HOT", 5)
+    big = "x" * 200
+    rows = [(k % 40, f"u{k}", big if k % 3 else "y" * 150 + str(k % 4), "extra") for k in range(100)] + [(None, "n", "z" * 100, "extra")] * 2
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, digest string")
+    df.write.parquet(f"{tmp_path}/pages.parquet")
+    first = {}
+    for i, _, h, _ in rows:
+        first.setdefault(h, []).append(i)
+    want = Counter()
+    for i, _, h, _ in rows:
+        low = min((x is None, x) if x is not None else (True, 0) for x in first[h])
+        mine = i is None if low[0] else i == low[1]
+        want[i, len(h), hashlib.sha256(h.encode()).hexdigest(), "response" if mine else "revisit", None if mine else low[1]] += 1
+    got = Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.op10_warc_content_addressed(spark, str(tmp_path)).collect())
+    assert got == want
+    path = new_path(spark, "warc")
+    warc.write_archive(df.limit(0), path)
+    assert warc.read_archive(spark, path).count() == 0
 
 
 def test_quality(spark, docs, no_docs):
@@ -266,6 +359,111 @@ def test_secrets_held_out(spark, docs, no_docs):
     assert secrets.scan(no_docs, forest).count() == 0
 
 
+def test_quality_verdict_by_a_plain_loop(spark):
+    """``kept`` of a whole table, from medians and bands worked out row by row."""
+    import math
+    import statistics
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").collect()
+    found = {r.doc_id: r for r in quality.op9_fertility_rules(spark, "/root/testdata/sf0.01").collect()}
+    measured, base = {}, {}
+    for r in rows:
+        t = r.text or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        win = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+        repeats = len({j for i in range(len(w) - 4) if win[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)})
+        base[r.doc_id] = len(w) < 10 or 100 * repeats > 20 * len(w)
+        measured[r.doc_id] = (r.lang if r.lang in quality.BANDS else quality.script(t), *quality.fertility(t))
+    bands = {}
+    for band in {m[0] for m in measured.values()}:
+        own = [m for i, m in measured.items() if m[0] == band and not base[i] and m[5] >= quality.MIN_TOKENS]
+        if len(own) >= quality.MIN_TEXTS:
+            bands[band] = []
+            for k in (1, 2):
+                logs = sorted(round(min(max(math.log(m[k]), -10), 10) * quality.BINS) / quality.BINS for m in own)
+                middle = statistics.median_low(logs)
+                apart = statistics.median_low(sorted(abs(x - middle) for x in logs))
+                bands[band] += [middle, max(quality.NEAREST, quality.SIGMAS * 1.4826 * apart)]
+    near = 0
+    for i, (band, token, piece, share, entropy, n) in measured.items():
+        wide = math.sqrt(1 + quality.SHORT / max(n, 1))
+        low, high, most = quality.BANDS[band]
+        room = math.exp(quality.NEAREST * (wide - 1))
+        inside = n > 0 and token <= high * room and piece <= high * room and share <= most * wide
+        inside = inside and min(quality.MIN_ENTROPY, quality.ENTROPY_SHARE * math.log2(n)) / wide <= entropy <= quality.MAX_ENTROPY
+        if inside and band in bands:
+            m, d, p, e = bands[band]
+            inside = -d * wide <= math.log(token) - m <= 2 * d * wide and -e * wide <= math.log(piece) - p <= 2 * e * wide
+        elif inside:
+            inside = token >= low / room
+        near += found[i].kept != (inside and not base[i])
+    assert near <= 1  # a text within a rounding of its bound may fall on either side
+    assert {i: r.base_failed for i, r in found.items()} == base
+
+
+def test_quality_against_labels(spark):
+    """Recall on labels that this repository has not made."""
+    kept = {r.doc_id: r.kept for r in quality.op9_fertility_rules(spark, "/root/testdata/sf0.01").collect()}
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()
+    good = [kept[r.doc_id] for r in labels if r.quality == 1 and r.doc_id in kept]
+    poor = [not kept[r.doc_id] for r in labels if r.quality == 0 and r.doc_id in kept]
+    assert sum(good) / len(good) >= 0.97 and sum(poor) / len(poor) >= 0.75
+
+
+def test_quality_odd_rows(spark):
+    rows = [(1, None, None, "m", 1), (1, None, None, "m", 1), (None, "word " * 200_000, "en", "m", 2), (3, "", "xx", "m", 3)]
+    out = quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, kept string, n_tokens int"))
+    got = out.collect()
+    assert len(got) == 4 and out.columns[:4] == ["doc_id", "text", "lang", "n_tokens"] and not any(r.kept for r in got)
+    assert [r.n_tokens for r in got if r.doc_id is None] == [2] and [r.n_words for r in got if r.doc_id is None] == [200_000]
+
+
+def test_forest_by_a_plain_loop(spark):
+    forest = secrets.trained(spark)
+    rows = secrets.labelled_findings(120, seed=5)
+    x = np.array([secrets.features(*r[:4]) for r in rows])
+    for row, score in zip(x, forest.predict(x), strict=True):
+        total = 0.0
+        for t in forest.trees:
+            at = 0
+            while t.nodes[at][0] >= 0:
+                at = int(t.nodes[at][2] if row[int(t.nodes[at][0])] <= t.nodes[at][1] else t.nodes[at][3])
+            total += t.nodes[at][4]
+        assert abs(total / len(forest.trees) - score) < 1e-9
+
+
+def test_secrets_odd_inputs(spark):
+    ddl = "candidate string, left string, right string, path string, label int"
+    for rows in ([], [("", "a", "b", "c", 1), (None, "a", "b", "c", 0), ("x" * 20, None, None, None, None)]):
+        with pytest.raises(ValueError):
+            secrets.train(spark.createDataFrame(rows, ddl))
+    some = [(*r[:4], int(r[4])) for r in secrets.labelled_findings(200)] + [("A" * 20, None, None, None, 0)]
+    assert secrets.train(spark.createDataFrame(some, ddl)).predict(np.zeros((1, len(secrets.features("a", "", "", ""))))).shape == (1,)
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    assert (3, 3 + len(begin + "abc" + end)) in secrets.candidates("x: " + begin + "abc" + end)
+    assert len(secrets.candidates(begin * 100_000)) < 100_001  # time in proportion where no block ends
+    forest = secrets.trained(spark)
+    d = spark.createDataFrame([(1, "a " * 500_000 + "token = ghp_" + "Ab3" * 12, None, 5)] * 2, "doc_id long, text string, source string, masked int")
+    got = secrets.scan(d, forest).collect()
+    assert len(got) == 2 and all(r.masked.endswith("[SECRET]") and r.n_candidates == 1 for r in got)
+
+
+def test_secrets_as_registered(spark, tmp_path):
+    rows = secrets.labelled_findings(300, seed=99)
+    spark.createDataFrame([(i, left + found + right, path) for i, (found, left, right, path, _) in enumerate(rows)] + [(-1, None, None)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    forest = secrets.trained(spark)
+    got = {r.doc_id: r for r in secrets.op3_secret_forest(spark, str(tmp_path)).collect()}
+    assert got[-1].n_candidates == 0 and got[-1].masked_sha256 is None
+    for i, (found, left, right, path, _) in enumerate(rows):
+        t = left + found + right
+        spans = secrets.candidates(t)
+        take = [(a, b) for a, b in spans if forest.predict(np.array([secrets.features(t[a:b], t[max(0, a - 80) : a], t[b : b + 8], path)]))[0] >= secrets.THRESHOLD]
+        masked = t
+        for a, b in reversed(take):
+            masked = masked[:a] + secrets.MASK + masked[b:]
+        assert (got[i].n_candidates, got[i].n_secrets, [(s.start, s.end) for s in got[i].spans], got[i].masked_sha256) == (len(spans), len(take), take, hashlib.sha256(masked.encode()).hexdigest())
+
+
 def test_secrets_are_found_in_whole_texts(spark):
     texts = ["password = 'hunter2hunter2'", "password: 'S3cr!t@Pw9x#'", "password='abc!def#123'", "password =  \t S3cr!t@Pw9x", "Bearer q8!x#Zk2@wPq", 'client_secret="abc!def#123"', "SECRET_KEY=S3cr!t@Pw9x", "note: password=abc!def#123"]
     values = ["hunter2hunter2", "S3cr!t@Pw9x#", "abc!def#123", "S3cr!t@Pw9x", "q8!x#Zk2@wPq", "abc!def#123", "S3cr!t@Pw9x", "abc!def#123"]
@@ -310,17 +508,55 @@ def test_html_shows_what_browsers_show():
     assert r("<table><tr style='visibility:collapse'><td>no<tr><td style='visibility:hidden'>no<td>x</table>").strip() == "| x"
 
 
-def test_pipeline_on_small_tables(spark, tmp_path):
-    import corpus_pipeline
-
-    rows = [(i, " ".join(f"word{(i * 31 + k * 7) % 997}" for k in range(80)), "en", "s", 1) for i in range(6)]
-    rows += [(50, rows[0][1], "en", "s", 1), (51, None, None, None, None), (52, "too short", "en", "s", 1)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(1, " ".join(rows[1][1].split()[10:22]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    got = {r.doc_id: bpe.encoder().decode(bytes(r.ids)) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
-    assert set(got) <= set(range(6)) and all(got[i] == rows[i][1] for i in got if i != 1)
-    if 1 in got:
-        assert len(got[1].split()) == 68
+def test_html_holds_on_large_and_broken_pages():
+    """Time in proportion: each of these took minutes or more output than memory where it was read by squares."""
+    r = html_text.render
+    assert r("<div>" * 200_000 + "x") == "x" and r("<p><b>" * 50_000 + "y") == "y"
+    assert r("a <a \"" * 100_000) == "a" and r("<!" * 200_000) == "" and r("<script>x" + "</script " * 50_000) == ""
+    assert r("<" * 100_000) == "<" * 100_000 and r("a<b \"c>d") == "ad" and r("x<img alt='unclosed>y") == "x"
+    deep = r("<ul><li>x" * 5_000).split("\n")
+    assert len(deep) == 5_000 and max(map(len, deep)) <= 2 * html_text.MAX_INDENT + 3
+    wide = r("<table><tr><td>" + "x" * 2000 + "<td>b" + "<tr><td>a<td>b" * 2000 + "</table>")
+    assert len(wide) < 40_000 and wide.split("\n")[1:3] == ["a | b", "a | b"]
+    spans = r("<table>" + "<tr><td colspan=99999 rowspan=99999>x" * 100 + "</table>")
+    assert spans.count("x") == 100 and len(spans) < 400_000
+    for k in range(30):  # a row is found however many inline elements stand between
+        assert r("<table><tr><td>A</td><form>" + "<i>" * k + "<td>B</table>") == "A | B"
+
+
+def test_html_extract_as_registered(spark, tmp_path):
+    rows = [(1, "u", "<p>x</p>"), (2, None, None), (3, "w", ""), (3, "w", ""), (None, "n", "<ul><li>a<li>b</ul>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = Counter((r.page_id, r.url, r.n_chars, r.text) for r in html_text.op8_html_layout(spark, str(tmp_path)).collect())
+    assert got == Counter([(1, "u", 1, "x"), (2, None, None, None), (3, "w", 0, ""), (3, "w", 0, ""), (None, "n", 7, "- a\n- b")])
+
+
+def plain_grid(table):
+    """Rows of (text, colspan, rowspan), laid out by the standard's own steps on a grid of cells."""
+    grid, width_, out = {}, 0, []
+    for y, row in enumerate(table):
+        x = 0
+        for text_, cs, rs in row:
+            while (x, y) in grid:
+                x += 1
+            for dx in range(cs):
+                for dy in range(rs):
+                    grid.setdefault((x + dx, y + dy), "")
+            grid[x, y] = text_
+            width_ = max(width_, x + cs)
+    widest = [max(len(grid.get((x, y), "")) for y in range(len(table))) for x in range(width_)]
+    for y in range(len(table)):
+        last = max((x for x in range(width_) if (x, y) in grid and (grid[x, y] or any((x, y) == k for k in grid))), default=-1)
+        out.append(" | ".join(grid.get((x, y), "").ljust(widest[x]) for x in range(last + 1)).rstrip(" |"))
+    return [x for x in out if x]
+
+
+def test_html_tables_against_a_grid():
+    rng = random.Random(8)
+    for _ in range(60):
+        table = [[(rng.choice(["a", "bb", "ccc dd"]), rng.choice([1, 1, 2]), rng.choice([1, 1, 2])) for _ in range(rng.randint(1, 4))] for _ in range(rng.randint(1, 5))]
+        source = "<table>" + "".join("<tr>" + "".join(f"<td colspan={c} rowspan={r}>{t}" for t, c, r in row) for row in table) + "</table>"
+        assert [x.rstrip(" |") for x in html_text.render(source).split("\n")] == plain_grid(table), source
 
 
 def test_pipeline_brute_force(spark, tmp_path):
