@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, decontaminate, jaccard, quality, secrets
-from lodestone.llm.common import table, written
+from lodestone.llm.common import bounded_batches, table, written
 
 DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the base rules or the fertility bands reject."""
+    """Drops documents that the base rules or the fertility bands reject; null and empty texts are among them.
+
+    Repeated rows get the same verdict each, doc_ids play no part, an empty table stays empty.
+    """
     return quality.quality(docs).where("kept").select(*docs.columns)
 
 
@@ -42,29 +46,43 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts benchmark passages out of the texts."""
+    """Cuts benchmark passages out of the texts; a null text stays null, every row stays, also repeated ones."""
     out = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
     return out.withColumn("text", F.col("clean")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks what the forest takes for a secret."""
+    """Masks what the forest takes for a secret; a null text stays null, every row stays, also repeated ones."""
     out = secrets.scan(docs, secrets.trained(spark))
     return out.withColumn("text", F.col("masked")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids) of each text that is left; ids are little-endian unsigned 32-bit integers."""
+    """(doc_id, source, lang, n_tokens, ids) of each text that is left; ids are little-endian unsigned 32-bit integers.
+
+    A null text has no ids; rows are independent.
+    """
     out = bpe.round_trip(docs)
     return out.select("doc_id", "source", "lang", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
 
 
+def entered(stage: Callable) -> Callable:
+    """``stage`` with small Arrow batches, whichever stage a session begins with."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES: list[tuple[str, Callable]] = [
-    ("quality rules", quality_rules),
-    ("n-gram Jaccard join", jaccard_classes),
-    ("benchmark decontamination", benchmark_removal),
-    ("secret scans", secret_masking),
-    ("BPE encoding", token_ids),
+    ("quality rules", entered(quality_rules)),
+    ("n-gram Jaccard join", entered(jaccard_classes)),
+    ("benchmark decontamination", entered(benchmark_removal)),
+    ("secret scans", entered(secret_masking)),
+    ("BPE encoding", entered(token_ids)),
 ]
 
 ORACLE_SQL = None
