@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import threading
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -15,6 +16,9 @@ from .plans.store import Catalogue
 from .streaming import watch
 
 VERSION = "1"
+#: Pages from FAR rows on, or from a quarter of WARM or more, go by the stored order of all devices.
+PROGRESS = re.compile(r"\w*PROGRESS (-?\d{1,9})")
+FAR, WARM = 100_000, 1_000_000
 
 
 @dataclass
@@ -39,7 +43,17 @@ class Engine:
     jobs: dict[int, Job] = field(default_factory=dict)
 
     def __post_init__(self):
-        self._ids, self._lock = count(1), threading.Lock()
+        self._ids, self._lock, self._loaded = count(1), threading.Lock(), set()
+
+    def _ready(self, uid: int) -> None:
+        """Says once what a user's catalogue holds, and writes orders of older formats anew."""
+        if uid in self._loaded:
+            return
+        self._loaded.add(uid)
+        self.events("StateChanged", {"state": "loadingSnapshots"})
+        good, bad = self.catalogue.load(uid)
+        self.catalogue.upgrade(uid)
+        self.events("StateChanged", {"state": "ready", "devices": len(good), "skipped": bad})
 
     def ping(self) -> str:
         return VERSION
@@ -53,7 +67,7 @@ class Engine:
     def _running(self, uid: int, device_id: str) -> bool:
         return any(j.uid == uid and j.device_id == device_id and j.state in ("running", "cancelling") for j in self.jobs.values())
 
-    def start_index(self, uid: int, device_id: str, scan: Callable[[], DataFrame], auto: bool = False, progress: Callable[[], int] | None = None) -> int:
+    def start_index(self, uid: int, device_id: str, scan: Callable[[], DataFrame], auto: bool = False) -> int:
         """Indexes a device from ``scan()`` and gives the job's id, 0 for an automatic one that isn't allowed.
 
         An unknown device, or one that a job of this user works on, gives a job that ended in error. An automatic job
@@ -74,6 +88,8 @@ class Engine:
             if row is None or busy:
                 self._finish(job, "error", "unknown device" if row is None else "an indexing job is running for this device")
                 return job.id
+        if auto:
+            self.events("StateChanged", {"state": "rescanning", "device_id": device_id})
         group = f"index-{job.id}"
         self.spark.sparkContext.setJobGroup(group, f"index {device_id}", True)
         try:
@@ -95,6 +111,13 @@ class Engine:
         job.state, job.status, job.message = "finished", status, message
         self.events("JobFinished", {"id": job.id, "status": status, "message": message, "device_id": job.device_id})
 
+    def report(self, job_id: int, line: str) -> None:
+        """A line that a scan has written: progress goes out once for each percent, other lines are dropped."""
+        job, found = self.jobs.get(job_id), PROGRESS.fullmatch(line.strip())
+        if job and found and job.state == "running" and (percent := max(0, min(100, int(found[1])))) != job.percent:
+            job.percent = percent
+            self.events("JobProgress", {"id": job_id, "percent": percent})
+
     def cancel_job(self, uid: int, job_id: int) -> bool:
         """Ends a running job of this user; others' jobs stay."""
         job = self.jobs.get(job_id)
@@ -105,14 +128,18 @@ class Engine:
         return True
 
     def search(self, uid: int, query: str = "", device_ids: list[str] | None = None, sort: str = "name", direction: str = "asc", offset: int = 0, limit: int = 256) -> tuple[DataFrame | None, int]:
-        """(a page, total of all hits); limit 0 gives no page. Far pages of everything go by the stored order."""
+        """(a page, total of all hits); limit 0 gives no page. Far pages of everything go by the stored order, which
+        the first page of a large catalogue writes ahead."""
+        self._ready(uid)
         hits = self.catalogue.search(uid, query, device_ids)
         total = hits.count()
         if limit <= 0:
             return None, total
-        far = offset >= 100_000 or (total >= 1_000_000 and offset >= total / 4)
-        if far and not query.split() and not device_ids:
-            return self.catalogue.page_over_devices(uid, sort, direction, offset, limit), total
+        if not query.split() and not device_ids:
+            if offset >= FAR or (total >= WARM and offset >= total / 4):
+                return self.catalogue.page_over_devices(uid, sort, direction, offset, limit), total
+            if offset == 0 and total >= WARM:
+                self.catalogue.global_order(uid, sort)
         return search.page(hits, sort, direction, offset, limit), total
 
     def pages(self, uid: int, query: str = "", **options) -> search.Pages:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import contains_all, flags, fnv32, token_trigrams, tokens, trigrams
+from ..functions.text import contains_all, display_time, flags, fnv32, grouped, token_trigrams, tokens, trigrams
 from ..shared import written
 
 KEYS = {"name": [], "path": ["parent_idx"], "size": ["size"], "mtime": ["mtime"]}
@@ -50,6 +50,18 @@ def search_rows(hits: DataFrame, *more: str) -> DataFrame:
     )
 
 
+def display_columns(rows: DataFrame, shown: DataFrame) -> DataFrame:
+    """Name, path, size and date of search rows as a list shows them, with their ``pos``.
+
+    ``shown`` has device_id, dir_id and the folders' paths that are known so far; others are ``…`` until they are.
+    """
+    folder = shown.select("device_id", F.coalesce("dir_id", F.lit(-1)).alias("_dir"), F.col("shown").alias("path"))
+    out = rows.withColumn("_dir", F.coalesce("dir_id", F.lit(-1))).join(folder, ["device_id", "_dir"], "left")
+    size = F.when(F.col("flags").bitwiseAND(1) != 0, "<DIR>").otherwise(grouped(F.col("size")))
+    time = F.when(F.col("mtime") < 0, "invalid-time").otherwise(display_time(F.col("mtime")))
+    return out.select("pos", "name", F.coalesce("path", F.lit("…")).alias("path"), size.alias("shown_size"), time.alias("shown_time"))
+
+
 def page(hits: DataFrame, sort: str = "name", direction: str = "asc", offset: int = 0, limit: int = 256, compat: bool = False, more: tuple[str, ...] = ()) -> DataFrame:
     """Rows ``offset`` to ``offset + limit`` of the order with ``pos``, a top-k plan; limit 0 gives no rows.
 

@@ -184,7 +184,7 @@ def entry_hash(spark, d):
 
 @query("snapshot_key", "SELECT DISTINCT p_brand AS device_id, '1000/' || sha1(p_brand) AS path FROM part")
 def snapshot_key(spark, d):
-    return parts(spark, d).select("uid", "device_id").distinct().select("device_id", F.concat_ws("/", F.col("uid").cast("string"), F.sha1("device_id")).alias("path"))
+    return parts(spark, d).select("uid", "device_id").distinct().select("device_id", store.snapshot_keys(F.col("uid"), F.col("device_id")).alias("path"))
 
 
 @query("device_totals", f"SELECT device_id, count(*) AS entries, count(*) FILTER (is_dir) AS dirs, CAST(sum(size) AS BIGINT) AS bytes FROM ({PARTS}) GROUP BY ROLLUP (device_id)")
@@ -192,9 +192,14 @@ def device_totals(spark, d):
     return devices.totals(parts(spark, d))
 
 
-@query("display_columns", f"""SELECT record_idx, CASE WHEN is_dir THEN '<DIR>' ELSE format('{{:,}}', size) END AS shown_size, strftime(to_timestamp(mtime) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS shown_time FROM ({PARTS})""")
+@query("display_columns", f"""{TREE_PATHS}, b2 AS (SELECT *, row_number() OVER (ORDER BY size, name_lc, record_idx) - 1 AS pos FROM b) SELECT CAST(pos AS INT) AS pos, name, CASE WHEN parent_idx IS NULL THEN '/mnt/tree' WHEN parent_idx % 7 = 0 THEN '…' ELSE '/mnt/tree' || p.path END AS path,
+ '<DIR>' AS shown_size, strftime(to_timestamp(mtime) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS shown_time FROM b2 LEFT JOIN p ON p.record_idx = b2.parent_idx WHERE pos < 500""")
 def display_columns(spark, d):
-    return parts(spark, d).select("record_idx", F.when(F.col("is_dir"), "<DIR>").otherwise(F.format_number("size", 0)).alias("shown_size"), text.display_time(F.col("mtime")).alias("shown_time"))
+    r = tree(spark, d)
+    rows = search.page(r, "size", limit=500)
+    there = spark.createDataFrame([("tree", True, "/mnt/tree", "Data")], KNOWN_DEVICE)
+    asked = rows.select("device_id", "dir_id").distinct().where("dir_id IS NULL OR dir_id % 7 <> 0")  # what has been resolved so far
+    return search.display_columns(rows, paths.resolve_directories(asked, paths.directory_paths(r), there, UID))
 
 
 def values(spark, rows, schema):
@@ -377,7 +382,7 @@ def ntfs_records(spark, d):
 @query("ext4_records", """WITH e AS (SELECT l_partkey + 2 AS ino, l_suppkey + 1 AS dir_ino, 'n' || l_orderkey AS name, l_orderkey * 10 + l_linenumber AS q FROM lineitem),
  l AS (SELECT ino, arg_max({'n': name, 'd': dir_ino}, {'q': q, 'd': dir_ino, 'n': name}) AS e FROM e GROUP BY ino)
  SELECT l.ino AS record_idx, CASE WHEN l.e.d <> 2 AND l.e.d IN (SELECT ino FROM e) THEN l.e.d END AS parent_idx, l.e.n AS name, coalesce(CAST(floor(p_retailprice) AS BIGINT), 0) AS size, coalesce(p_size::BIGINT, 0) AS mtime, coalesce(p_size % 2 = 0, false) AS is_dir, false AS is_symlink
- FROM l LEFT JOIN part ON p_partkey + 2 = l.ino AND p_size <> 7 UNION ALL SELECT 2, NULL, '', 0, 0, false, false""")
+ FROM l LEFT JOIN part ON p_partkey + 2 = l.ino AND p_size <> 7 UNION ALL SELECT 2, NULL, '', 0, 0, false, false WHERE 2 NOT IN (SELECT ino FROM e)""")
 def ext4_records(spark, d):
     c = F.col
     li, p = (spark.read.parquet(f"{d}/{n}.parquet") for n in ("lineitem", "part"))

@@ -15,7 +15,7 @@ import time
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -40,6 +40,11 @@ def snapshot_key(uid: int, device_id: str) -> str:
     return f"uid={uid}/{hashlib.sha1(device_id.encode()).hexdigest()}"
 
 
+def snapshot_keys(uid: Column, device_id: Column) -> Column:
+    """The same as a column, without the name of the first folder's key."""
+    return F.concat_ws("/", uid.cast("string"), F.sha1(device_id))
+
+
 class TakenError(Exception):
     """Another writer has taken the commit's number."""
 

@@ -112,10 +112,25 @@ def test_engine(spark, catalogue):
         e.forget_index(1, "d")
     assert e.jobs[e.start_index(1, "d", lambda: rows(spark))].status == "error"
     assert not e.cancel_job(2, 99) and e.cancel_job(1, 99) and not e.cancel_job(1, 99)
+    e.jobs[99].state = "running"
+    for line in ("X_PROGRESS 7", "noise", "X_PROGRESS 7", "X_PROGRESS 250"):
+        e.report(99, line)
+    assert e.jobs[99].percent == 100 and [n for n, _ in said[-2:]] == ["JobProgress"] * 2
     del e.jobs[99]
     assert e.forget_index(1, "d") and not e.forget_index(1, "d") and said[-1][0] == "DeviceIndexRemoved"
 
 
+def test_far_pages_by_the_stored_order(spark, catalogue, monkeypatch):
+    import lodestone.api as api
+
+    monkeypatch.setattr(api, "FAR", 3)
+    monkeypatch.setattr(api, "WARM", 4)
+    catalogue.write(rows(spark), 1, "d")
+    e = Engine(spark, catalogue, lambda: spark.createDataFrame([], KNOWN))
+    every = [r.name for o in range(4) for r in e.search(1, "", sort="size", direction="desc", offset=o, limit=1)[0].collect()]
+    assert every == ["b.txt", "é.md", "A.txt", "Docs"]
+
+
 ITEM = "uid long, device_id string, seq long, name string, handle_hex string, parent_path string, size long, mtime long, mode int"
 HANDLE = "0400000001000000aabbccdd"
 

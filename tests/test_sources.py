@@ -7,9 +7,11 @@ import struct
 import subprocess
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.operators import filesystems
-from lodestone.sources import images, recordfiles
+from lodestone.sources import images, machine, recordfiles
+from lodestone.streaming import watch
 
 RECORDS = [
     {"name": "", "parent_idx": None, "size": 0, "mtime": 0, "is_dir": True, "is_symlink": False}, {"name": "Café.txt", "parent_idx": 0, "size": 7, "mtime": 9, "is_dir": False, "is_symlink": False},
@@ -196,3 +198,44 @@ def test_ext4_image(spark, tmp_path, options):
     ids = {r.record_idx: r for r in got}
     inner = next(r for r in got if r.name == "e1" and ids[r.parent_idx].name == "d1")
     assert ids[inner.parent_idx].parent_idx is None
+
+
+def event(mask, *records):
+    body = b"".join(records)
+    return struct.pack("<IBBHQii", 24 + len(body), 3, 0, 24, mask, -1, 0) + body
+
+
+def named(name, handle=b"abcd", kind=2, cut=0):
+    body = b"FSIDFSID" + struct.pack("<Ii", len(handle), 1) + handle + name + b"\0"
+    size = 4 + len(body) - cut
+    return struct.pack("<BBH", kind, 0, size) + body[: len(body) - cut]
+
+
+def test_watch_events(spark):
+    whole = b"FSIDFSID".hex()
+    handle = (struct.pack("<Ii", 4, 1) + b"abcd").hex()
+    data = event(0x100, named(b"new.txt")) + event(0x4000) + event(2, named(b"x", kind=1)) + event(8, named(b"a"), named(b"\xff"))
+    assert machine.watch_events(data) == [(False, whole, handle, "new.txt", 256), (True, "", "", "", 0x4000), (False, "", "", "", 2), (False, whole, handle, "a", 8), (False, whole, handle, "\ufffd", 8)]
+    assert machine.watch_events(data[:30]) == [] and machine.watch_events(event(1, named(b"x", cut=6))) == [(False, "", "", "", 1)]
+    torn = event(1, struct.pack("<BBH", 2, 0, 999))
+    assert machine.watch_events(torn + torn[:10]) == [(False, "", "", "", 1)]
+    df = spark.createDataFrame([(1, "d", data), (2, "e", None)], "uid long, device_id string, data binary").withColumn("ts", F.current_timestamp())
+    got = machine.decoded_events(df).collect()
+    assert len(got) == 5 and {r.uid for r in got} == {1}
+    batch = watch.tokens_of(machine.decoded_events(df)).collect()
+    assert len(batch) == 1 and batch[0].overflow and [t.name for t in batch[0].touched] == ["a", "new.txt", "\ufffd"]
+
+
+def test_machine_sources(spark, tmp_path):
+    (tmp_path / "node").write_bytes(b"")
+    for folder, name in (("p", "AB-1"), ("u", "U2"), ("u", "U1")):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        (tmp_path / folder / name).symlink_to(tmp_path / "node")
+    (tmp_path / "u" / "broken").symlink_to(tmp_path / "nothing")
+    node = str(tmp_path / "node")
+    (tmp_path / "mountinfo").write_text(f"36 35 98:0 / /mnt/x rw - ext4 {node} rw\nbroken\n")
+    number = os.stat(node).st_rdev
+    (tmp_path / f"b{os.major(number)}:{os.minor(number)}").write_text("S:disk\nE:ID_FS_TYPE=EXT4\nE:ID_FS_LABEL=Data\n")
+    r = machine.known_devices(spark, f"{tmp_path}/p", f"{tmp_path}/u", f"{tmp_path}/mountinfo", str(tmp_path)).collect()
+    assert [(x.device_id, x.dev_node, x.uuid, x.fs_type, x.label, x.mounted, x.primary_mount_point) for x in r] == [("partuuid:ab-1", node, "u1", "ext4", "Data", True, "/mnt/x")]
+    assert machine.known_devices(spark, f"{tmp_path}/none", f"{tmp_path}/none", f"{tmp_path}/mountinfo").count() == 0
