@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import table
 
@@ -46,34 +47,32 @@ def parse(formatted: Column) -> Column:
 
 
 def format_chats(conversations: DataFrame) -> DataFrame:
-    """(conv_id, formatted, loss_spans): one row per conversation, its turns by (turn, role, text).
+    """(conv_id, formatted, loss_spans, loss_bytes): one row per conversation, its turns by (turn, role, text).
 
-    ``loss_spans`` holds start and length, in code points of ``formatted``, of each assistant content. Null text and
-    null role count as empty, null turns come first, rows with a null conv_id form one conversation, repeated rows
-    are repeated turns, extra columns are ignored and an empty table gives no rows.
+    ``loss_spans`` holds start and length, in code points of ``formatted``, of each assistant content, ``loss_bytes``
+    the same in bytes of UTF-8. Null text and null role count as empty, null turns come first, rows with a null
+    conv_id form one conversation, repeated rows are repeated turns, very long texts need no rule, extra columns are
+    ignored whatever their names and an empty table gives no rows. Places are running sums over the sorted turns, so
+    a conversation takes time in proportion to its length.
     """
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     source = lambda: F.array(F.struct("role", "text"))
     plain = render(F.col("role"), F.col("text"))
     content = F.when(parse(plain) == source(), F.col("text")).otherwise(escape(F.col("text")))
     rows = rows.withColumn("content", content)
-    grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "content"))).alias("turns"))
+    shown, head = render(F.col("role"), F.col("content")), F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))
+    order = ["turn", "role", "text", "content"]
+    before = Window.partitionBy("conv_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    at = lambda size: F.coalesce(F.sum(size(shown)).over(before), F.lit(0)) + size(head)
+    rows = rows.withColumn("start", at(F.length)).withColumn("start_byte", at(F.octet_length))  # the groups below need no further exchange
+    grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct(*order, "start", "start_byte"))).alias("turns"))
     parts = F.transform("turns", lambda t: render(t["role"], t["content"]))
-    shown = grouped.withColumn("formatted", F.array_join(parts, ""))
+    whole = grouped.withColumn("formatted", F.array_join(parts, ""))
     wanted = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    shown = shown.withColumn("formatted", F.when(parse(F.col("formatted")) == wanted, F.col("formatted")).otherwise(F.raise_error(F.lit("a conversation doesn't survive its round trip"))))
-    step = F.aggregate(
-        "turns",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans")),
-        lambda acc, t: F.struct(
-            (acc["at"] + F.length(render(t["role"], t["content"]))).alias("at"),
-            F.when(
-                t["role"] == "assistant",
-                F.array_append(acc["spans"], F.struct((acc["at"] + len(START) + F.length(escape_role(t["role"])) + 1).alias("start"), F.length(t["content"]).alias("length"))),
-            ).otherwise(acc["spans"]).alias("spans"),
-        ),
-    )
-    return shown.select("conv_id", "formatted", step["spans"].alias("loss_spans"))
+    whole = whole.withColumn("formatted", F.when(parse(F.col("formatted")) == wanted, F.col("formatted")).otherwise(F.raise_error(F.lit("a conversation doesn't survive its round trip"))))
+    said = F.filter("turns", lambda t: t["role"] == "assistant")
+    spans = lambda start, size: F.transform(said, lambda t: F.struct(t[start].cast("int").alias("start"), size(t["content"]).alias("length")))
+    return whole.select("conv_id", "formatted", spans("start", F.length).alias("loss_spans"), spans("start_byte", F.octet_length).alias("loss_bytes"))
 
 
 def op5_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +81,8 @@ def op5_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = spark.createDataFrame([(-1, 0, "user", trap), (-1, 1, "assistant", trap)], conversations.schema)
     out = format_chats(conversations.union(planted)).withColumn("turns", parse(F.col("formatted")))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["length"]))), "")
+    # Spans are cut out of the bytes, which needs no counting of characters.
+    loss = F.array_join(F.transform("loss_bytes", lambda s: unescape(F.substring(F.col("formatted").cast("binary"), s["start"] + 1, s["length"]).cast("string"))), "")
     return out.withColumn("loss", loss).select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
         F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),

@@ -12,6 +12,7 @@ __all__ = ["bounded_batches", "components", "extended", "new_path", "shared_dir"
 
 #: Vectors of a batch double as they grow, in the JVM and in each worker, outside the heap.
 BATCH_BYTES = "4m"
+SPLIT_EDGES = 5_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,18 +37,22 @@ def fingerprint(edges: DataFrame) -> tuple:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) with the smallest node of each connected component, for every node of an edge.
 
-    Alternates large-star and small-star steps, each a grouped minimum whose partial aggregation absorbs hubs, so
-    no task ever holds a component. Every step is a written table. Self-edges and null ends are dropped.
+    Alternates large-star and small-star steps, each a grouped minimum whose partial aggregation absorbs hubs. The
+    edges of a hub meet its minimum in a join; where there are more than ``SPLIT_EDGES`` edges, minima are written
+    first, as a join of two plain exchanges is what adaptive execution splits at hot keys. Every step is a written
+    table. Self-edges and null ends are dropped.
     """
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct()
     e = written(e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     state = fingerprint(e)
     while True:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        apart = written if state[0] > SPLIT_EDGES else lambda df, name: df
+        low = apart(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "low")
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("x"), F.col("m").alias("y")).where("x <> y").distinct()
         # Small star: every node points at its smallest smaller neighbour, and so do its other smaller neighbours.
-        least = large.groupBy("x").agg(F.min("y").alias("m"))
+        large = apart(large, "large")
+        least = apart(large.groupBy("x").agg(F.min("y").alias("m")), "least")
         small = (
             large.join(least, "x").where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y"))
             .union(least.select("x", F.col("m").alias("y"))).distinct()

@@ -198,7 +198,11 @@ def test_packed_sets():
     assert len(jaccard.unpacked_set(b"")) == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("split", [5_000_000, 0])
+def test_components(spark, monkeypatch, split):
+    import lodestone.llm.common as common
+
+    monkeypatch.setattr(common, "SPLIT_EDGES", split)
     rng = random.Random(1)
     edges = [(rng.randint(0, 80), rng.randint(0, 80)) for _ in range(50)] + [(i, i + 1) for i in range(100, 140)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -270,9 +274,25 @@ def test_chat_round_trip(spark):
         assert [(t.role, t.text) for t in out[c].turns] == want
         raw = [out[c].formatted[s.start : s.start + s.length] for s in out[c].loss_spans]
         assert [re.sub(r"<\\(\\*)\|", r"<\1|", x) for x in raw] == [x for r, x in want if r == "assistant"]
+        bytes_ = out[c].formatted.encode()
+        assert [bytes_[s.start : s.start + s.length].decode() for s in out[c].loss_bytes] == raw
     assert None in out and chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_chat_odd_rows(spark, tmp_path):
+    """Repeated and very many turns, very long texts, columns of other tables."""
+    many = [(1, k, ("user", "assistant")[k % 2], f"é{k}<|im_end|>") for k in range(20_000)]
+    rows = many + [(2, 0, "assistant", "same"), (2, 0, "assistant", "same"), (2, None, None, "x" * 3_000_000), (3, 1, "assistant", None)]
+    df = spark.createDataFrame([(*r, "c", 1) for r in rows], "conv_id long, turn long, role string, text string, content string, start int")
+    df.write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r for r in chat.op5_chat_round_trip(spark, str(tmp_path)).collect()}
+    for c in (1, 2, 3):
+        own = sorted(((r[1] is not None, r[1] or 0, r[2] or "", r[3] or "") for r in rows if r[0] == c))
+        loss = "".join(x for *_, role, x in own if role == "assistant")
+        assert got[c].n_turns == len(own) and got[c].turns_sha256 == hashlib.sha256("".join(f"{role}\n{x}\n" for *_, role, x in own).encode()).hexdigest()
+        assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
 def test_warc(spark):
     big = "é" * 60
     rows = [(3, "u3", big), (1, "u1", big), (2, "u\r\n2", "small"), (4, None, "small"), (5, "u5", None), (6, "u6", big + "x"), (None, "n", big), (2**63 - 1, "max", big + "x")]
