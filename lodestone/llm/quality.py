@@ -277,15 +277,16 @@ def quality(docs: DataFrame) -> DataFrame:
 
     Null text counts as empty: no words, so it fails the base rules. Null or unknown languages take the band of the
     script with most letters, texts without letters the band ``other``. Repeated rows get the same verdict; columns
-    with the new names are replaced; an empty table gives no rows. Texts are measured twice, first for the medians of
-    the bands, so that they needn't be written between.
+    with the new names are replaced; an empty table gives no rows. Texts are measured once: the rows are written with
+    their measures, from which the medians of the bands come.
     """
     docs = docs.drop(*NEW)
     aside = {}  # columns of docs whose names the measures need, under names that nothing has
     for c in (c for c in docs.columns if c.lower() in ("n_tokens", "band")):
         aside[c] = next(n for k in count() if (n := f"{c}_{k}") not in docs.columns)
     docs = docs.withColumnsRenamed(aside)
-    return judged(measures(docs, docs.columns), centres(measures(docs, []))).withColumnsRenamed({v: k for k, v in aside.items()})
+    measured = written(measures(docs, docs.columns), "measures")
+    return judged(measured, centres(measured)).withColumnsRenamed({v: k for k, v in aside.items()})
 
 
 def op9_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
