@@ -587,7 +587,7 @@ def open_pairs(runs: DataFrame, found: DataFrame, sketches: DataFrame) -> DataFr
     # The smallest document within a few runs names the neighbourhood, so that few blocks meet in one run.
     group = runs.select(F.col("doc").alias("node"), F.col("doc").alias("group")).distinct()
     for _ in range(2):
-        near = runs.join(group, runs["doc"] == group["node"]).groupBy("run").agg(F.min("group").alias("low"))
+        near = written(runs.join(group, runs["doc"] == group["node"]).groupBy("run").agg(F.min("group").alias("low")), "near")
         group = runs.join(near, "run").groupBy(F.col("doc").alias("node")).agg(F.min("low").alias("group"))
     docs = docs.join(group, "node")
     keys = ["group", "class", "bin"]
