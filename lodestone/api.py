@@ -166,7 +166,8 @@ class Engine:
     def apply_touches(self, uid: int, device_id: str, batch: DataFrame) -> bool:
         """Applies a batch where all of it is safe; False asks for a rescan."""
         batch = batch.where((F.col("uid") == uid) & (F.col("device_id") == device_id))
-        changed, reasons = watch.upsert(self.catalogue.records(uid, [device_id]), batch, self.known().select("device_id", "primary_mount_point"))
+        there = self.known().select("device_id", "primary_mount_point")
+        changed, reasons = watch.upsert(self.catalogue.records(uid, [device_id]), batch, there, folders=self.catalogue.dirs(uid, [device_id]))
         counts = watch.batch_counts(reasons).first()
         if counts is None or counts["unsafe"] or not counts["updated"]:
             return False

@@ -417,11 +417,10 @@ def touch_kinds(spark, d):
     return watch.classified(t).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-def batch_of(spark, d):
-    """Touches of every third order for the first user; handles stand for the folders of two users."""
-    r = tree(spark, d)
-    folders = paths.directory_paths(r).select(F.col("dir_id").alias("parent_idx"), F.concat(F.lit("/mnt/./tree/"), "path").alias("parent_path"))
-    return r.where("name_lc LIKE 'order-%' AND record_idx % 3 = 1").join(folders, "parent_idx").select(
+def batch_of(r, folders):
+    """Touches of every third order of the first user; handles stand for the folders of two users."""
+    own = folders.where(F.col("uid") == UID).select(F.col("dir_id").alias("parent_idx"), F.concat(F.lit("/mnt/./tree/"), "path").alias("parent_path"))
+    return r.where((F.col("uid") == UID) & F.expr("name_lc LIKE 'order-%' AND record_idx % 3 = 1")).join(own, "parent_idx").select(
         "uid", "device_id", F.col("record_idx").alias("seq"), "name", F.lit("0400000001000000aabbccdd").alias("handle_hex"), "parent_path", (F.col("size") + 1).alias("size"), (F.col("mtime") + 60).alias("mtime"), F.lit(0x81A4).alias("mode"),
     )
 
@@ -439,48 +438,54 @@ def lost_too(batch):
     return batch.union(batch.orderBy("seq").limit(1).withColumn("name", F.lit("no such name")))
 
 
-def changed(r, batch, spark, partial=False):
-    return watch.upsert(r, batch, mounted(spark), partial)[0].select("uid", "record_idx", "size", "mtime", "is_dir")
+def changed(spark, d, partial=False, lost=False):
+    r = two_users(tree(spark, d))
+    folders = paths.directory_paths(r)
+    batch = batch_of(r, folders)
+    out, _ = watch.upsert(r, lost_too(batch) if lost else batch, mounted(spark), partial, folders)
+    return out.select("uid", "record_idx", "size", "mtime", "is_dir")
 
 
 @query("upsert_safe", CHANGED.format(hit="c.record_idx IS NOT NULL AND uid = 1000"))
 def upsert_safe(spark, d):
-    return changed(two_users(tree(spark, d)), batch_of(spark, d), spark)
+    return changed(spark, d)
 
 
 @query("upsert_unsafe", CHANGED.format(hit="false"))
 def upsert_unsafe(spark, d):
-    return changed(two_users(tree(spark, d)), lost_too(batch_of(spark, d)), spark)
+    return changed(spark, d, lost=True)
 
 
 @query("upsert_partial", CHANGED.format(hit="c.record_idx IS NOT NULL AND uid = 1000"))
 def upsert_partial(spark, d):
-    return changed(two_users(tree(spark, d)), lost_too(batch_of(spark, d)), spark, True)
+    return changed(spark, d, True, True)
 
 
 KINDS = """SELECT o_orderkey AS seq, CASE o_orderkey % 9 WHEN 0 THEN 'generic' WHEN 1 THEN 'malformed' WHEN 2 THEN 'bad handle' WHEN 3 THEN 'outside mount' WHEN 4 THEN 'unknown dir' WHEN 5 THEN 'unknown name' WHEN 6 THEN 'vanished' WHEN 7 THEN 'bad handle' ELSE '' END AS reason FROM orders"""
 
 
-def odd_batch(spark, d):
+def judged_odd_batch(spark, d):
     """Every order once, with each thing that can be wrong with an item in turn."""
     r, k = tree(spark, d), F.col("seq") % 9
-    folders = paths.directory_paths(r).select(F.col("dir_id").alias("parent_idx"), F.concat(F.lit("/mnt/tree"), "path").alias("p"))
-    o = r.where("name_lc LIKE 'order-%'").join(folders, "parent_idx").withColumn("seq", F.col("record_idx") - 10_000_000_000)
+    folders = paths.directory_paths(r)
+    own = folders.select(F.col("dir_id").alias("parent_idx"), F.concat(F.lit("/mnt/tree"), "path").alias("p"))
+    o = r.where("name_lc LIKE 'order-%'").join(own, "parent_idx").withColumn("seq", F.col("record_idx") - 10_000_000_000)
     name = F.when(k == 0, "*").when(k == 1, "").when(k == 5, "nothing").otherwise(F.col("name"))
     handle = F.when(k == 2, "0500000001000000aabbccdd").otherwise("0400000001000000aabbccdd")
     place = F.when(k == 3, "/mnt/tree2/x").when(k == 4, "/mnt/tree/no such folder").when(k == 7, None).otherwise(F.col("p"))
-    return o.select("uid", "device_id", "seq", name.alias("name"), handle.alias("handle_hex"), place.alias("parent_path"), "size", "mtime", F.when(k != 6, 0x41ED).alias("mode"))
+    batch = o.select("uid", "device_id", "seq", name.alias("name"), handle.alias("handle_hex"), place.alias("parent_path"), "size", "mtime", F.when(k != 6, 0x41ED).alias("mode"))
+    return watch.judged(r, batch, mounted(spark), folders)
 
 
 @query("unsafe_reasons", KINDS)
 def unsafe_reasons(spark, d):
-    return watch.judged(tree(spark, d), odd_batch(spark, d), mounted(spark)).select("seq", "reason")
+    return judged_odd_batch(spark, d).select("seq", "reason")
 
 
 @query("batch_counts", f"""SELECT count(*) AS touched, count(*) FILTER (reason = 'generic') AS generic, count(*) FILTER (reason = 'malformed') AS malformed, count(*) FILTER (reason NOT IN ('generic', 'malformed')) AS structured,
  count(*) FILTER (reason = '') AS updated, count(*) FILTER (reason <> '') AS unsafe FROM ({KINDS})""")
 def batch_counts(spark, d):
-    return watch.batch_counts(watch.judged(tree(spark, d), odd_batch(spark, d), mounted(spark))).drop("uid", "device_id")
+    return watch.batch_counts(judged_odd_batch(spark, d)).drop("uid", "device_id")
 
 
 @query("event_tokens", f"""WITH e AS ({SESSION.format(k="user_id", g="2 HOURS")}), t AS (SELECT user_id, s, event_type AS name, bit_or(CAST(length(event_type) % 4 + 1 AS BIGINT)) AS mask FROM e WHERE event_type NOT IN ('click', 'view') GROUP BY ALL),

@@ -56,9 +56,11 @@ def tokens_of(events: DataFrame, gap: str = "250 milliseconds", watermark: str |
 TYPE_BITS, FOLDER, LINK, HANDLE_HEAD = 0xF000, 0x4000, 0xA000, 8
 
 
-def judged(records: DataFrame, batch: DataFrame, mounts: DataFrame) -> DataFrame:
+def judged(records: DataFrame, batch: DataFrame, mounts: DataFrame, folders: DataFrame | None = None) -> DataFrame:
     """``batch`` with ``reason`` (empty where an item is safe) and ``target``, the record it updates.
 
+    ``folders`` are the paths of the records' folders, where they are known already.
+
     Items have uid, device_id, seq, name, handle_hex, parent_path (what the handle stands for, null where it can't be
     opened), and size, mtime and mode of the file (mode null where it is gone). Reasons, in the order in which they
     are looked for: generic, malformed, not mounted, bad handle, outside mount, unknown dir, unknown name, vanished.
@@ -69,7 +71,7 @@ def judged(records: DataFrame, batch: DataFrame, mounts: DataFrame) -> DataFrame
     whole = F.octet_length(raw) >= HANDLE_HEAD + F.when(F.octet_length(raw) >= HANDLE_HEAD, little(1) + little(2) + little(3) + little(4)).otherwise(0)
     items = batch.join(mounts.select("device_id", F.nullif(F.trim("primary_mount_point"), F.lit("")).alias("mount")), "device_id", "left")
     items = items.withColumn("inside", path_under_mount(F.col("parent_path"), F.col("mount"))).withColumn("whole", F.coalesce(whole, F.lit(False)))
-    folders = directory_paths(records)
+    folders = directory_paths(records) if folders is None else folders
     # The root's children have no parent, or the root's own record.
     top = records.select(*own).distinct().select(*own, F.lit("/").alias("path"), F.lit(None).cast("long").alias("dir_id"))
     ids = directory_ids(folders).where("path <> '/'").unionByName(folders.where("path = '/'").select(*own, "path", "dir_id")).unionByName(top)
@@ -94,14 +96,14 @@ def batch_counts(reasons: DataFrame) -> DataFrame:
     )
 
 
-def upsert(records: DataFrame, batch: DataFrame, mounts: DataFrame, partial: bool = False) -> tuple[DataFrame, DataFrame]:
+def upsert(records: DataFrame, batch: DataFrame, mounts: DataFrame, partial: bool = False, folders: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(records after the batch, judged items). Size, time and both kinds change, of records that are known.
 
     One unsafe item leaves its user's device as it was, not others; ``partial`` applies the safe items all the same.
     Of records with equal parent and name the first is changed, by the item with the largest ``seq``. Ranks by size
     and time no longer hold for changed devices; ``store`` writes them anew with the next generation.
     """
-    reasons = written(judged(records, batch, mounts), "judged")
+    reasons = written(judged(records, batch, mounts, folders), "judged")
     safe = reasons.where("reason = ''")
     if not partial:
         safe = safe.join(reasons.where("reason <> ''").select("uid", "device_id").distinct(), ["uid", "device_id"], "left_anti")
