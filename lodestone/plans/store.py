@@ -1,7 +1,8 @@
 """The persisted catalogue: generations of devices, their orders and postings, and a log of commits.
 
-``root/data/uid=U/<sha1 of the device>/<generation>-<unique>`` holds ``records`` (sorted by name), ``ranks`` (one row
-a record with its place by every key), ``dirs`` (paths) and ``postings`` (sorted by trigram). A commit is one small
+``root/data/uid=U/<sha1 of the device>/<generation>-<unique>`` holds ``records`` (sorted by name), ``order_<key>``
+(the records with their places by each key, in that order, so that a page is a range of one table), ``dirs`` (paths)
+and ``postings`` (sorted by trigram). A commit is one small
 file in ``root/log``, put there under the next free number by a rename that fails where the number is taken, so
 readers see a whole generation or none, and of two writers one starts again. The latest commit of a device says what
 it is; the number of commits is the epoch that tells readers when their cached orders are stale.
@@ -22,12 +23,14 @@ from pyspark.sql.window import Window
 from ..functions.text import ascii_lower
 from ..operators import search
 from ..operators.paths import directory_paths
+from ..shared import written
 
 FORMAT = 5
 #: How many records and bytes of names one device may have.
 MAX_RECORDS, MAX_NAME_BYTES = 500_000_000, 8 << 30
 RECORD = "uid long, device_id string, record_idx long, parent_idx long, name string, name_lc string, size long, mtime long, is_dir boolean, is_symlink boolean"
-RANKS = "uid long, device_id string, record_idx long, " + ", ".join(f"rank_{k} long" for k in search.KEYS)
+ORDER = "uid long, device_id string, record_idx long, parent_idx long, name string, size long, mtime long, is_dir boolean, is_symlink boolean, rank long"
+TABLES = ("records", "dirs", "postings", *(f"order_{k}" for k in search.KEYS))
 DIRS = "uid long, device_id string, dir_id long, path string"
 POSTINGS = "trigram string, uid long, device_id string, record_idx long"
 COMMIT = (
@@ -138,9 +141,10 @@ class Catalogue:
         return generation
 
     def _accelerate(self, own: DataFrame, path: str) -> None:
-        keys = ["uid", "device_id", "record_idx"]
-        ranks = search.ranked(own.drop("name").withColumn("name", F.lit(""))).select(*keys, *[f"rank_{k}" for k in search.KEYS])
-        ranks.repartitionByRange("rank_name").sortWithinPartitions("rank_name").write.mode("overwrite").parquet(f"{path}/ranks")
+        ranked = written(search.ranked(own), "ranked")
+        for key in search.KEYS:
+            rows = ranked.select("uid", "device_id", "record_idx", "parent_idx", "name", "size", "mtime", "is_dir", "is_symlink", F.col(f"rank_{key}").alias("rank"))
+            rows.repartitionByRange("rank").sortWithinPartitions("rank").write.mode("overwrite").parquet(f"{path}/order_{key}")
         directory_paths(own).write.mode("overwrite").parquet(f"{path}/dirs")
         search.postings(own).write.mode("overwrite").parquet(f"{path}/postings")
 
@@ -179,7 +183,7 @@ class Catalogue:
         files, path, _ = self._files()
         good, bad = [], []
         for row in sorted(self.latest(uid).collect(), key=lambda r: r["device_id"]):  # a row for each device of a user
-            whole = all(files.util().exists(path(f"{row['path']}/{t}/_SUCCESS")) for t in ("records", "ranks", "dirs", "postings"))
+            whole = all(files.util().exists(path(f"{row['path']}/{t}/_SUCCESS")) for t in TABLES)
             (good if whole else bad).append(row if whole else row["device_id"])
         return good, bad
 
@@ -191,8 +195,9 @@ class Catalogue:
         """Records of a user's devices that are whole; other devices' files aren't opened."""
         return self._read(uid, "records", RECORD, devices)
 
-    def ranks(self, uid: int, devices: list[str] | None = None) -> DataFrame:
-        return self._read(uid, "ranks", RANKS, devices)
+    def order(self, uid: int, key: str = "name", devices: list[str] | None = None) -> DataFrame:
+        """Records with ``rank``, their place within their device by the key."""
+        return self._read(uid, f"order_{search.sort_key(key)}", ORDER, devices)
 
     def dirs(self, uid: int, devices: list[str] | None = None) -> DataFrame:
         return self._read(uid, "dirs", DIRS, devices)
@@ -201,12 +206,12 @@ class Catalogue:
         return self._read(uid, "postings", POSTINGS, devices)
 
     def page_by_stored_rank(self, uid: int, device_id: str, key: str = "name", direction: str = "asc", offset: int = 0, limit: int = 256) -> DataFrame:
-        """A page of one device in any depth: its ranks are a range that the scan of the orders takes."""
-        n, rank = self._one(uid, device_id)["entry_count"], F.col(f"rank_{search.sort_key(key)}")
+        """A page of one device in any depth: a range of the key's order, which the scan's pushed filter finds."""
+        n, rank = self._one(uid, device_id)["entry_count"], F.col("rank")
         down = (direction or "").lower() == "desc"
         low, high = (n - offset - limit, n - offset) if down else (offset, offset + limit)
-        hits = self.ranks(uid, [device_id]).where((rank >= low) & (rank < high)).select("record_idx", (n - 1 - rank if down else rank).alias("pos"))
-        return search.search_rows(self.records(uid, [device_id]).join(F.broadcast(hits) if limit <= 100_000 else hits, "record_idx"), "pos")
+        hits = self.order(uid, key, [device_id]).where((rank >= low) & (rank < high))
+        return search.search_rows(hits.withColumn("pos", n - 1 - rank if down else rank), "pos")
 
     def global_order(self, uid: int, key: str) -> DataFrame:
         """(global_rank, device_id, record_idx, …) over a user's devices, written once for each epoch."""
