@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from .bpe import library_pieces, slices
 from .common import bounded_batches, new_path, table
 
-BLOCK, LANES = 4096, 1024
+BLOCK, LEAST_BLOCK, LANES = 4096, 1024, 1280
+SEGMENT_IDS = 8 << 20
 CHUNK = 32  # ids of a block after which the models learn from them
 END_ID = 2
 MAGIC = b"LMIX2\0\0\0"
@@ -222,16 +223,27 @@ def decode_lanes(payloads: list[bytes], steps: int) -> np.ndarray:
     return out
 
 
+def groups(lanes: int) -> list[tuple[int, int]]:
+    """Lanes that are coded together: as few groups of at most LANES as there can be, of about equal size."""
+    n = -(-lanes // LANES)
+    edges = [lanes * k // n for k in range(n + 1)] if n else []
+    return list(zip(edges[:-1], edges[1:], strict=True))
+
+
 def encode_segment(ids: np.ndarray) -> bytes:
-    """Blocks of BLOCK ids, the last one shorter, with their lengths and checksums in front."""
+    """Blocks of equal length, the last one shorter, with their lengths and checksums in front.
+
+    A block has BLOCK ids, and down to LEAST_BLOCK where the segment is small, as few lanes cost as much as many.
+    """
     n = len(ids)
     if n and int(ids.max()) >= 65536:
         raise ValueError("ids must be below 65536")
-    lanes, steps = -(-n // BLOCK), min(BLOCK, n)
+    steps = min(n, BLOCK, max(LEAST_BLOCK, -(-n // (LANES // 2))))
+    lanes = -(-n // steps) if n else 0
     padded = np.zeros(lanes * steps, np.uint16)
     padded[:n] = ids
     rows = padded.reshape(lanes, steps) if n else padded.reshape(0, 0)
-    parts = [p for k in range(0, lanes, LANES) for p in encode_lanes(rows[k : k + LANES])]
+    parts = [p for a, b in groups(lanes) for p in encode_lanes(rows[a:b])]
     heads = []
     for k, p in enumerate(parts):
         block = ids[k * steps : (k + 1) * steps]
@@ -253,9 +265,9 @@ def decode_segment(data: bytes) -> np.ndarray:
             raise ValueError("a block's payload is damaged")
     out = np.empty(sum(h[0] for h in heads), "<u4")
     filled = 0
-    for k in range(0, lanes, LANES):
-        rows = decode_lanes(payloads[k : k + LANES], steps)
-        for row, (n, _, _, crc) in zip(rows, heads[k : k + LANES], strict=True):
+    for a, b in groups(lanes):
+        rows = decode_lanes(payloads[a:b], steps)
+        for row, (n, _, _, crc) in zip(rows, heads[a:b], strict=True):
             out[filled : filled + n] = row[:n]
             if zlib.crc32(out[filled : filled + n]) != crc:
                 raise ValueError("a block decodes to other ids")
@@ -273,13 +285,12 @@ def write_ids(docs: DataFrame, path: str) -> None:
 
     Null text is empty. Equal doc_ids follow each other in the order of their texts' hashes; a null doc_id comes
     first, and is kept as null. Other columns are ignored. A document is never split, however long: a segment ends
-    with the document that reaches ``BLOCK * LANES`` ids. An empty table writes an empty file.
+    with the document that reaches ``SEGMENT_IDS`` ids. An empty table writes an empty file.
     """
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     # The last key only parts rows that are equal in all others, so that many copies of one row don't meet in a task.
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("m"))
     ordered = keyed.repartitionByRange(n, "doc_id", "h", "m").sortWithinPartitions("doc_id", "h", "m").select("doc_id", "text", F.spark_partition_id().alias("part"))
-    limit = BLOCK * LANES
 
     def run(batches):
         pieces, part, segment, begin = library_pieces(), 0, 0, 0
@@ -301,7 +312,7 @@ def write_ids(docs: DataFrame, path: str) -> None:
                 docs_.append(doc)
                 counts.append(end - at)
                 size, at = size + end - at, end
-                if size >= limit:
+                if size >= SEGMENT_IDS:
                     yield packed()
         if docs_:
             yield packed()
