@@ -46,6 +46,21 @@ def test_bpe_equals_library(spark, docs, no_docs):
     assert bpe.round_trip(no_docs).count() == 0
 
 
+def test_operators_leave_the_session_alone(spark, docs):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "7m")
+    try:
+        bpe.round_trip(docs).count()
+        quality.quality(docs).count()
+        secrets.scan(docs, secrets.trained(spark)).count()
+        decontaminate.decontaminate(docs, docs.select(F.col("doc_id").alias("item_id"), "text").limit(2)).count()
+        jaccard.similarity_classes(docs).count()
+        assert spark.conf.get(name) == "7m"
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_mixing_round_trip(spark, docs, no_docs, monkeypatch):
     for n in (0, 1, 31, 1024, 1025, 4096, 4097, 700_000):
         for top in (2, 50257, 65536):
