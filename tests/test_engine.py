@@ -2,6 +2,8 @@
 
 import json
 import random
+import subprocess
+import sys
 import time
 from decimal import Decimal
 
@@ -29,6 +31,21 @@ def rows(spark, data=ROWS):
     return spark.createDataFrame(data, PLAIN)
 
 
+def test_shared_folder_of_a_session_without_one():
+    """A local session that names no folder gets one, the same each time, and its settings stay as they are."""
+    code = """
+from pyspark.sql import SparkSession
+from lodestone.shared import shared_dir, written
+s = SparkSession.builder.master("local").config("spark.ui.enabled", "false").getOrCreate()
+a = shared_dir(s)
+assert a == shared_dir(s) and a.startswith("file://") and s.conf.get("spark.checkpoint.dir", None) is None
+assert written(s.range(3), "t").count() == 3
+print("fine")
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
+    assert out.stdout.strip().endswith("fine"), out.stderr[-2000:]
+
+
 def test_generations(spark, catalogue):
     assert catalogue.epoch() == 0 and catalogue.latest(1).count() == 0 and catalogue.records(1).count() == 0
     assert catalogue.write(rows(spark), 1, "d", "ext4", "Lab", "u", 77) == 1
