@@ -29,6 +29,7 @@ VOCABULARY = "byte_bpe_50k"
 LEAF = 4096
 CACHE_ENTRIES = 250_000
 SLICE_CHARS = 3_000_000
+SLAB_BYTES = 16_000_000
 SPECIAL = "<|endoftext|>"
 #: The code points with Unicode's White_Space property.
 WHITE = "\t-\r \x85\xa0  -     　"
@@ -163,6 +164,168 @@ def library_pieces(name: str = VOCABULARY) -> Pieces:
     return Pieces(encode, encode, lengths)
 
 
+class Words:
+    """Ids of many texts by the tokenizers library, whose words are found in Arrow and encoded once.
+
+    A text is cut at its spaces; a key is what follows a space, or a space and then a text's first word. A key of
+    letters, with a mark after them, a line's end and more letters, is parts that the tokenizer always cuts: words and
+    single bytes. New words go to the library's model many at a time without its search for pre-tokens, and the bytes of
+    each id (``lengths``) deal the ids out again. All other keys, and texts in which a space doesn't always start a
+    piece, take the way of ``Pieces``. Up to ``KEYS`` of them or ``KEY_IDS`` are remembered.
+    """
+
+    KEYS, KEY_IDS, JOINED = 700_000, 16_000_000, 128
+    #: Letters in every version of Unicode, of which no merge joins one with a space or a line's end after it.
+    LETTERS = "A-Za-zÀ-ÖØ-öø-ɏЀ-ҁҊ-ԯ"
+    PARTS = f"^(?P<bare> ?)(?P<a>[{LETTERS}]+)(?P<b>[.,;:!?]?)(?P<c>\\n?)(?:(?P<d>[{LETTERS}]+)(?P<e>[.,;:!?]?))?$"
+    SINGLE = pa.array(["", *".,;:!?\n"])
+
+    def __init__(self, library, pieces: Pieces):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.model = Tokenizer(library.model)
+        self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.pieces, self.lengths = pieces, pieces.lengths
+        self.singles = [pieces.encode_one(x) if x else [] for x in self.SINGLE.to_pylist()]
+        self.uneven = f"[{WHITE}] | \\n?$"
+        self.reset()
+
+    def reset(self) -> None:
+        self.keys, self.parts = Known(), Known()
+        self.keys.add(pa.array(["", " "]), np.zeros(0), np.zeros(2))  # before a text that begins with a space, or is empty
+        self.parts.add(self.SINGLE, np.concatenate(self.singles), np.array(list(map(len, self.singles))))
+
+    def model_ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, how many each has); nothing that the tokenizer merges goes over a text's end."""
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        data, parts, counts = memoryview(texts.buffers()[2]), [], []
+        for k in range(0, len(texts), self.JOINED):
+            some = offsets[k : k + self.JOINED + 1]
+            joined = str(data[some[0] : some[-1]], "utf-8")
+            ids = np.array(self.model.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+            ends, wanted = np.cumsum(self.lengths[ids]), some[1:] - some[0]
+            at = np.searchsorted(ends, wanted)
+            if len(ids) == 0 or ends[-1] != wanted[-1] or not (ends[at] == wanted).all():
+                raise ValueError("a token goes over the end of a piece")
+            parts.append(ids)
+            counts.append(np.diff(at, prepend=-1))
+        return np.concatenate(parts), np.concatenate(counts)
+
+    def add_parts(self, new: pa.Array) -> np.ndarray:
+        spaced = pc.starts_with(new, " ")
+        places = np.empty(len(new), np.int32)
+        for here, over in ((spaced, 0), (pc.invert(spaced), 1)):
+            some = new.filter(here)
+            if len(some):
+                # A line's end parts words without a space, and is an id of its own.
+                ids, sizes = self.model_ids(pc.binary_join_element_wise(some, "\n", "") if over else some)
+                if over:
+                    keep = np.ones(len(ids), bool)
+                    keep[np.cumsum(sizes) - 1] = False
+                    ids, sizes = ids[keep], sizes - 1
+                places[here.to_numpy(zero_copy_only=False)] = self.parts.add(some, ids, sizes)
+        return places
+
+    def add_keys(self, new: pa.Array) -> np.ndarray:
+        places = np.empty(len(new), np.int32)
+        found = pc.extract_regex(new, self.PARTS)
+        plain = pc.is_valid(found)
+        some, others = new.filter(plain), new.filter(pc.invert(plain))
+        if len(some):
+            bare, a, b, c, d, e = found.filter(plain).flatten()
+            single = lambda x: pc.index_in(x, self.SINGLE).to_numpy()
+            space = pc.if_else(pc.equal(bare, " "), "", " ")
+            first = self.parts.codes_of(pc.binary_join_element_wise(space, a, ""), self.add_parts)
+            has_d = pc.not_equal(d, "")
+            second = np.zeros(len(d), np.int32)
+            second[has_d.to_numpy(zero_copy_only=False)] = self.parts.codes_of(d.filter(has_d), self.add_parts)
+            ids, ends = self.parts.ids_of(np.stack([first, single(b), single(c), second, single(e)], 1).ravel())
+            places[plain.to_numpy(zero_copy_only=False)] = self.keys.add(some, ids, np.diff(ends[4::5], prepend=0))
+        if len(others):
+            places[~plain.to_numpy(zero_copy_only=False)] = self.keys.add(others, *self.pieces.encode_new(others.to_pylist()))
+        return places
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's ids end); ``end`` follows each text, and null is empty."""
+        if max(len(self.keys), len(self.parts)) > self.KEYS or max(len(self.keys.ids), len(self.parts.ids)) > self.KEY_IDS:
+            self.reset()
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        apart = pc.match_substring_regex(texts, self.uneven)
+        odd = np.flatnonzero(apart.to_numpy(zero_copy_only=False))
+        lists = pc.split_pattern(pc.if_else(apart, "", texts), " ")
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        n, words = len(texts), lists.values.slice(int(offsets[0]), int(offsets[-1] - offsets[0]))
+        offsets -= offsets[0]
+        first = words.take(pa.array(offsets[:-1]))
+        codes = self.keys.codes_of(pa.concat_arrays([words, pc.binary_join_element_wise("", first, " ")]), self.add_keys)
+        codes[offsets[:-1]] = codes[len(words) :]
+        codes = codes[: len(words)]
+        ids, ends = self.keys.ids_of(codes)
+        # Each text's ids move on by the ends of the texts before; texts of the other way take their places.
+        ends = ends[offsets[1:] - 1] if n else np.zeros(0, np.int64)
+        sizes = np.diff(ends, prepend=0)
+        found, at = self.pieces.encode(texts.filter(apart).to_pylist())
+        sizes[odd] = np.diff(at, prepend=0)
+        whole = np.cumsum(sizes + 1)
+        out = np.empty(int(whole[-1]) if n else 0, np.uint32)
+        free = np.ones(len(out), bool)
+        free[whole - 1] = False
+        for k, stop in zip(odd.tolist(), at.tolist(), strict=True):
+            here = slice(whole[k] - 1 - sizes[k], whole[k] - 1)
+            out[here] = found[stop - sizes[k] : stop]
+            free[here] = False
+        out[free] = ids
+        out[whole - 1] = end
+        return out, whole
+
+
+class Known:
+    """Strings in the order of their codes, and the ids of each in one array."""
+
+    def __init__(self):
+        self.strings = pa.array([], pa.string())
+        self.ids, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def __len__(self) -> int:
+        return len(self.strings)
+
+    def add(self, strings: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The codes of the strings."""
+        n = len(self)
+        self.strings = pa.concat_arrays([self.strings, strings])
+        self.starts = np.concatenate([self.starts, (len(self.ids) + np.cumsum(sizes) - sizes).astype(np.int32)])
+        self.sizes = np.concatenate([self.sizes, sizes.astype(np.int32)])
+        self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
+        return np.arange(n, n + len(strings), dtype=np.int32)
+
+    def codes_of(self, strings: pa.Array, add) -> np.ndarray:
+        """Codes of the strings; ``add`` takes the distinct ones that aren't known and gives their codes."""
+        found = pc.index_in(strings, self.strings)
+        codes = np.array(pc.fill_null(found, -1))
+        if found.null_count:
+            unknown = pc.is_null(found)
+            new = strings.filter(unknown).dictionary_encode()
+            codes[unknown.to_numpy(zero_copy_only=False)] = add(new.dictionary)[new.indices.to_numpy()]
+        return codes
+
+    def ids_of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all codes in order, where those of each end)."""
+        n = self.sizes[codes]
+        ends = np.cumsum(n, dtype=np.int64)
+        at = np.repeat((self.starts[codes] - (ends - n)).astype(np.int32), n)
+        at += np.arange(len(at), dtype=np.int32)
+        return self.ids[at], ends
+
+
+@lru_cache(maxsize=1)
+def library_words(name: str = VOCABULARY) -> Words:
+    """One for each Python worker."""
+    import public_tokenizers as public
+    from tokenizers import Tokenizer
+
+    return Words(Tokenizer.from_file(public.path(f"{name}.json")), library_pieces(name))
+
+
 class Encoder:
     def __init__(self, name: str = VOCABULARY, leaf: int = LEAF):
         import public_tokenizers as public
@@ -250,6 +413,19 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
             yield batch.slice(start)
 
 
+def slabs(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLAB_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches joined until each holds about ``limit`` bytes of text, or all there is."""
+    held, size = [], 0
+    for batch in slices(batches, text):
+        held.append(batch)
+        size += pc.sum(pc.binary_length(batch[text])).as_py() or 0
+        if size >= limit:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def round_trip(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
     """``docs`` with ``ids`` (little-endian unsigned 32-bit integers) and ``decoded``.
 

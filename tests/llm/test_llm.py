@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,6 +47,38 @@ def test_bpe_equals_library(spark, docs, no_docs):
     assert bpe.round_trip(no_docs).count() == 0
 
 
+def test_words_equal_library():
+    """The encoder of op4 on odd texts, in slices of an array and with what it remembers dropped between them."""
+    import public_tokenizers as public
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    w = bpe.library_words()
+    rng = random.Random(4)
+    parts = [
+        "a", "the", "ing", "and", "Was", "'s", "'", "12", " ", " ", "  ", "\n", "\n\n", "\r\n", "\t", "\x1c", "\xa0", "\u3000", ".", ",", "?", "...", "!", ";", "<|endoftext|>",
+        "é", "ß", "ж", "ɏ", "×", "Ω", "ʰ", "日", "😀", "x" * 50, "ab" * 150, "9" * 40, "-" * 70, " " * 60,
+    ]
+    texts = [None, "", " ", "a", "a ", " a", *(t for _, t in ODD), *("".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(4000))]
+    array = pa.array(texts)
+    for start in range(0, len(texts), 1000):
+        w.reset()
+        ids, ends = w.encode(array.slice(start, 1000), 2)
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == [[*t.encode(x or "", add_special_tokens=False).ids, 2] for x in texts[start : start + 1000]]
+    assert [len(x) for x in w.encode(array.slice(0, 0), 2)] == [0, 0]
+
+
+def test_words_reach_the_library_once(monkeypatch):
+    """A word with marks and line ends around it costs the tokenizer nothing more."""
+    w, seen = bpe.library_words(), []
+    w.reset()
+    ids_of = w.model_ids
+    monkeypatch.setattr(w, "model_ids", lambda texts: seen.extend(texts.to_pylist()) or ids_of(texts))
+    monkeypatch.setattr(w.pieces, "encode_new", lambda keys: pytest.fail(str(keys)))
+    w.encode(pa.array(["a heron, a heron. a heron\nheron? the heron.\nthe heron;", " heron! the heron"]), 2)
+    assert sorted(seen) == [" a", " heron", " the", "a\n", "heron\n", "the\n"]
+
+
 def test_operators_leave_the_session_alone(spark, docs):
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(name)
