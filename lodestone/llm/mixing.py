@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .bpe import library_words, slabs
 from .common import bounded_batches, new_path, table
 
-BLOCK, LEAST_BLOCK, LANES = 4096, 1024, 1280
+BLOCK, LEAST_BLOCK, LANES = 2048, 1024, 2560
 SEGMENT_IDS = 8 << 20
 CHUNK = 32  # ids of a block after which the models learn from them
 END_ID = 2
