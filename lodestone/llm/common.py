@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..shared import new_path, shared_dir, written
 
-__all__ = ["bounded_batches", "components", "extended", "new_path", "shared_dir", "table", "written"]
+__all__ = ["bounded_batches", "components", "extended", "extended_components", "freed", "new_path", "shared_dir", "table", "written"]
 
 #: Vectors of a batch double as they grow, in the JVM and in each worker, outside the heap.
 BATCH_BYTES = "4m"
@@ -27,41 +27,57 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-def fingerprint(edges: DataFrame) -> tuple:
-    """The number of distinct edges and two sums of their hashes; equal ones stand for equal sets of edges."""
-    h, g = F.xxhash64("a", "b"), F.xxhash64("b", "a", F.lit(1))
-    low = lambda x: F.sum(F.shiftrightunsigned(x, 24))
-    return tuple(edges.agg(F.count(F.lit(1)), low(h), low(g)).first())
+def freed(spark: SparkSession) -> None:
+    """Lets the driver's JVM collect its garbage between the many small queries of a long operator.
+
+    A collection gives heap back that the queries' plans took, and lets Spark delete the shuffle files and broadcasts of those that are over.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
+def stars(edges: DataFrame) -> tuple[int, bool]:
+    """The number of edges (a, b) with a < b, and whether every component is a star: no b has a second a or is an a itself."""
+    ends = edges.select(F.col("b").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("a", F.lit(0), F.lit(1)))
+    ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    count, other = ends.agg(F.sum("up"), F.max((F.col("up") + F.col("down") > 1) & (F.col("up") > 0))).first()
+    return count or 0, not other
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) with the smallest node of each connected component, for every node of an edge.
+    """(node, component) with the smallest node of each connected component, for every node of an edge; a written table.
 
-    Alternates large-star and small-star steps, each a grouped minimum whose partial aggregation absorbs hubs. The
-    edges of a hub meet its minimum in a join; where there are more than ``SPLIT_EDGES`` edges, minima are written
-    first, as a join of two plain exchanges is what adaptive execution splits at hot keys. Every step is a written
-    table. Self-edges and null ends are dropped.
+    Alternates large-star and small-star steps, each a grouped minimum whose partial aggregation absorbs hubs, until all
+    components are stars. The edges of a hub meet its minimum in a join; where there are more than ``SPLIT_EDGES`` edges,
+    minima are written first, as a join of two plain exchanges is what adaptive execution splits at hot keys. Every step
+    is a written table, as plans of several steps take the driver's memory. Self-edges and null ends are dropped.
     """
-    e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct()
+    e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
     e = written(e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    state = fingerprint(e)
-    while True:
+    count, done = stars(e)
+    while not done:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        apart = written if state[0] > SPLIT_EDGES else lambda df, name: df
+        apart = written if count > SPLIT_EDGES else lambda df, name: df
         low = apart(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "low")
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("x"), F.col("m").alias("y")).where("x <> y").distinct()
         # Small star: every node points at its smallest smaller neighbour, and so do its other smaller neighbours.
-        large = apart(large, "large")
+        large = written(large, "large")
         least = apart(large.groupBy("x").agg(F.min("y").alias("m")), "least")
         small = (
             large.join(least, "x").where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y"))
             .union(least.select("x", F.col("m").alias("y"))).distinct()
         )
         e = written(small.select(F.col("y").alias("a"), F.col("x").alias("b")), "edges")
-        before, state = state, fingerprint(e)
-        if before == state:
-            break
-    return e.select(F.col("b").alias("node"), F.col("a").alias("component")).union(e.select(F.col("a"), F.col("a")).distinct())
+        count, done = stars(e)
+    return written(e.select(F.col("b").alias("node"), F.col("a").alias("component")).union(e.select(F.col("a"), F.col("a")).distinct()), "nodes")
+
+
+def extended_components(found: DataFrame, more: DataFrame) -> DataFrame:
+    """``found`` (node, component) after the edges (a, b) of ``more`` are added: the components of its components."""
+    of = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    ends = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    top = components(ends)
+    moved = found.join(top.select(F.col("node").alias("component"), F.col("component").alias("low")), "component", "left")
+    return written(moved.select("node", F.coalesce("low", "component").alias("component")).union(top.join(found, "node", "left_anti").select("node", "component")), "nodes")
 
 
 def extended(df: DataFrame, ddl: str) -> T.StructType:

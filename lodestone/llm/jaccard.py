@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import bounded_batches, components, table, written
+from .common import bounded_batches, components, extended_components, freed, table, written
 from .words import WordHashes, hashed, inside, mix, windows
 
 N = 5
@@ -346,10 +346,19 @@ def folded(x: np.ndarray, n: int) -> np.ndarray:
 
 
 def rarity(counts: DataFrame) -> bytes:
-    """The counts of all slots; a table of fixed size."""
+    """The counts of all slots; a table of fixed size. They reach the driver compressed."""
+
+    def pack(batches):
+        for batch in batches:
+            slots, often = (batch[c].to_numpy() for c in ("a", "b"))
+            raw = planes(np.diff(slots, prepend=0), 8) + planes(often, 8)
+            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(raw, 1)], pa.binary())], names=["raw"])
+
     out = np.zeros(RARITY_SLOTS, np.int64)
-    got = counts.toArrow()  # at most RARITY_SLOTS rows
-    out[got["a"].to_numpy()] = got["b"].to_numpy()
+    for part in counts.select("a", "b").mapInArrow(pack, "raw binary").toArrow()["raw"].to_pylist():  # at most RARITY_SLOTS counts
+        raw = zlib.decompress(part)
+        steps, often = (unplanes(x, len(x) // 8, 8).view(np.int64) for x in (raw[: len(raw) // 2], raw[len(raw) // 2 :]))
+        out[np.cumsum(steps)] = often
     return np.minimum(out, 2**31 - 1).astype(np.int32).tobytes()
 
 
@@ -580,7 +589,8 @@ def verified_pairs(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 def open_pairs(runs: DataFrame, found: DataFrame, sketches: DataFrame) -> DataFrame:
     """Pairs of one long run that ``found`` (node, component) leaves in different components; a written table."""
     docs = runs.groupBy(F.col("doc").alias("node")).agg(F.first("size").alias("size"), F.max("probe").alias("probe"))
-    docs = docs.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # Written after each few joins, as what is read twice stands twice in a plan, and the driver holds the plans.
+    docs = written(docs.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "members")
     large = docs.groupBy("component").count().where(F.col("count") >= LARGE_CLASS).select("component", F.col("component").alias("class"))
     docs = docs.join(large, "component", "left").withColumn("class", F.coalesce("class", F.lit(-1).cast("long")))
     docs = docs.withColumn("bin", F.floor(F.log("size") / np.log(1.15)).cast("int"))
@@ -589,7 +599,7 @@ def open_pairs(runs: DataFrame, found: DataFrame, sketches: DataFrame) -> DataFr
     for _ in range(2):
         near = written(runs.join(group, runs["doc"] == group["node"]).groupBy("run").agg(F.min("group").alias("low")), "near")
         group = runs.join(near, "run").groupBy(F.col("doc").alias("node")).agg(F.min("low").alias("group"))
-    docs = docs.join(group, "node")
+    docs = written(docs.join(group, "node"), "members")
     keys = ["group", "class", "bin"]
     crowd = docs.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).alias("parts"), F.ceil(F.sum("probe") / BLOCK_DOCS).alias("few"))
     place = lambda n: F.pmod(F.xxhash64("node"), F.greatest(F.col(n), F.lit(1)))
@@ -601,7 +611,8 @@ def open_pairs(runs: DataFrame, found: DataFrame, sketches: DataFrame) -> DataFr
         F.min("component").alias("x"), F.max("component").alias("y"), F.collect_set(F.when(F.col("asks") == 1, part("probes"))).alias("left"), F.collect_set(part("block")).alias("right")
     ).where("x <> y")
     cells = mixed.select("right", F.explode("left").alias("p")).select("p", F.explode("right").alias("q")).where("NOT (p.class >= 0 AND p.class = q.class) AND abs(p.bin - q.bin) <= 3")
-    cells = cells.select(F.col("p.block").alias("p"), F.col("q.block").alias("q")).distinct().withColumn("cell", F.xxhash64("p", "q"))
+    cells = cells.select(F.col("p.block").alias("p"), F.col("q.block").alias("q")).distinct()
+    cells = written(cells.withColumn("cell", F.xxhash64("p", "q")), "cells")
     sides = docs.where("probe = 1").select("node", "component", F.col("probes").alias("p")).join(cells, "p").select("cell", F.lit(0).alias("kind"), "node", "component")
     sides = sides.union(docs.select("node", "component", F.col("block").alias("q")).join(cells, "q").select("cell", F.lit(1), "node", "component"))
     rows = sides.join(sketches, "node").select("cell", "kind", F.col("node").alias("a"), F.col("size").alias("b"), F.col("component").alias("label"), F.col("sketch").alias("elements"))
@@ -626,13 +637,16 @@ def similarity_classes(docs: DataFrame, short_run: int = SHORT_RUN) -> DataFrame
     crowd = stage.where("kind = 2").select(F.col("a").alias("node")).distinct()
     nodes = stage.where("kind = 1").select(F.explode(F.array("a", "b")).alias("node")).union(crowd)
     sketches = sketches_for(known, nodes, crowd, stage.where("kind = 3").select("a", "b"))
-    links = written(verified_pairs(near_pairs(pairs, sketches), known), "links")
-    found = components(links)
+    freed(docs.sparkSession)
+    found = components(written(verified_pairs(near_pairs(pairs, sketches), known), "links"))
+    freed(docs.sparkSession)
     groups = rare_groups(sketches, found, buckets, short_run)
     runs = groups.where("kind = 2").select(F.col("a").alias("run"), F.col("b").alias("doc"), F.expr("c div 2").alias("size"), (F.col("c") % 2).alias("probe"))
     rest = near_pairs(groups.where("kind = 1").select("a", "b").distinct(), sketches).union(open_pairs(runs, found, sketches)).distinct()
-    more = written(verified_pairs(written(rest, "pairs"), known), "links")
-    found = components(links.union(more))
+    rest = written(rest, "pairs")
+    freed(docs.sparkSession)
+    found = extended_components(found, written(verified_pairs(rest, known), "links"))
+    freed(docs.sparkSession)
     named = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     # Copies in one task share a node that need not be their class's smallest document.
     low = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))

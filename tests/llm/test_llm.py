@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, chat, decontaminate, html_text, jaccard, mixing, quality, secrets, sharding, warc
+from lodestone.llm import bpe, chat, common, decontaminate, html_text, jaccard, mixing, quality, secrets, sharding, warc
 from lodestone.llm.common import components, new_path
 
 ODD = [
@@ -263,6 +263,30 @@ def test_components(spark, monkeypatch, split):
     assert got == {x: c for x, c in low.items() if any(x in e and e[0] != e[1] for e in edges)}
 
 
+def test_components_extended(spark):
+    """Edges added later join components of before, nodes of none and each other."""
+    rng = random.Random(4)
+    for n in (0, 25):
+        first, more = ([(rng.randint(0, 90), rng.randint(0, 90)) for _ in range(k)] for k in (45, n))
+        tables = [spark.createDataFrame(x, "a long, b long") for x in (first, more)]
+        got = Counter(map(tuple, common.extended_components(components(tables[0]), tables[1]).collect()))
+        assert got == Counter(map(tuple, components(tables[0].union(tables[1])).collect()))
+
+
+def test_jaccard_plans_stay_short(spark):
+    """The driver's memory goes with its plans and their rounds of jobs, so none holds the join's steps one in another."""
+    passage = [f"p{i}" for i in range(80)]
+    rows = [(g, " ".join(passage + [f"u{g}_{i}" for i in range(g % 40)])) for g in range(60)]
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty()
+    before = store.executionsCount()
+    assert jaccard.similarity_classes(spark.createDataFrame(rows, "doc_id long, text string"), 2).count() == 60
+    bus.waitUntilEmpty()
+    made = store.executionsList(before, 1000)
+    plans = [made.apply(k).physicalPlanDescription() for k in range(made.size())]
+    assert len(plans) > 20 and max(p.count("Exchange") for p in plans) < 32, max(p.count("Exchange") for p in plans)
+
+
 def shards_of(rows):
     """(shard, slot) by the row's place, from exact sums: where each shard begins, then a count."""
     return {s: sorted(r.slot for r in rows if r.shard == s) for s in {r.shard for r in rows}}
